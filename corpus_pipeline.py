@@ -1,8 +1,65 @@
-"""The corpus pipeline; stages follow."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again for the next."""
 
-STAGES = []
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from echolot.llm import decontam, langid, packing, simhash, templates
+from echolot.llm.queries import WORD_BPE
+from echolot.runtime import materialize, table
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the models accept; lang becomes the prediction."""
+    identifier = langid.fit(docs)
+    found = langid.identify(docs, identifier).where("NOT rejected").select("doc_id", "lang_pred").dropDuplicates(["doc_id"])
+    joined = docs.join(found, "doc_id")
+    return joined.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that recur across documents; n_chars follows the text."""
+    kept = templates.drop_recurring_lines(docs).where("n_removed > 0").select("doc_id", "kept").dropDuplicates(["doc_id"])
+    joined = docs.join(kept, "doc_id", "left").withColumn("text", F.coalesce("kept", "text"))
+    return joined.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each near-duplicate group."""
+    groups = simhash.near_duplicates(docs)
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    hit = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id")
+    return docs.join(hit, "doc_id", "left_anti")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their places in sequences."""
+    pieces = packing.token_pieces(docs, WORD_BPE)
+    return packing.pack_best_fit(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", identified),
+    ("lines", without_recurring_lines),
+    ("near_duplicates", without_near_duplicates),
+    ("decontamination", decontaminated),
+    ("packing", packed),
+]
+
+#: SQL can't express the language models and the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
