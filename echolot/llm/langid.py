@@ -19,8 +19,9 @@ from echolot.llm.kneser_ney import DISCOUNT, ORDER, CharacterModels, WordScores,
 FLUSH_WORDS = 400_000
 #: N-grams that the models of all languages may hold together: rarer ones are cut off, by a count that the data set.
 MODEL_ENTRIES = 4_000_000
-#: Share of training documents that calibrated rejection lets pass, and bits of slack beyond it.
-KEEP_SHARE, SLACK = 0.9999, 0.5
+#: Share of training documents that calibrated rejection lets pass, bits of slack beyond it, and bits that
+#: are divided by the root of a text's length, for the noise of short texts.
+KEEP_SHARE, SLACK, NOISE = 0.9999, 0.5, 10.0
 #: Steps per bit of the calibration histogram, and bits that it spans.
 _STEPS, _SPAN = 50, 40
 #: Characters that a posterior counts at most.
@@ -93,7 +94,7 @@ class LanguageIdentifier:
         bits = -scores.total(words) / characters
         best = int(np.argmin(bits))
         odds = np.exp2(np.minimum(0.0, (bits[best] - bits) * min(characters, _EVIDENCE)))
-        return names[best], float(1 / odds.sum()), float(bits[best]), bool(bits[best] > self.limits[best])
+        return names[best], float(1 / odds.sum()), float(bits[best]), bool(bits[best] > self.limits[best] + NOISE / characters**0.5)
 
 
 def _judged(docs: DataFrame, columns: list[str], identifier: LanguageIdentifier, schema: str, pick) -> DataFrame:

@@ -9,6 +9,7 @@ of the whole corpus picks the reading. Any other token spans a lattice with one
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -134,11 +135,11 @@ class WordReader:
         return value
 
     def values(self, text: str | None) -> list:
-        """One value for each different token with a word in it."""
+        """One value for each token with a word in it, at most TOP for the same token."""
         if len(self.known) > self.entries:
             self.known.clear()
         lower = (text or "").lower()
-        found = [v for v in map(self._value, set(lower.split())) if v is not None]
+        found = [v for token, n in Counter(lower.split()).items() if (v := self._value(token)) is not None for _ in range(min(n, TOP))]
         if _SPACED.search(lower):
             found += [self.evaluate(w) for w in self.restorer.restore_spaced(lower) if w]
         return found
