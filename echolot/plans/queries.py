@@ -1,3 +1,341 @@
-"""Queries of the recording-deduplication engine over the driver's tables."""
+"""Queries of the recording-deduplication engine over the driver's tables.
 
-QUERIES = {}
+The tables hold no audio, so documents stand in for recordings (three-word shingles are frames, the number
+of characters is the file size), embeddings for band energies and event values for samples.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from echolot.functions import arrays, formats
+from echolot.operators import exact, groups, keep, matcher
+from echolot.operators.graph import connected_components
+from echolot.options import KeepRule, Level, MatchOptions
+from echolot.runtime import materialize, table
+
+#: Frames of a hopping window over event values.
+HOP_SIZE, HOP_STEP = 16, 4
+#: Embeddings are short recordings, all taken as stationary.
+SHAPES = MatchOptions.for_level(Level.VERY_RELAXED, min_frames=1, stationary_flux=1e9)
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as file records."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("idx"), F.col("n_chars").alias("byte_size"), F.sha2("text", 256).alias("content_hash"), "source")
+
+
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as fingerprints: a 32-bit value for each three-word shingle.
+
+    The words pass through a generator, so that they are split once and not for every element.
+    """
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select("doc_id", F.explode(F.array(F.split("text", r"\s+"))).alias("w"))
+    shingle = F.expr("transform(sequence(1, size(w) - 2), i -> cast(conv(substr(md5(concat_ws(' ', w[i - 1], w[i], w[i + 1])), 1, 8), 16, 10) AS bigint))")
+    values = F.when(F.size("w") >= 3, shingle).otherwise(F.array().cast("array<bigint>"))
+    return words.select(F.col("doc_id").alias("idx"), values.alias("values"), F.array().cast("array<smallint>").alias("shape"), F.lit(1.0).alias("flux"), F.lit(None).cast("double").alias("duration"))
+
+
+def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matcher.usable(fingerprints(spark, sf_dir), MatchOptions())
+
+
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matcher.postings(_usable(spark, sf_dir), MatchOptions())
+
+
+def _best(fps: DataFrame, options: MatchOptions) -> DataFrame:
+    return matcher.best_offsets(matcher.votes(matcher.index_entries(matcher.postings(fps, options), options)), options)
+
+
+# exact pass
+
+
+def size_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.size_candidates(files(spark, sf_dir).select("idx", "byte_size")).select("idx", "byte_size")
+
+
+def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(exact.size_candidates(files(spark, sf_dir)))
+
+
+def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _exact(spark, sf_dir)
+    return found.select("rep", "files", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
+def exact_reclaimable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exact(spark, sf_dir).select("rep", "content_hash", "files", "reclaimable")
+
+
+def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.representatives(files(spark, sf_dir), _exact(spark, sf_dir)).select("idx", "byte_size")
+
+
+def attribute_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Representatives are labelled; their copies take the label over."""
+    own = files(spark, sf_dir)
+    found = _exact(spark, sf_dir)
+    first = exact.representatives(own, found).select("idx").withColumn("attribute", F.concat(F.lit("r"), F.col("idx").cast("string")))
+    return exact.fill_from_representative(own.select("idx").join(first, "idx", "left"), found, ["attribute"]).select("idx", "attribute")
+
+
+# similar pass
+
+
+def frame_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fps = fingerprints(spark, sf_dir)
+    xor = F.aggregate("values", F.lit(0).cast("bigint"), lambda acc, v: acc.bitwiseXOR(v))
+    total = F.aggregate("values", F.lit(0).cast("bigint"), lambda acc, v: acc + v)
+    return fps.select("idx", F.size("values").cast("bigint").alias("frames"), xor.alias("value_xor"), total.alias("value_sum"))
+
+
+def key_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entries(spark, sf_dir).groupBy("key").agg(F.count("*").alias("entries"), F.countDistinct("idx").alias("files"))
+
+
+def bucket_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = matcher.index_entries(_entries(spark, sf_dir), MatchOptions())
+    return kept.groupBy("key").agg(F.count("*").alias("entries"))
+
+
+def vote_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    voted = matcher.votes(matcher.index_entries(_entries(spark, sf_dir), MatchOptions()))
+    return voted.groupBy("a", "b").agg(F.sum("n").alias("votes"), F.count("*").alias("offsets"), F.max("n").alias("most"))
+
+
+def best_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _best(_usable(spark, sf_dir), MatchOptions())
+
+
+def aligned_ber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fps = materialize(_usable(spark, sf_dir), "fps")
+    checked = matcher.aligned(_best(fps, MatchOptions()), fps, MatchOptions())
+    return checked.select("a", "b", "off", "overlap", "errors", F.round("ber", 9).alias("ber"))
+
+
+def _edges(spark: SparkSession, sf_dir: str, level: Level) -> DataFrame:
+    options = MatchOptions.for_level(level)
+    fps = materialize(_usable(spark, sf_dir), "fps")
+    return matcher.temporal_edges(matcher.aligned(_best(fps, options), fps, options), options)
+
+
+def edges(spark: SparkSession, sf_dir: str, level: Level) -> DataFrame:
+    return _edges(spark, sf_dir, level).select("a", "b", F.round("score", 9).alias("score"))
+
+
+def components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connected_components(_edges(spark, sf_dir, Level.VERY_STRICT).select("a", "b")).select(F.col("vertex").alias("idx"), "component")
+
+
+def _similar(spark: SparkSession, sf_dir: str, level: Level) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, exact groups, expanded similar groups), with the similar pass over representatives only."""
+    own, found = files(spark, sf_dir), materialize(_exact(spark, sf_dir), "exact")
+    options = MatchOptions.for_level(level)
+    fps = materialize(exact.representatives(_usable(spark, sf_dir), found), "fps")
+    linked = materialize(matcher.temporal_edges(matcher.aligned(_best(fps, options), fps, options), options), "edges")
+    return own, found, groups.expand_similar(matcher.groups_of(linked), found)
+
+
+def group_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = materialize(_edges(spark, sf_dir, Level.VERY_RELAXED), "edges")
+    found = matcher.groups_of(linked)
+    return found.select("rep", F.size("members").cast("bigint").alias("files"), F.round("confidence", 9).alias("confidence"))
+
+
+def absorption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact groups that no similar group holds."""
+    _, found, similar = _similar(spark, sf_dir, Level.VERY_STRICT)
+    return groups.absorb_exact(found, similar).select("rep", "files")
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, found, similar = _similar(spark, sf_dir, Level.VERY_STRICT)
+    return groups.ranked(groups.all_groups(found, similar), own)
+
+
+def groups_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir).select("kind", "rep", "files", "reclaimable", F.round("confidence", 3).alias("confidence"))
+
+
+def summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = files(spark, sf_dir).agg(F.count("*").alias("files_scanned"))
+    return groups.summary(_ranked(spark, sf_dir)).crossJoin(scanned)  # one row each
+
+
+def report_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of the strictest and the most relaxed level, by the first file of each group."""
+    a = edges(spark, sf_dir, Level.PERFECT).groupBy("a").agg(F.count("*").alias("n"))
+    b = edges(spark, sf_dir, Level.VERY_RELAXED).groupBy("a").agg(F.count("*").alias("n"))
+    return groups.compare_reports(a, b, "a", "n")
+
+
+# shape and signal
+
+
+def _band_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    bands = F.slice("embedding", 1, 33).cast("array<double>")
+    frames = vectors.where("label IS NOT NULL").select("vec_id", F.col("label").cast("bigint").alias("idx"), bands.alias("bands"))
+    return frames.withColumn("previous", F.lag("bands").over(Window.partitionBy("idx").orderBy("vec_id")))
+
+
+def band_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _band_frames(spark, sf_dir).where("previous IS NOT NULL")
+    return frames.select("vec_id", arrays.band_bits(F.col("bands"), F.col("previous")).alias("bits"))
+
+
+def _shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = _band_frames(spark, sf_dir).withColumn("change", F.when(F.col("previous").isNotNull(), arrays.flux(F.col("bands"), F.col("previous"))))
+    by_file = frames.groupBy("idx").agg(F.collect_list("change").alias("changes"), F.count("change").alias("n"))
+    means = frames.select("idx", F.posexplode("bands").alias("m", "e")).groupBy("idx", "m").agg(F.avg("e").alias("mean"))
+    means = means.groupBy("idx").agg(F.array_sort(F.collect_list(F.struct("m", "mean"))).alias("ms")).select("idx", F.col("ms.mean").alias("means"))
+    joined = by_file.join(means, "idx")
+    return joined.select("idx", "n", arrays.upper_median(F.col("changes")).alias("flux"), arrays.shape_template(F.col("means")).alias("shape"))
+
+
+def flux_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shapes(spark, sf_dir).select("idx", "n", F.round("flux", 9).alias("flux"))
+
+
+def stationary_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limit = MatchOptions().stationary_flux
+    return _shapes(spark, sf_dir).select("idx", (F.col("n") >= MatchOptions().min_frames).alias("usable"), (F.col("flux") < limit).alias("stationary"))
+
+
+def shape_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shapes(spark, sf_dir).select("idx", F.array_join(F.transform("shape", lambda x: x.cast("string")), ",").alias("shape"))
+
+
+def shape_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fps = _shapes(spark, sf_dir).select("idx", F.expr("array_repeat(0L, cast(n AS int))").alias("values"), "shape", "flux", F.lit(None).cast("double").alias("duration"))
+    return matcher.shape_edges(fps, SHAPES).select("a", "b", F.round("score", 9).alias("score"))
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event values of each user in order of time."""
+    events = table(spark, sf_dir, "events").where("value IS NOT NULL")
+    packed = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("s"))
+    return packed.select("user_id", F.col("s.value").alias("x"))
+
+
+def silence_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half-open range between silences, for signals that are quiet below 0.9 of their peak."""
+    loud = F.transform("x", lambda v: F.abs(v))
+    signals = _signals(spark, sf_dir).select("user_id", F.size("x").alias("n"), loud.alias("x")).withColumn("peak", F.array_max("x"))
+    above = F.filter(F.transform("x", lambda v, i: F.when(v >= F.col("peak") * 0.9, i)), lambda i: i.isNotNull())
+    found = signals.withColumn("above", above)
+    silent = F.col("peak") <= 1e-5
+    start = F.when(silent, 0).otherwise(F.element_at("above", 1))
+    end = F.when(silent, F.col("n")).otherwise(F.element_at("above", -1) + 1)
+    return found.select("user_id", F.col("n").cast("bigint").alias("n"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"))
+
+
+def hop_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping frames of each signal with their peaks; signals of fewer than two frames have none."""
+    signals = _signals(spark, sf_dir).where(F.size("x") >= HOP_SIZE + HOP_STEP)
+    starts = F.sequence(F.lit(0), F.floor((F.size("x") - HOP_SIZE) / HOP_STEP).cast("int"))
+    framed = signals.select("user_id", "x", F.explode(starts).alias("frame"))
+    part = F.slice("x", F.col("frame") * HOP_STEP + 1, HOP_SIZE)
+    return framed.select("user_id", F.col("frame").cast("bigint").alias("frame"), F.array_max(part).alias("peak"), F.array_min(part).alias("low"))
+
+
+# keep rules
+
+
+def _group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of documents with attributes of recordings, some of them unknown."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    hashed = docs.withColumn("h", F.sha2("text", 256))
+    reps = hashed.groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    rows = hashed.join(reps, "h").join(labels, "doc_id", "left")
+    return rows.select(
+        "rep",
+        F.col("doc_id").alias("idx"),
+        F.concat(F.lit("/"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("source"), F.lit("/"))).otherwise(F.lit("")), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        (F.col("n_chars") + F.col("doc_id") % 5).alias("byte_size"),
+        (F.col("doc_id") * 7919 % 1000).alias("modified"),
+        F.when(F.col("quality").isNotNull(), F.col("n_chars") / 100.0 + F.col("doc_id") % 7).alias("duration"),
+        F.when(F.col("quality").isNotNull(), F.col("n_chars") / 100.0 + F.col("doc_id") % 7).alias("content_duration"),
+        F.when(F.col("doc_id") % 4 != 0, F.lit(44100.0) + F.col("doc_id") % 2 * 3900).alias("sample_rate"),
+        F.when(F.col("doc_id") % 3 != 0, F.lit(8) + F.col("doc_id") % 3 * 8).alias("bit_depth"),
+        (F.lit(1) + F.col("doc_id") % 2).alias("channel_count"),
+        (F.col("quality") == 1).alias("lossless"),
+    )
+
+
+def keep_rule(spark: SparkSession, sf_dir: str, rule: KeepRule) -> DataFrame:
+    return keep.keepers(_group_rows(spark, sf_dir), rule).select("rep", "idx")
+
+
+def mark_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to remove under the best-quality rule, with the reason's keeper; a plan, nothing is deleted."""
+    rows = _group_rows(spark, sf_dir)
+    kept = keep.keepers(rows, KeepRule.BEST_QUALITY)
+    marked = keep.refuse_empty_groups(rows, keep.marks(rows, KeepRule.BEST_QUALITY))
+    return marked.join(kept.withColumnRenamed("idx", "keeper"), "rep").select("rep", "idx", "byte_size", "keeper")
+
+
+def marked_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keep.marks(_group_rows(spark, sf_dir), KeepRule.LARGEST).agg(F.count("*").alias("marked"), F.sum("byte_size").alias("bytes"))
+
+
+def groups_after_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _group_rows(spark, sf_dir)
+    made = rows.groupBy("rep").agg(F.array_sort(F.collect_list("idx")).alias("members")).select(F.lit("exact").alias("kind"), "rep", "members", F.lit(1.0).alias("confidence"))
+    left = groups.after_removal(made, keep.keepers(rows, KeepRule.OLDEST))
+    return left.select("rep", F.size("members").cast("bigint").alias("files"))
+
+
+# projections
+
+
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", formats.display_name("url").alias("name"), formats.folder_path("url").alias("folder"), formats.extension_of("url").alias("extension"), formats.path_depth("url").cast("bigint").alias("depth"), F.length("url").cast("bigint").alias("length"))
+
+
+def bitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("duration"), F.col("l_extendedprice").cast("double").alias("size"))
+    kbps = formats.bitrate_kbps(F.col("size"), F.col("duration") - 1)
+    return orders.select("l_orderkey", "l_linenumber", kbps.alias("kbps"))
+
+
+def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _group_rows(spark, sf_dir)
+    kbps = formats.bitrate_kbps(F.col("byte_size"), F.col("duration"))
+    return rows.select("idx", formats.quality_summary(F.col("sample_rate"), F.col("bit_depth"), kbps, F.col("lossless")).alias("summary"))
+
+
+def format_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kind = F.when(F.col("doc_id") % 3 == 0, "exact").otherwise("similar")
+    level = F.when(F.col("doc_id") % 2 == 0, "perfect").otherwise("strict")
+    return docs.select("doc_id", formats.format_bytes(F.col("n_chars") * 1000).alias("bytes"), formats.format_duration(F.col("n_chars") * 1.0).alias("duration"), formats.badge(kind, (F.col("doc_id") % 101) / 100, level).alias("badge"))
+
+
+def format_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What extensions say, over all known ones and a few others."""
+    names = [*formats.DECODED, *formats.BYTES_ONLY, "txt", "", "MP3"]
+    made = spark.createDataFrame([(f"/music/song.{n}" if n else "/music/song",) for n in names], "path string")
+    ext = formats.extension_of("path")
+    return made.select("path", ext.alias("extension"), formats.is_audio("path").alias("is_audio"), formats.is_byte_comparable_only("path").alias("bytes_only"), formats.lossless_by_extension(ext).alias("lossless"), formats.format_label(ext).alias("label"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        size_candidates, exact_groups, exact_reclaimable, representatives, attribute_fill, frame_values, key_postings, bucket_filter, vote_counts, best_offset, aligned_ber,
+        components, group_confidence, absorption, groups_ranked, summary_counts, report_diff, band_bits, flux_median, stationary_flag, shape_template, shape_pairs,
+        silence_trim, hop_frames, mark_plan, marked_totals, groups_after_removal, url_parts, bitrate, quality_summary, format_texts, format_facts,
+    )
+}
+QUERIES |= {f"edges_{level.value.replace('-', '_')}": partial(edges, level=level) for level in Level}
+QUERIES |= {f"keep_{rule.value.replace('-', '_')}": partial(keep_rule, rule=rule) for rule in KeepRule}
