@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -23,6 +23,8 @@ from echolot.llm.arrow import keyed_texts, map_arrow, utf8
 CACHE_ENTRIES = 800_000
 
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: White space beside more of it, or any but spaces and line ends.
+_SPACES = re.compile(r"\s\s|[^\S \n]")
 
 
 @lru_cache(maxsize=4)
@@ -33,6 +35,26 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes bytes as letters: printable ones as themselves, the others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def single_pretoken(text: str) -> str | None:
+    """The pre-token, in byte letters, of Latin letters behind at most one space; None for anything else."""
+    body = text[1:] if text[:1] == " " else text
+    if body.isascii():
+        return text.replace(" ", _BYTE_LETTERS[32]) if body.isalpha() else None
+    if body.isalpha() and max(body) < "\u0100":
+        return text.encode().decode("latin-1").translate(_BYTE_LETTERS)
+    return None
+
+
 def split_segments(text: str) -> list[str]:
     """Stretches that byte-level BPE can tokenize apart; joined they give the text back."""
     parts = _SINGLE_SPACE.split(text)
@@ -42,17 +64,31 @@ def split_segments(text: str) -> list[str]:
 class _Segments(dict):
     """Values of segments as split at every single space, or None where that split isn't a safe one.
 
-    Keys are UTF-8 bytes without the leading space; `lead` says whether the text has one there.
+    Keys are UTF-8 bytes without the leading space; `lead` says whether the text has one there. A segment
+    whose parts are pre-tokens for certain (an ASCII letter before commas or full stops at the end, a
+    single line end between other characters) is put together from the values of these parts.
     """
 
-    def __init__(self, evaluate, lead: str) -> None:
+    def __init__(self, evaluate, lead: str, plain: _Segments | None = None) -> None:
         super().__init__()
-        self.evaluate, self.lead = evaluate, lead
+        self.evaluate, self.lead, self.plain = evaluate, lead, self if plain is None else plain
+        self.line_end = evaluate("\n")
 
     def __missing__(self, key: bytes):
+        tail = key[-1:]
+        if tail in (b",", b".") and key.isascii() and (core := key.rstrip(b",."))[-1:].isalpha():
+            value = self[core]
+            value = self[key] = value if value is None else value + self.plain[key[len(core) :]]
+            return value
         part = key.decode()
         if not part or part[0].isspace() or part[-1].isspace():
             value = self[key] = None
+        elif b"\n" in key and not _SPACES.search(part):
+            first, *rest = key.split(b"\n")
+            value = self[first]
+            for line in rest:
+                value = value + self.line_end + self.plain[line]
+            self[key] = value
         else:
             value = self[key] = self.evaluate(self.lead + part)
         return value
@@ -63,7 +99,8 @@ class SegmentReader:
 
     def __init__(self, evaluate, entries: int = CACHE_ENTRIES) -> None:
         self.evaluate, self.entries = evaluate, entries
-        self.first, self.rest = _Segments(evaluate, ""), _Segments(evaluate, " ")
+        self.first = _Segments(evaluate, "")
+        self.rest = _Segments(evaluate, " ", self.first)
 
     def values(self, text: bytes) -> list:
         if not text:
@@ -86,13 +123,15 @@ class PieceCounter:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, int] = {}
         self.entries = entries
-        self.first, self.rest = _Segments(self.segment, ""), _Segments(self.segment, " ")
+        self.first = _Segments(self.segment, "")
+        self.rest = _Segments(self.segment, " ", self.first)
 
     def segment(self, text: str) -> int:
         if any(x in text for x in self.added):  # a special string is one token and cuts the text
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        total = 0
-        for pretoken, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
+        total, single = 0, single_pretoken(text)
+        pretokens = [single] if single else [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        for pretoken in pretokens:
             n = self.pieces.get(pretoken)
             if n is None:
                 n = self.pieces[pretoken] = len(self.tokenizer.model.tokenize(pretoken))
@@ -153,10 +192,18 @@ def token_counts(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text
 
 
 @lru_cache(maxsize=2)
-def byte_level_reader(path: str, dtype: str = "<u4") -> SegmentReader:
-    """Ids of byte-level BPE segments as packed little-endian integers."""
-    encode = load_tokenizer(path).encode
-    return SegmentReader(lambda x: np.array(encode(x, None, False, False).ids, dtype).tobytes())
+def byte_level_reader(path: str, width: int = 4) -> SegmentReader:
+    """Ids of byte-level BPE segments as packed native integers of 2 or 4 bytes."""
+    code = {2: "H", 4: "I"}[width]
+    tokenizer = load_tokenizer(path)
+    encode, model = tokenizer.encode, tokenizer.model.tokenize
+
+    def evaluate(text: str) -> bytes:
+        single = single_pretoken(text)
+        ids = [t.id for t in model(single)] if single else encode(text, None, False, False).ids
+        return array(code, ids).tobytes()
+
+    return SegmentReader(evaluate)
 
 
 class WordEncoder(dict):
@@ -167,7 +214,15 @@ class WordEncoder(dict):
         self.tokenizer, self.entries = load_tokenizer(path), entries
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = self[chunk] = np.array(self.tokenizer.encode(chunk.decode(), None, False, False).ids, "<u4").tobytes()
+        if chunk[-1:] in (b",", b".") and chunk.isascii() and (core := chunk.rstrip(b",."))[-1:].isalpha():
+            ids = self[chunk] = self[core] + self[chunk[len(core) :]]  # letters and the marks behind them are apart
+            return ids
+        if chunk.isalpha() and not chunk.islower():  # the tokenizer lower-cases words
+            ids = self[chunk] = self[chunk.lower()]
+            return ids
+        single = single_pretoken(chunk.decode().lower())
+        found = [t.id for t in self.tokenizer.model.tokenize(single)] if single else self.tokenizer.encode(chunk.decode(), None, False, False).ids
+        ids = self[chunk] = array("I", found).tobytes()
         return ids
 
     def encode(self, text: bytes | None) -> bytes:
