@@ -2,8 +2,8 @@
 
 File format (little-endian): magic `WVM1`; u32 length of a JSON header; the header with the number of
 tokens `n`, of bit levels, of zeros on each level, of documents and the byte length of every section;
-then zstandard frames: document ids (i64), a null bitmap of them, document lengths in tokens (u64), and
-one bit-plane for each level, most significant first. Bit i of a plane is bit 7 - i % 8 of byte i // 8.
+then zstandard frames: the shard's different token ids in ascending order (u32), document ids (i64), a null bitmap of them, document lengths in tokens (u64), and one bit-plane
+for each level of the tokens' ranks among the different ids, most significant first. Bit i of a plane is bit 7 - i % 8 of byte i // 8.
 
 Level by level, tokens are dealt stably into those with bit 0 (front) and bit 1 (back); rank and select
 on the planes give access, counting and occurrence look-up without unpacking the sequence.
@@ -23,34 +23,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from echolot.llm.arrow import keyed_texts, map_arrow, utf8
-from echolot.llm.tokens import byte_level_reader
+from echolot.llm.tokens import byte_level_reader, load_tokenizer
 from echolot.runtime import materialize
 
 MAGIC = b"WVM1"
 #: Tokens after which a shard is closed; a document is never cut.
 SHARD_TOKENS = 1_000_000
+#: Shards up to which their starts are sent to all executors (about 50 MB); beyond that images are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Bits between two entries of the rank directory.
 RANK_BLOCK = 512
 
 
-def build_planes(ids: np.ndarray, levels: int) -> tuple[list[bytes], list[int]]:
+def build_planes(values: np.ndarray, levels: int) -> tuple[list[bytes], list[int]]:
     planes, zeros = [], []
     for level in range(levels - 1, -1, -1):
-        bit = (ids & ids.dtype.type(1 << level)).astype(bool)
+        bit = (values & values.dtype.type(1 << level)) != 0
         planes.append(np.packbits(bit).tobytes())
-        front = ids[~bit]
-        zeros.append(len(front))
-        ids = np.concatenate([front, ids[bit]])
+        front = len(bit) - int(np.count_nonzero(bit))
+        zeros.append(front)
+        dealt = np.empty_like(values)
+        np.compress(~bit, values, out=dealt[:front])
+        np.compress(bit, values, out=dealt[front:])
+        values = dealt
     return planes, zeros
 
 
 def encode_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], level: int = 1) -> bytes:
     """File image of one shard. Ids are unsigned integers of any width."""
-    levels = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-    narrow = np.uint16 if levels <= 16 else np.uint32
-    planes, zeros = build_planes(ids.astype(narrow, copy=False), levels)
+    alphabet = np.flatnonzero(np.bincount(ids)) if len(ids) else np.zeros(0, np.int64)
+    levels = max(1, (len(alphabet) - 1).bit_length())
+    ranks = np.zeros(int(alphabet[-1]) + 1 if len(ids) else 1, np.uint16 if levels <= 16 else np.uint32)
+    ranks[alphabet] = np.arange(len(alphabet))
+    planes, zeros = build_planes(ranks[ids], levels)
     known = np.array([x is not None for x in doc_ids], bool)
-    sections = [np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.packbits(known).tobytes(), np.array(lengths, "<u8").tobytes(), *planes]
+    sections = [alphabet.astype("<u4").tobytes(), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.packbits(known).tobytes(), np.array(lengths, "<u8").tobytes(), *planes]
     squeeze = zstandard.ZstdCompressor(level=level)
     packed = [squeeze.compress(x) for x in sections]
     header = json.dumps({"n": len(ids), "levels": levels, "zeros": zeros, "docs": len(doc_ids), "sections": [len(x) for x in packed]}).encode()
@@ -71,10 +78,11 @@ class WaveletShard:
             parts.append(expand.decompress(image[at : at + length]))
             at += length
         docs = self.header["docs"]
-        known = np.unpackbits(np.frombuffer(parts[1], np.uint8), count=docs).astype(bool) if docs else np.zeros(0, bool)
-        self.doc_ids = [int(x) if k else None for x, k in zip(np.frombuffer(parts[0], "<i8"), known, strict=True)]
-        self.lengths = np.frombuffer(parts[2], "<u8").astype(np.int64)
-        self.planes = [np.frombuffer(x, np.uint8) for x in parts[3:]]
+        self.alphabet = np.frombuffer(parts[0], "<u4")
+        known = np.unpackbits(np.frombuffer(parts[2], np.uint8), count=docs).astype(bool) if docs else np.zeros(0, bool)
+        self.doc_ids = [x if k else None for x, k in zip(np.frombuffer(parts[1], "<i8").tolist(), known, strict=True)]
+        self.lengths = np.frombuffer(parts[3], "<u8").astype(np.int64)
+        self.planes = [np.frombuffer(x, np.uint8) for x in parts[4:]]
 
     @cached_property
     def _ranks(self) -> list[np.ndarray]:
@@ -111,12 +119,16 @@ class WaveletShard:
             ones = self.rank1(level, i)
             i = self.zeros[level] + ones if bit else i - ones
             value = value << 1 | bit
-        return value
+        return int(self.alphabet[value])
 
-    def _range(self, token: int, low: int, high: int) -> tuple[int, int]:
+    def _rank_of(self, token: int) -> int | None:
+        at = int(np.searchsorted(self.alphabet, token))
+        return at if at < len(self.alphabet) and self.alphabet[at] == token else None
+
+    def _range(self, value: int, low: int, high: int) -> tuple[int, int]:
         for level in range(self.levels):
             a, b = self.rank1(level, low), self.rank1(level, high)
-            if token >> (self.levels - 1 - level) & 1:
+            if value >> (self.levels - 1 - level) & 1:
                 low, high = self.zeros[level] + a, self.zeros[level] + b
             else:
                 low, high = low - a, high - b
@@ -124,34 +136,37 @@ class WaveletShard:
 
     def count(self, token: int, low: int = 0, high: int | None = None) -> int:
         """Occurrences of a token among positions low..high-1."""
-        if token < 0 or token >> self.levels:
+        value = self._rank_of(token)
+        if value is None:
             return 0
-        low, high = self._range(token, low, self.n if high is None else high)
+        low, high = self._range(value, low, self.n if high is None else high)
         return high - low
 
     def locate(self, token: int, k: int) -> int:
         """Position of the k-th (from 0) occurrence of a token."""
         if not 0 <= k < self.count(token):
             raise IndexError(k)
-        at = self._range(token, 0, self.n)[0] + k
+        value = self._rank_of(token)
+        at = self._range(value, 0, self.n)[0] + k
         for level in range(self.levels - 1, -1, -1):
-            bit = token >> (self.levels - 1 - level) & 1
+            bit = value >> (self.levels - 1 - level) & 1
             at = self.select(level, bit, at - self.zeros[level] if bit else at)
         return at
 
     def ids(self) -> np.ndarray:
         """The whole sequence, by undoing the levels from the last to the first."""
         kind = np.uint16 if self.levels <= 16 else np.uint32
-        bits = [np.unpackbits(x, count=self.n).astype(bool) for x in self.planes] if self.n else []
-        # what the order after the last level holds: runs of equal tokens, rebuilt bit by bit
+        bits = [np.unpackbits(x, count=self.n) for x in self.planes] if self.n else []
         values = np.zeros(self.n, kind)
         for level in range(self.levels - 1, -1, -1):
-            bit, zero = (bits[level], self.zeros[level]) if self.n else (np.zeros(0, bool), 0)
+            bit, zero = (bits[level], self.zeros[level]) if self.n else (np.zeros(0, np.uint8), 0)
             before = np.empty_like(values)
-            before[~bit] = values[:zero]
-            before[bit] = values[zero:] | kind(1 << (self.levels - 1 - level))
+            values[zero:] |= kind(1 << (self.levels - 1 - level))
+            ones = bit.view(bool)
+            before[np.flatnonzero(~ones)] = values[:zero]
+            before[np.flatnonzero(ones)] = values[zero:]
             values = before
-        return values
+        return self.alphabet[values]
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, shard_tokens: int = SHARD_TOKENS, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -170,15 +185,15 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, s
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        reader = byte_level_reader(tokenizer_path, "<u4" if (end_id or 0) >> 16 else "<u2")
-        end = b"" if end_id is None else np.array([end_id], "<u4" if (end_id or 0) >> 16 else "<u2").tobytes()
-        shard, keys, lengths, pieces = 0, [], [], []
+        width = 2 if max(load_tokenizer(tokenizer_path).get_vocab_size(), end_id or 0) <= 1 << 16 else 4
+        reader = byte_level_reader(tokenizer_path, width)
+        end = b"" if end_id is None else end_id.to_bytes(width, "little")
+        shard, size, keys, lengths, pieces = 0, 0, [], [], []
 
         def close() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(pieces), f"<u{width}")
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([encode_shard(ids, keys, lengths)], pa.binary())], schema=out)
 
-        width, size = 4 if (end_id or 0) >> 16 else 2, 0
         for batch in batches:
             for doc, content in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 ids = b"".join(reader.values(content or b"")) + end
@@ -204,7 +219,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for base, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 shard = WaveletShard(image)
-                ids = shard.ids().astype("<u4")
+                ids = shard.ids()
                 ends = np.cumsum(shard.lengths)
                 starts = ends - shard.lengths
                 values = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((np.concatenate([[0], ends]) * 4).astype("<i4").tobytes()), pa.py_buffer(ids.tobytes())])
@@ -215,5 +230,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     before = parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
     inside = shards.select("part", "shard", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_tokens")).alias("inside"))
     bases = inside.join(before, "part").select("part", "shard", (F.col("before") + F.col("inside")).alias("base"))
+    if bases.count() <= BROADCAST_ROWS:
+        bases = F.broadcast(bases)
     based = shards.select("part", "shard", "image").join(bases, ["part", "shard"]).select("base", "image")
     return map_arrow(based, run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
