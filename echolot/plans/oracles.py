@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from echolot.functions import formats
+
 _EXACT = """
 s AS (SELECT doc_id AS idx, n_chars AS byte_size, sha256(text) AS content_hash FROM documents),
 c AS (SELECT s.* FROM s WHERE byte_size IN (SELECT byte_size FROM s GROUP BY 1 HAVING count(*) > 1)),
@@ -127,6 +129,19 @@ def _keep(order: str) -> str:
     return f"WITH {_GROUP_ROWS} SELECT rep, idx FROM (SELECT rep, idx, row_number() OVER (PARTITION BY rep ORDER BY {order}) AS rn FROM r) WHERE rn = 1"
 
 
+def _quoted(values: tuple[str, ...]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def _format_facts() -> str:
+    names = [*formats.DECODED, *formats.BYTES_ONLY, "txt", "", "MP3"]
+    paths = ", ".join(f"('/music/song{'.' if n else ''}{n}')" for n in names)
+    labels = " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in formats.LABELS.items())
+    return f"""WITH p AS (SELECT path, lower(regexp_extract(path, '\.([^./]*)$', 1)) AS e FROM (VALUES {paths}) v(path))
+        SELECT path, e AS extension, e IN ({_quoted(formats.DECODED + formats.BYTES_ONLY)}) AS is_audio, e IN ({_quoted(formats.BYTES_ONLY)}) AS bytes_only,
+        CASE WHEN e IN ({_quoted(formats.LOSSLESS)}) THEN true WHEN e IN ({_quoted(formats.LOSSY)}) THEN false END AS lossless, CASE e {labels} ELSE upper(e) END AS label FROM p"""
+
+
 _TEMPORAL = f"WITH {_FRAMES}, {_ALL}, {_INDEX}"
 
 ORACLES: dict[str, str] = {
@@ -180,4 +195,5 @@ ORACLES: dict[str, str] = {
         CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS duration,
         CASE WHEN doc_id % 3 = 0 THEN 'Identical' WHEN doc_id % 2 = 0 THEN 'Same recording' ELSE CAST(CAST(round((doc_id % 101) / 100 * 100) AS INT) AS VARCHAR) || '% match' END AS badge FROM d""",
 }
+ORACLES["format_facts"] = _format_facts()
 ORACLES |= {f"edges_{level}": f"{_TEMPORAL}, {_edges(level)} SELECT a, b, round(score, 9) AS score FROM ed" for level in _LEVELS}
