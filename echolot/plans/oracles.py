@@ -137,7 +137,7 @@ def _format_facts() -> str:
     names = [*formats.DECODED, *formats.BYTES_ONLY, "txt", "", "MP3"]
     paths = ", ".join(f"('/music/song{'.' if n else ''}{n}')" for n in names)
     labels = " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in formats.LABELS.items())
-    return f"""WITH p AS (SELECT path, lower(regexp_extract(path, '\.([^./]*)$', 1)) AS e FROM (VALUES {paths}) v(path))
+    return f"""WITH p AS (SELECT path, lower(regexp_extract(path, '[.]([^./]*)$', 1)) AS e FROM (VALUES {paths}) v(path))
         SELECT path, e AS extension, e IN ({_quoted(formats.DECODED + formats.BYTES_ONLY)}) AS is_audio, e IN ({_quoted(formats.BYTES_ONLY)}) AS bytes_only,
         CASE WHEN e IN ({_quoted(formats.LOSSLESS)}) THEN true WHEN e IN ({_quoted(formats.LOSSY)}) THEN false END AS lossless, CASE e {labels} ELSE upper(e) END AS label FROM p"""
 
