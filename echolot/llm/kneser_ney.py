@@ -15,6 +15,8 @@ import numpy as np
 #: Characters of an n-gram (at most 5), discount, probability mass unit of characters never seen.
 ORDER, DISCOUNT, ALPHABET = 4, 0.75, 4093
 _BITS = 12
+#: Words that are scored at a time.
+BLOCK = 20_000
 
 
 def word_keys(words: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +150,7 @@ def train(tables: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER,
 class WordScores:
     """Scores of words in all models, remembered for a bounded number of words."""
 
-    def __init__(self, models: CharacterModels, entries: int = 600_000) -> None:
+    def __init__(self, models: CharacterModels, entries: int = 300_000) -> None:
         self.models, self.entries = models, entries
         self.places: dict[str, int] = {}
         self.table = np.zeros((0, len(models.names)), np.float32)
@@ -164,7 +166,8 @@ class WordScores:
         if new:
             base = len(self.table)
             self.places.update(zip(new, range(base, base + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self.models.score_words(new)])
+            scored = [self.models.score_words(new[low : low + BLOCK]) for low in range(0, len(new), BLOCK)]
+            self.table = np.concatenate([self.table, *scored])
 
     def total(self, words: list[str]) -> np.ndarray:
         at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))

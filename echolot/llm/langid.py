@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from echolot.llm.arrow import keyed_texts, map_arrow
 from echolot.llm.kneser_ney import DISCOUNT, ORDER, CharacterModels, WordScores, count_keys, train
 
-#: Different words after which a task sends its n-gram counts.
-FLUSH_WORDS = 400_000
+#: Different words, over all languages, after which a task sends its n-gram counts.
+FLUSH_WORDS = 200_000
+#: Documents that are judged at a time.
+SLICE = 500
 #: N-grams that the models of all languages may hold together: rarer ones are cut off, by a count that the data set.
 MODEL_ENTRIES = 4_000_000
 #: Share of training documents that calibrated rejection lets pass, bits of slack beyond it, and bits that
@@ -49,7 +51,7 @@ def ngram_counts(train_docs: DataFrame, lang: str = "lang", text: str = "text",
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts.setdefault(name, Counter()).update(_words(content))
-                if len(counts[name]) > FLUSH_WORDS:
+                if sum(map(len, counts.values())) > FLUSH_WORDS:
                     yield from flush()
         yield from flush()
 
@@ -105,8 +107,8 @@ def _judged(docs: DataFrame, columns: list[str], identifier: LanguageIdentifier,
         own = shared.value
         scores = WordScores(own.models)
         for batch in batches:
-            for low in range(0, batch.num_rows, 2000):
-                part = batch.slice(low, 2000)
+            for low in range(0, batch.num_rows, SLICE):
+                part = batch.slice(low, SLICE)
                 texts = part.column(part.num_columns - 1).to_pylist()
                 words = [_words(x or "") for x in texts]
                 scores.prepare(words)

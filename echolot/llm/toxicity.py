@@ -49,7 +49,7 @@ class Restorer:
 
     def __init__(self, models: CharacterModels) -> None:
         self.models = models
-        self.step = lru_cache(maxsize=200_000)(self._step)
+        self.step = lru_cache(maxsize=50_000)(self._step)
 
     def _step(self, context: str, character: str) -> float:
         key = 0
@@ -123,7 +123,7 @@ def word_features(word: str) -> list[int]:
 class WordReader:
     """Restored words of texts and values of words, remembered for a bounded number of tokens."""
 
-    def __init__(self, models: CharacterModels, evaluate, entries: int = 600_000) -> None:
+    def __init__(self, models: CharacterModels, evaluate, entries: int = 250_000) -> None:
         self.restorer, self.evaluate, self.entries = Restorer(models), evaluate, entries
         self.known: dict[str, object] = {}
 
@@ -175,7 +175,7 @@ def _feature_counts(labelled: DataFrame, models: CharacterModels) -> np.ndarray:
     shared = labelled.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
-        reader = WordReader(shared.value, word_features)
+        reader = WordReader(shared.value, word_features, 120_000)
         counts = np.zeros((2, BUCKETS + 1), np.int32)
         for batch in batches:
             for label, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
