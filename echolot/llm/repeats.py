@@ -7,8 +7,9 @@ and right as far as it stays the seed. Occurrences are joined on the seed; where
 the first stays and the others are repeats as they are, and only where stretches of one seed differ (at
 the ends of repeats) are single windows compared. Overlapping repeats then merge into maximal ones.
 
-Identical stretches inside one chunk of input meet before the shuffle, so a passage that many documents
-share sends one row for each chunk and not one for each document.
+Identical stretches inside one chunk of input meet before the shuffle: all but the first are repeats for
+certain and travel by their document, so a passage that many documents share sends one row for each chunk
+to the task that compares it, and not one for each document.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ BROADCAST_ROWS = 1_000_000
 CACHE_WORDS = 1_000_000
 
 _NULL_KEY = -(1 << 63)
-_OTHER = np.dtype([("doc", "<i8"), ("start", "<i4")])
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -79,20 +79,16 @@ def stretches(hashes: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, .
 
 
 def _merge_equal(seed: np.ndarray, content: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, out: pa.Schema) -> pa.RecordBatch:
-    """One row for each (seed, content) with the first occurrence, and the others packed."""
+    """The first occurrence of each (seed, content) as it is, the others without a seed."""
     order = np.lexsort((start, doc, content, seed))
     seed, content, doc, start, count = (x[order] for x in (seed, content, doc, start, count))
-    first = np.concatenate([[True], (seed[1:] != seed[:-1]) | (content[1:] != content[:-1])]) if len(seed) else np.zeros(0, bool)
-    others = np.empty(int((~first).sum()), _OTHER)
-    others["doc"], others["start"] = doc[~first], start[~first]
-    at = np.flatnonzero(first)
-    ends = np.cumsum(np.diff(np.concatenate([at, [len(seed)]])) - 1) if len(at) else np.zeros(0, np.int64)
-    offsets = (np.concatenate([[0], ends]) * _OTHER.itemsize).astype("<i4")
-    packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(others.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(seed[at].view(np.int64)), pa.array(content[at].view(np.int64)), pa.array(doc[at]), pa.array(start[at].astype(np.int32)), pa.array(count[at].astype(np.int32)), packed], schema=out)
+    later = np.zeros(len(seed), bool)
+    later[1:] = (seed[1:] == seed[:-1]) & (content[1:] == content[:-1])
+    columns = [pa.array(seed.view(np.int64), mask=later), pa.array(content.view(np.int64), mask=later), pa.array(doc), pa.array(start), pa.array(count)]
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
 
-_ROWS = "seed bigint, content bigint, doc bigint, start int, n int, others binary"
+_ROWS = "seed bigint, content bigint, doc bigint, start int, n int"
 
 
 def _occurrences(docs: DataFrame, length: int, seed: int) -> DataFrame:
@@ -152,47 +148,36 @@ def _later_copies(occurrences: DataFrame, mixed: bool) -> DataFrame:
         last_seed = last_content = None
         held: tuple[int, int, int] | None = None  # the only first occurrence so far of the seed at hand
         for batch in batches:
+            known = batch.column(0).null_count  # repeats for certain; they come first
+            if known:
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(0, known) for k in (0, 2, 3, 4)], schema=out)
+                batch = batch.slice(known)
             if not batch.num_rows:
                 continue
-            seed, content, doc, start, n = (c.to_numpy() for c in batch.columns[:5])
-            new_seed = np.concatenate([[seed[0] != last_seed or last_seed is None], seed[1:] != seed[:-1]])
+            seed, content, doc, start, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            new_seed = np.concatenate([[last_seed is None or seed[0] != last_seed], seed[1:] != seed[:-1]])
             new = new_seed | np.concatenate([[content[0] != last_content], content[1:] != content[:-1]])
-            lengths = batch.column(5).fill_null(b"").cast(pa.binary())
-            extra = np.frombuffer(b"".join(lengths.to_pylist()), _OTHER)
-            repeat = np.array([len(x) for x in lengths.to_pylist()], np.int64) // _OTHER.itemsize
-            docs = [doc[~new], extra["doc"]]
-            starts = [start[~new], extra["start"]]
-            counts = [n[~new], np.repeat(n, repeat)]
-            kinds = [np.zeros(0, np.int64)]
-            known = sum(map(len, docs))
+            parts = [(np.zeros((~new).sum(), np.int64), doc[~new], start[~new], n[~new])]
             if mixed:
                 at = np.flatnonzero(new)
-                run_of = np.cumsum(new_seed)[at] - 1 if new_seed[0] else np.cumsum(new_seed)[at]
-                size = np.bincount(run_of, minlength=int(new_seed.sum()) + (not new_seed[0]))
-                several = size > 1
-                if not new_seed[0] and size[0]:  # the seed at hand goes on with another content
+                run_of = np.cumsum(new_seed)[at] - int(new_seed[0])
+                several = np.bincount(run_of, minlength=run_of[-1] + 1 if len(at) else 1) > 1
+                if not new_seed[0] and len(at) and run_of[0] == 0:  # the seed at hand goes on with another content
                     several[0] = True
                     if held:
-                        docs.append(np.array([held[0]]))
-                        starts.append(np.array([held[1]], np.int32))
-                        counts.append(np.array([held[2]], np.int32))
-                        kinds.append(np.array([last_seed]))
+                        parts.append(tuple(np.array([x]) for x in (last_seed, *held)))
                     held = None
                 pick = at[several[run_of]]
-                docs.append(doc[pick])
-                starts.append(start[pick])
-                counts.append(n[pick])
-                kinds.append(seed[pick])
+                parts.append((seed[pick], doc[pick], start[pick], n[pick]))
                 if new_seed.any():
                     begin = np.flatnonzero(new_seed)[-1]
                     held = None if several[-1] else (int(doc[begin]), int(start[begin]), int(n[begin]))
             last_seed, last_content = seed[-1], content[-1]
-            tail = np.concatenate(kinds)
-            kind = pa.array(np.concatenate([np.zeros(known, np.int64), tail]), mask=np.arange(known + len(tail)) < known)
-            columns = [kind, pa.array(np.concatenate(docs)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(counts))]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+            columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            columns[0] = pa.array(columns[0], mask=np.arange(len(columns[0])) < len(parts[0][0]))
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
-    dealt = occurrences.repartition("seed").sortWithinPartitions("seed", "content", "doc", "start")
+    dealt = occurrences.repartition(F.coalesce("seed", "doc")).sortWithinPartitions("seed", "content", "doc", "start")
     return map_arrow(dealt, run, "seed bigint, doc bigint, start int, n int")
 
 
