@@ -203,7 +203,7 @@ def byte_level_reader(path: str, width: int = 4) -> SegmentReader:
         ids = [t.id for t in model(single)] if single else encode(text, None, False, False).ids
         return array(code, ids).tobytes()
 
-    return SegmentReader(evaluate)
+    return SegmentReader(evaluate, 2 * CACHE_ENTRIES)
 
 
 class WordEncoder(dict):
