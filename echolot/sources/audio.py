@@ -153,7 +153,7 @@ DECODERS: dict[str, Callable[[bytes], Pcm]] = {"wav": read_wav, "wave": read_wav
 
 
 def register_decoder(extension: str, decoder: Callable[[bytes], Pcm]) -> None:
-    """Decode files of an extension with a function from bytes to Pcm. It must be importable on the executors."""
+    """Decode files of an extension with a function from bytes to Pcm; it travels to the executors with each job."""
     DECODERS[extension.lower()] = decoder
 
 
@@ -162,9 +162,9 @@ def extension_of(path: str) -> str:
     return name.rsplit(".", 1)[1].lower() if "." in name[1:] else ""
 
 
-def decode_mono(path: str, data: bytes, rate: float = signal.RATE, maximum_seconds: float | None = None) -> Decoded:
+def decode_mono(path: str, data: bytes, rate: float = signal.RATE, maximum_seconds: float | None = None, decoders: dict[str, Callable[[bytes], Pcm]] | None = None) -> Decoded:
     """Mean of the channels at the given rate, of at most so many seconds."""
-    decoder = DECODERS.get(extension_of(path))
+    decoder = (DECODERS if decoders is None else decoders).get(extension_of(path))
     if decoder is None:
         raise DecodeError(f"no {extension_of(path).upper() or 'such'} decoder registered")
     pcm = decoder(data)
@@ -186,13 +186,15 @@ def analyze_content(files: DataFrame, minimum_duration: float = 2.0, maximum_sec
     """Decode and fingerprint files (idx, path, content). What can't be used has an error and nulls."""
     from echolot.functions.formats import LOSSLESS_CODECS
 
+    decoders = dict(DECODERS)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for idx, path, content in zip(batch["idx"], batch["path"], batch["content"], strict=True):
                 row = dict.fromkeys((c.split()[0] for c in ANALYSIS.split(", ")), None) | {"idx": idx}
                 try:
-                    got = decode_mono(path, bytes(content), signal.RATE, maximum_seconds)
+                    got = decode_mono(path, bytes(content), signal.RATE, maximum_seconds, decoders)
                     if got.duration < minimum_duration:
                         raise DecodeError(f"shorter than {minimum_duration:g}s")
                     print_, lead, trail = signal.analyze(got.samples)
@@ -217,13 +219,14 @@ def read_content(spark: SparkSession, files: DataFrame) -> DataFrame:
 
 def decode(files: DataFrame, rate: float = signal.RATE, maximum_seconds: float | None = None) -> DataFrame:
     """Samples of files (idx, path, content) as arrays of floats, for a PCM dump; undecodable files have an error."""
+    decoders = dict(DECODERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for idx, path, content in zip(batch["idx"], batch["path"], batch["content"], strict=True):
                 try:
-                    rows.append((idx, decode_mono(path, bytes(content), rate, maximum_seconds).samples, None))
+                    rows.append((idx, decode_mono(path, bytes(content), rate, maximum_seconds, decoders).samples, None))
                 except DecodeError as e:
                     rows.append((idx, None, str(e)))
             yield pd.DataFrame(rows, columns=["idx", "samples", "error"])
@@ -233,13 +236,14 @@ def decode(files: DataFrame, rate: float = signal.RATE, maximum_seconds: float |
 
 def probe(files: DataFrame) -> DataFrame:
     """What decoders say about files (idx, path, content): codec, rate, channels, depth, frames, error."""
+    decoders = dict(DECODERS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for idx, path, content in zip(batch["idx"], batch["path"], batch["content"], strict=True):
                 try:
-                    decoder = DECODERS.get(extension_of(path))
+                    decoder = decoders.get(extension_of(path))
                     if decoder is None:
                         raise DecodeError("no decoder registered")
                     pcm = decoder(bytes(content))
