@@ -6,7 +6,7 @@ nullable duration, content_duration, sample_rate, bit_depth, channel_count and l
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolot.functions.formats import path_depth
@@ -48,13 +48,16 @@ def quality_order(a: Column, b: Column) -> Column:
 
 def complete_files(files: DataFrame) -> DataFrame:
     """Files about as long as the longest of their group; an unknown length counts as the longest."""
-    longest = F.max("content_duration").over(Window.partitionBy("rep"))
-    marked = files.withColumn("__longest", longest)
+    longest = files.groupBy("rep").agg(F.max("content_duration").alias("__longest"))
+    marked = files.join(longest, "rep")
     return marked.where(F.col("__longest").isNull() | (F.coalesce("content_duration", "__longest") >= F.col("__longest") * COMPLETE)).drop("__longest")
 
 
 def best_quality(files: DataFrame) -> DataFrame:
-    """(rep, idx): fold over the files in order, the last of equals wins. The order matters, as the relation has cycles."""
+    """(rep, idx): fold over the files in order, the last of equals wins.
+
+    The order matters, as the relation has cycles; so the attributes of a group (some 100 bytes a file) meet in one row.
+    """
     packed = complete_files(files).groupBy("rep").agg(F.array_sort(F.collect_list(F.struct(*_QUALITY))).alias("fs"))
     folded = F.aggregate(F.slice("fs", 2, F.greatest(F.size("fs") - 1, F.lit(0))), F.element_at("fs", 1), lambda best, x: F.when(quality_order(best, x) <= 0, x).otherwise(best))
     return packed.select("rep", folded.alias("keep")).select("rep", F.col("keep.idx").alias("idx"))
@@ -65,15 +68,15 @@ def keepers(files: DataFrame, rule: KeepRule | str) -> DataFrame:
     rule = KeepRule(rule)
     if rule is KeepRule.BEST_QUALITY:
         return best_quality(files)
-    orders = {
-        KeepRule.LARGEST: [F.desc("byte_size"), F.desc("idx")],
-        KeepRule.SMALLEST: [F.asc("byte_size"), F.asc("idx")],
-        KeepRule.OLDEST: [F.asc("modified"), F.asc("idx")],
-        KeepRule.NEWEST: [F.desc("modified"), F.desc("idx")],
-        KeepRule.SHALLOWEST: [path_depth("path").asc(), F.length("path").asc(), F.asc("path")],
+    least = {
+        KeepRule.SMALLEST: F.min(F.struct("byte_size", "idx")),
+        KeepRule.OLDEST: F.min(F.struct("modified", "idx")),
+        KeepRule.SHALLOWEST: F.min(F.struct(path_depth("path").alias("depth"), F.length("path").alias("length"), "path", "idx")),
+        KeepRule.LARGEST: F.max(F.struct("byte_size", "idx")),
+        KeepRule.NEWEST: F.max(F.struct("modified", "idx")),
     }
-    placed = F.row_number().over(Window.partitionBy("rep").orderBy(*orders[rule]))
-    return files.withColumn("__place", placed).where("__place = 1").select("rep", "idx")
+    # aggregates of one row, so a group of any size is reduced before the shuffle
+    return files.groupBy("rep").agg(least[rule].alias("keep")).select("rep", F.col("keep.idx").alias("idx"))
 
 
 def marks(files: DataFrame, rule: KeepRule | str) -> DataFrame:

@@ -53,7 +53,7 @@ def scan(spark: SparkSession, roots: list[str], options: ScanOptions | None = No
     if options.find_similar:
         firsts = exact.representatives(files, found)
         if firsts.limit(1).count():
-            analysed = materialize(audio.analyze_content(audio.read_content(spark, firsts), options.minimum_duration, options.maximum_seconds), "analysed")
+            analysed = audio.analyze_files(spark, firsts, options.minimum_duration, options.maximum_seconds)
             joined = files.join(analysed.drop("error", "leading", "trailing", "truncated"), "idx", "left")
             files = materialize(exact.fill_from_representative(joined, found, _ATTRIBUTES), "files")
             fps = analysed.where("values IS NOT NULL").select("idx", "values", "shape", "flux", F.col("content_duration").alias("duration"))

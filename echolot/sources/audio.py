@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from echolot.functions import signal
-from echolot.sources.folder import plain_path
+from echolot.sources.folder import map_listed
 
 
 class DecodeError(Exception):
@@ -210,11 +210,9 @@ def analyze_content(files: DataFrame, minimum_duration: float = 2.0, maximum_sec
     return files.select("idx", "path", "content").mapInPandas(run, ANALYSIS)
 
 
-def read_content(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """(idx, path, content) of files that still have to be decoded."""
-    paths = [r["path"] for r in files.select("path").collect()]
-    content = spark.read.format("binaryFile").load(paths).select(plain_path("path").alias("path"), "content")
-    return files.select("idx", "path").join(content, "path")
+def analyze_files(spark: SparkSession, files: DataFrame, minimum_duration: float = 2.0, maximum_seconds: float = 120.0) -> DataFrame:
+    """Decode and fingerprint the files that a table (idx, path) lists."""
+    return map_listed(spark, files, lambda content: analyze_content(content, minimum_duration, maximum_seconds), "analysed")
 
 
 def decode(files: DataFrame, rate: float = signal.RATE, maximum_seconds: float | None = None) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +13,10 @@ from pyspark.sql import functions as F
 from echolot.functions import formats
 from echolot.operators.order import with_order
 from echolot.options import ScanOptions
+from echolot.runtime import scratch_root
+
+#: Paths that one read job is given.
+PATHS_AT_ONCE = 20_000
 
 
 def plain_path(path: str | Column) -> Column:
@@ -46,13 +53,28 @@ def collect(spark: SparkSession, roots: list[str], options: ScanOptions | None =
     return with_order(once, [F.split("path", "/")]).withColumn("format_name", formats.format_label(formats.extension_of("path")))
 
 
+def map_listed(spark: SparkSession, files: DataFrame, function: Callable[[DataFrame], DataFrame], tag: str) -> DataFrame:
+    """Apply a function from (idx, path, content) to the binary files that a table lists, and read no others.
+
+    Paths go to the reader PATHS_AT_ONCE at a time, so the driver never holds the whole list. Only what the
+    function makes of the content is written, to one table in the shared folder.
+    """
+    path = f"{scratch_root(spark)}/echolot-{tag}-{uuid.uuid4().hex}"
+    empty = spark.createDataFrame([], "idx bigint, path string, content binary")
+    listed = files.select("idx", "path").toLocalIterator()
+    found = False
+    while chunk := [(r["idx"], r["path"]) for r in islice(listed, PATHS_AT_ONCE)]:
+        rows = spark.createDataFrame(chunk, "idx bigint, path string")
+        read = spark.read.format("binaryFile").load([p for _, p in chunk]).select(plain_path("path").alias("path"), "content")
+        function(read.join(F.broadcast(rows), "path").select("idx", "path", "content")).write.mode("append").parquet(path)  # at most PATHS_AT_ONCE rows
+        found = True
+    made = function(empty)
+    return spark.read.schema(made.schema).parquet(path) if found else made
+
+
 def with_content_hash(spark: SparkSession, files: DataFrame) -> DataFrame:
     """(idx, content_hash) of files: SHA-256 over the bytes, read for these files only.
 
     The JVM hashes the whole value, so files up to 2 GB; larger ones are outside binaryFile's reach.
     """
-    paths = [r["path"] for r in files.select("path").collect()] if files.limit(1).count() else []
-    if not paths:
-        return files.select("idx").withColumn("content_hash", F.lit(None).cast("string")).limit(0)
-    content = spark.read.format("binaryFile").load(paths).select(plain_path("path").alias("path"), F.sha2("content", 256).alias("content_hash"))
-    return files.select("idx", "path").join(content, "path").select("idx", "content_hash")
+    return map_listed(spark, files, lambda content: content.select("idx", F.sha2("content", 256).alias("content_hash")), "hashes")
