@@ -1,4 +1,7 @@
-"""Byte-identical files: cheap key first, hash second, collapse before anything expensive."""
+"""Byte-identical files: cheap key first, hash second, collapse before anything expensive.
+
+Groups are tables with one row per member, so that a group of any size stays spread over tasks.
+"""
 
 from __future__ import annotations
 
@@ -13,15 +16,15 @@ def size_candidates(files: DataFrame, size: str = "byte_size") -> DataFrame:
 
 
 def exact_groups(hashed: DataFrame, idx: str = "idx", content_hash: str = "content_hash", size: str = "byte_size") -> DataFrame:
-    """Groups (content_hash, members, files, rep, reclaimable) of files with equal hashes; null hashes are unique."""
+    """Groups (content_hash, files, rep, reclaimable) of files with equal hashes; null hashes are unique."""
     grouped = hashed.where(F.col(content_hash).isNotNull()).groupBy(F.col(content_hash).alias("content_hash"))
-    made = grouped.agg(
-        F.array_sort(F.collect_list(idx)).alias("members"),
-        F.count("*").alias("files"),
-        F.min(idx).alias("rep"),
-        reclaimable(F.col(size)).alias("reclaimable"),
-    )
-    return made.where("files > 1")
+    return grouped.agg(F.count("*").alias("files"), F.min(idx).alias("rep"), reclaimable(F.col(size)).alias("reclaimable")).where("files > 1")
+
+
+def exact_members(hashed: DataFrame, groups: DataFrame, idx: str = "idx", content_hash: str = "content_hash") -> DataFrame:
+    """(idx, rep): the files of each exact group."""
+    keyed = hashed.select(F.col(idx).alias("idx"), F.col(content_hash).alias("content_hash"))
+    return keyed.join(groups.select("content_hash", "rep"), "content_hash").select("idx", "rep")
 
 
 def reclaimable(size: Column) -> Column:
@@ -29,16 +32,15 @@ def reclaimable(size: Column) -> Column:
     return F.when(F.count("*") > 1, F.sum(size) - F.max(size)).otherwise(F.lit(0)).cast("bigint")
 
 
-def representatives(files: DataFrame, groups: DataFrame, idx: str = "idx") -> DataFrame:
+def representatives(files: DataFrame, members: DataFrame, idx: str = "idx") -> DataFrame:
     """Files without the later members of exact groups."""
-    later = groups.select(F.explode("members").alias(idx), "rep").where(F.col(idx) != F.col("rep")).select(idx)
+    later = members.where("idx <> rep").select(F.col("idx").alias(idx))
     return files.join(later, idx, "left_anti")
 
 
-def fill_from_representative(files: DataFrame, groups: DataFrame, columns: list[str], idx: str = "idx") -> DataFrame:
+def fill_from_representative(files: DataFrame, members: DataFrame, columns: list[str], idx: str = "idx") -> DataFrame:
     """Copy attributes found for a representative to the members that it stands for, where they have none."""
-    member = groups.select(F.explode("members").alias(idx), "rep")
     source = files.select(F.col(idx).alias("rep"), *(F.col(c).alias(f"__{c}") for c in columns))
-    known = member.join(source, "rep").drop("rep")
+    known = members.select(F.col("idx").alias(idx), "rep").join(source, "rep").drop("rep")
     joined = files.join(known, idx, "left")
     return joined.select(*(F.coalesce(c, f"__{c}").alias(c) if c in columns else F.col(c) for c in files.columns))

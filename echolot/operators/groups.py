@@ -1,4 +1,7 @@
-"""Exact and similar groups together: expansion, absorption, order, marks and reports."""
+"""Exact and similar groups together: expansion, absorption, order, marks and reports.
+
+Groups are tables with one row per member: kind, rep (the first file of the group), idx, confidence.
+"""
 
 from __future__ import annotations
 
@@ -7,47 +10,39 @@ from pyspark.sql import functions as F
 
 
 def expand_similar(similar: DataFrame, exact: DataFrame) -> DataFrame:
-    """Similar groups of representatives with all the files that these stand for."""
-    reps = similar.select("rep", "confidence", F.explode("members").alias("idx"))
-    copies = exact.select(F.col("rep").alias("idx"), F.col("members").alias("copies"))
-    full = reps.join(copies, "idx", "left").select("rep", "confidence", F.explode(F.coalesce("copies", F.array("idx"))).alias("idx"))
-    return full.groupBy("rep", "confidence").agg(F.array_sort(F.collect_list("idx")).alias("members"))
+    """Similar groups (rep, idx, confidence) of representatives with all the files that these stand for (exact: idx, rep)."""
+    copies = exact.where("idx <> rep").select(F.col("rep").alias("idx"), F.col("idx").alias("copy"))
+    return similar.unionByName(similar.join(copies, "idx").select("rep", F.col("copy").alias("idx"), "confidence"))
 
 
 def absorb_exact(exact: DataFrame, similar: DataFrame) -> DataFrame:
     """Exact groups that no similar group holds: copies move together, so the representative decides."""
-    inside = similar.select(F.explode("members").alias("rep"))
-    return exact.join(inside, "rep", "left_anti")
+    return exact.join(similar.select(F.col("idx").alias("rep")).distinct(), "rep", "left_anti")
 
 
 def all_groups(exact: DataFrame, similar: DataFrame) -> DataFrame:
-    """(kind, rep, members, confidence) of exact groups that remain and similar ones."""
-    one = absorb_exact(exact, similar).select(F.lit("exact").alias("kind"), "rep", "members", F.lit(1.0).alias("confidence"))
-    return one.unionByName(similar.select(F.lit("similar").alias("kind"), F.element_at("members", 1).alias("rep"), "members", "confidence"))
-
-
-def group_files(groups: DataFrame, files: DataFrame, idx: str = "idx") -> DataFrame:
-    """One row per file of each group, with all its columns."""
-    return groups.select("kind", "rep", "confidence", F.explode("members").alias(idx)).join(files, idx)
+    """(kind, rep, idx, confidence) of exact groups that remain and similar ones."""
+    one = absorb_exact(exact, similar).select(F.lit("exact").alias("kind"), "rep", "idx", F.lit(1.0).alias("confidence"))
+    return one.unionByName(similar.select(F.lit("similar").alias("kind"), "rep", "idx", "confidence"))
 
 
 def ranked(groups: DataFrame, files: DataFrame, idx: str = "idx", size: str = "byte_size") -> DataFrame:
-    """Groups with reclaimable bytes, the most first; exact before similar, then file order, on ties."""
-    sized = group_files(groups, files, idx).groupBy("kind", "rep", "confidence").agg(
-        F.array_sort(F.collect_list(idx)).alias("members"), (F.sum(size) - F.max(size)).cast("bigint").alias("reclaimable"), F.count("*").alias("files")
-    )
-    return sized.orderBy(F.desc("reclaimable"), F.when(F.col("kind") == "exact", 0).otherwise(1), "rep")
+    """Groups with numbers of files and reclaimable bytes, the most first; exact before similar, then file order, on ties."""
+    sized = groups.join(files.select(F.col(idx).alias("idx"), F.col(size).alias("size")), "idx").groupBy("kind", "rep")
+    made = sized.agg(F.min("confidence").alias("confidence"), F.count("*").alias("files"), (F.sum("size") - F.max("size")).cast("bigint").alias("reclaimable"))
+    return made.orderBy(F.desc("reclaimable"), F.when(F.col("kind") == "exact", 0).otherwise(1), "rep")
 
 
 def summary(groups: DataFrame) -> DataFrame:
-    """Numbers of groups, files and reclaimable bytes."""
+    """Numbers of groups, files and reclaimable bytes of a ranked table."""
     return groups.agg(F.count("*").alias("groups"), F.coalesce(F.sum("files"), F.lit(0)).cast("bigint").alias("files"), F.coalesce(F.sum("reclaimable"), F.lit(0)).cast("bigint").alias("reclaimable"))
 
 
 def after_removal(groups: DataFrame, removed: DataFrame, idx: str = "idx") -> DataFrame:
-    """Groups without removed files; those with fewer than two left go."""
-    left = groups.select("kind", "rep", "confidence", F.explode("members").alias(idx)).join(removed.select(idx), idx, "left_anti")
-    return left.groupBy("kind", "rep", "confidence").agg(F.array_sort(F.collect_list(idx)).alias("members")).where(F.size("members") > 1)
+    """Members of groups without removed files; groups with fewer than two left go."""
+    left = groups.join(removed.select(F.col(idx).alias("idx")), "idx", "left_anti")
+    enough = left.groupBy("kind", "rep").agg(F.count("*").alias("n")).where("n > 1").select("kind", "rep")
+    return left.join(enough, ["kind", "rep"], "left_semi")
 
 
 def compare_reports(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:

@@ -113,11 +113,10 @@ def match_edges(fps: DataFrame, options: MatchOptions) -> DataFrame:
 
 
 def groups_of(edges: DataFrame) -> DataFrame:
-    """(rep, members, confidence): connected files; the confidence is the weakest direct link."""
+    """(rep, idx, confidence): connected files; the confidence is the weakest direct link of the group."""
     labels = connected_components(edges.select("a", "b"))
     weakest = edges.join(labels, edges.a == labels.vertex).groupBy("component").agg(F.min("score").alias("confidence"))
-    members = labels.groupBy("component").agg(F.array_sort(F.collect_list("vertex")).alias("members")).where(F.size("members") > 1)
-    return members.join(weakest, "component").select(F.col("component").alias("rep"), "members", "confidence")
+    return labels.join(weakest, "component").select(F.col("component").alias("rep"), F.col("vertex").alias("idx"), "confidence")
 
 
 def match_groups(fps: DataFrame, options: MatchOptions) -> DataFrame:

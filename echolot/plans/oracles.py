@@ -146,7 +146,7 @@ _TEMPORAL = f"WITH {_FRAMES}, {_ALL}, {_INDEX}"
 
 ORACLES: dict[str, str] = {
     "size_candidates": f"WITH {_EXACT} SELECT idx, byte_size FROM c",
-    "exact_groups": f"WITH {_EXACT} SELECT rep, files, array_to_string(members, ',') AS members FROM x",
+    "exact_groups": f"WITH {_EXACT} SELECT rep, unnest(members) AS idx FROM x",
     "exact_reclaimable": f"WITH {_EXACT} SELECT rep, content_hash, files, reclaimable FROM x",
     "representatives": f"WITH {_EXACT} SELECT idx, byte_size FROM s WHERE idx NOT IN (SELECT m FROM (SELECT unnest(members) AS m, rep FROM x) WHERE m <> rep)",
     "attribute_fill": f"WITH {_EXACT} SELECT s.idx, 'r' || CAST(coalesce(m.rep, s.idx) AS VARCHAR) AS attribute FROM s LEFT JOIN (SELECT unnest(members) AS m, rep FROM x) m ON m.m = s.idx",

@@ -61,29 +61,31 @@ def size_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.size_candidates(files(spark, sf_dir).select("idx", "byte_size")).select("idx", "byte_size")
 
 
-def _exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.exact_groups(exact.size_candidates(files(spark, sf_dir)))
+def _exact(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(groups, members) of equal documents."""
+    candidates = exact.size_candidates(files(spark, sf_dir))
+    found = exact.exact_groups(candidates)
+    return found, exact.exact_members(candidates, found)
 
 
 def exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _exact(spark, sf_dir)
-    return found.select("rep", "files", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+    return _exact(spark, sf_dir)[1].select("rep", "idx")
 
 
 def exact_reclaimable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exact(spark, sf_dir).select("rep", "content_hash", "files", "reclaimable")
+    return _exact(spark, sf_dir)[0].select("rep", "content_hash", "files", "reclaimable")
 
 
 def representatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.representatives(files(spark, sf_dir), _exact(spark, sf_dir)).select("idx", "byte_size")
+    return exact.representatives(files(spark, sf_dir), _exact(spark, sf_dir)[1]).select("idx", "byte_size")
 
 
 def attribute_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Representatives are labelled; their copies take the label over."""
     own = files(spark, sf_dir)
-    found = _exact(spark, sf_dir)
-    first = exact.representatives(own, found).select("idx").withColumn("attribute", F.concat(F.lit("r"), F.col("idx").cast("string")))
-    return exact.fill_from_representative(own.select("idx").join(first, "idx", "left"), found, ["attribute"]).select("idx", "attribute")
+    _, members = _exact(spark, sf_dir)
+    first = exact.representatives(own, members).select("idx").withColumn("attribute", F.concat(F.lit("r"), F.col("idx").cast("string")))
+    return exact.fill_from_representative(own.select("idx").join(first, "idx", "left"), members, ["attribute"]).select("idx", "attribute")
 
 
 # similar pass
@@ -135,8 +137,8 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _similar(spark: SparkSession, sf_dir: str, level: Level) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(files, exact groups, expanded similar groups), with the similar pass over representatives only."""
-    own, found = files(spark, sf_dir), materialize(_exact(spark, sf_dir), "exact")
+    """(files, exact members, expanded similar groups), with the similar pass over representatives only."""
+    own, found = files(spark, sf_dir), materialize(_exact(spark, sf_dir)[1], "exact")
     options = MatchOptions.for_level(level)
     fps = materialize(exact.representatives(_usable(spark, sf_dir), found), "fps")
     linked = materialize(matcher.temporal_edges(matcher.aligned(_best(fps, options), fps, options), options), "edges")
@@ -145,14 +147,14 @@ def _similar(spark: SparkSession, sf_dir: str, level: Level) -> tuple[DataFrame,
 
 def group_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = materialize(_edges(spark, sf_dir, Level.VERY_RELAXED), "edges")
-    found = matcher.groups_of(linked)
-    return found.select("rep", F.size("members").cast("bigint").alias("files"), F.round("confidence", 9).alias("confidence"))
+    found = matcher.groups_of(linked).groupBy("rep").agg(F.count("*").alias("files"), F.min("confidence").alias("confidence"))
+    return found.select("rep", "files", F.round("confidence", 9).alias("confidence"))
 
 
 def absorption(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups that no similar group holds."""
     _, found, similar = _similar(spark, sf_dir, Level.VERY_STRICT)
-    return groups.absorb_exact(found, similar).select("rep", "files")
+    return groups.absorb_exact(found, similar).groupBy("rep").agg(F.count("*").alias("files"))
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,9 +291,9 @@ def marked_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def groups_after_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _group_rows(spark, sf_dir)
-    made = rows.groupBy("rep").agg(F.array_sort(F.collect_list("idx")).alias("members")).select(F.lit("exact").alias("kind"), "rep", "members", F.lit(1.0).alias("confidence"))
+    made = rows.select(F.lit("exact").alias("kind"), "rep", "idx", F.lit(1.0).alias("confidence"))
     left = groups.after_removal(made, keep.keepers(rows, KeepRule.OLDEST))
-    return left.select("rep", F.size("members").cast("bigint").alias("files"))
+    return left.groupBy("rep").agg(F.count("*").alias("files"))
 
 
 # projections

@@ -16,16 +16,18 @@ from echolot.sources import audio, folder
 
 @dataclass
 class ScanResult:
-    """Tables of a scan. `groups` has kind, rep, confidence, members, files, reclaimable, the largest gain first."""
+    """Tables of a scan. `groups` has kind, rep, confidence, files, reclaimable, the largest gain first;
+    `membership` has kind, rep, idx, confidence."""
 
     files: DataFrame
     groups: DataFrame
+    membership: DataFrame
     skipped: DataFrame
     options: ScanOptions
 
     def members(self) -> DataFrame:
         """One row per file of each group."""
-        return groups.group_files(self.groups, self.files)
+        return self.membership.join(self.files, "idx")
 
     def keepers(self, rule: str) -> DataFrame:
         rows = self.members()
@@ -47,8 +49,8 @@ def scan(spark: SparkSession, roots: list[str], options: ScanOptions | None = No
     hashes = folder.with_content_hash(spark, exact.size_candidates(files)) if options.find_exact else None
     files = files.join(hashes, "idx", "left") if hashes is not None else files.withColumn("content_hash", F.lit(None).cast("string"))
     files = materialize(files, "hashed")
-    found = materialize(exact.exact_groups(files), "exact")
-    similar = spark.createDataFrame([], "rep bigint, confidence double, members array<bigint>")
+    found = materialize(exact.exact_members(files, exact.exact_groups(files)), "exact")
+    similar = spark.createDataFrame([], "rep bigint, idx bigint, confidence double")
     skipped = spark.createDataFrame([], "name string, reason string")
     if options.find_similar:
         firsts = exact.representatives(files, found)
@@ -65,5 +67,5 @@ def scan(spark: SparkSession, roots: list[str], options: ScanOptions | None = No
     else:
         empty = {"values": "array<bigint>", "shape": "array<smallint>", "flux": "double", "codec": "string", "codec_is_lossless": "boolean", "bit_depth": "int", "channel_count": "int"}
         files = files.select("*", *(F.lit(None).cast(empty.get(c, "double")).alias(c) for c in _ATTRIBUTES))
-    all_ = groups.all_groups(found, similar)
-    return ScanResult(files, groups.ranked(materialize(all_, "groups"), files), skipped, options)
+    membership = materialize(groups.all_groups(found, similar), "groups")
+    return ScanResult(files, groups.ranked(membership, files), membership, skipped, options)

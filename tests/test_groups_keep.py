@@ -67,22 +67,25 @@ def test_marks_never_empty_a_group(spark):
 def test_exact_pass(spark):
     files = spark.createDataFrame([(0, 5, "x"), (1, 5, "x"), (2, 5, "y"), (3, 6, "x"), (4, 7, None), (5, 7, None)], "idx bigint, byte_size bigint, content_hash string")
     assert sorted(r.idx for r in exact.size_candidates(files).collect()) == [0, 1, 2, 4, 5]
-    found = exact.exact_groups(exact.size_candidates(files))
-    assert [(r.members, r.reclaimable) for r in found.collect()] == [([0, 1], 5)]
+    made = exact.exact_groups(exact.size_candidates(files))
+    assert [(r.files, r.rep, r.reclaimable) for r in made.collect()] == [(2, 0, 5)]
+    found = exact.exact_members(files.where("idx < 2"), made)
+    assert sorted(map(tuple, found.collect())) == [(0, 0), (1, 0)]
     assert sorted(r.idx for r in exact.representatives(files, found).collect()) == [0, 2, 3, 4, 5]
     marked = files.withColumn("tag", files.byte_size.cast("string")).selectExpr("idx", "CASE WHEN idx <> 1 THEN tag END AS tag")
     assert {r.idx: r.tag for r in exact.fill_from_representative(marked, found, ["tag"]).collect()}[1] == "5"
 
 
 def test_expansion_absorption_order(spark):
-    found = spark.createDataFrame([([0, 1], 0), ([5, 6], 5)], "members array<bigint>, rep bigint")
-    similar = spark.createDataFrame([(0, [0, 3], 0.9)], "rep bigint, members array<bigint>, confidence double")
+    found = spark.createDataFrame([(0, 0), (1, 0), (5, 5), (6, 5)], "idx bigint, rep bigint")
+    similar = spark.createDataFrame([(0, 0, 0.9), (0, 3, 0.9)], "rep bigint, idx bigint, confidence double")
     wide = groups.expand_similar(similar, found)
-    assert wide.collect()[0].members == [0, 1, 3]
+    assert sorted(r.idx for r in wide.collect()) == [0, 1, 3]
     files = spark.createDataFrame([(i, 10) for i in range(8)], "idx bigint, byte_size bigint")
-    ranked = groups.ranked(groups.all_groups(found, wide), files).collect()
-    assert [(r.kind, r.members, r.reclaimable) for r in ranked] == [("similar", [0, 1, 3], 20), ("exact", [5, 6], 10)]
+    every = groups.all_groups(found, wide)
+    ranked = groups.ranked(every, files).collect()
+    assert [(r.kind, r.rep, r.files, r.reclaimable) for r in ranked] == [("similar", 0, 3, 20), ("exact", 5, 2, 10)]
     gone = spark.createDataFrame([(6,)], "idx bigint")
-    assert groups.after_removal(groups.all_groups(found, wide), gone).count() == 1
+    assert {r.kind for r in groups.after_removal(every, gone).collect()} == {"similar"}
     a, b = spark.createDataFrame([(1, 2), (2, 3), (3, 3)], "k int, v int"), spark.createDataFrame([(1, 2), (2, 4), (9, 9)], "k int, v int")
     assert {r.k: r.status for r in groups.compare_reports(a, b, "k", "v").collect()} == {1: "same", 2: "changed", 3: "only_a", 9: "only_b"}
