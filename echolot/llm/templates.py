@@ -32,13 +32,15 @@ COPY_SHARE = 0.5
 BROADCAST_ROWS = 1_000_000
 
 _WILD = "<*>"
-_DIGIT = re.compile(r"\S*\d\S*")
+_DIGIT = re.compile(r"\d")
 
 
 def mask(line: str) -> list[str]:
     """Tokens with variable fields as wildcards."""
     tokens = line.split()
-    return _DIGIT.sub(_WILD, " ".join(tokens)).split(" ") if tokens else tokens
+    if _DIGIT.search(line):
+        tokens = [_WILD if _DIGIT.search(t) else t for t in tokens]
+    return tokens
 
 
 def _hash(text: str) -> int:
@@ -46,29 +48,18 @@ def _hash(text: str) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def line_key(line: str, depth: int = DEPTH) -> tuple[int, int, str] | None:
-    """(leaf, hash of the masked line, masked line), or None for a line without tokens."""
-    tokens = mask(line)
-    if not tokens:
-        return None
-    masked = " ".join(tokens)
-    return _hash(f"{len(tokens)} {' '.join(tokens[:depth])}"), _hash(masked), masked
-
-
-class Templates:
-    """Recurring templates: leaf patterns, and masked lines that are templates of their own."""
+def leaf_of(tokens: list[str], depth: int = DEPTH) -> int:
+    return _hash(f"{len(tokens)} {' '.join(tokens[:depth])}")
 
-    def __init__(self, patterns: dict[int, list[str | None]], recurring: dict[int, int], first: dict[int, int]) -> None:
-        self.patterns, self.recurring, self.first = patterns, recurring, first
 
-
-def conforms(masked: list[str], pattern: list[str | None]) -> bool:
-    return all(p is None or p == t for p, t in zip(pattern, masked, strict=True))
+def masked_line(tokens: list[str]) -> tuple[int, str]:
+    """Hash of a masked line, and the line."""
+    masked = " ".join(tokens)
+    return _hash(masked), masked
 
 
-def template_id(leaf: int, own: int, masked: str, pattern: list[str | None] | None) -> int:
-    """The leaf's template if the line agrees with it, else the masked line."""
-    return leaf if pattern is not None and conforms(masked.split(" "), pattern) else own
+def conforms(tokens: list[str], pattern: list[str | None]) -> bool:
+    return all(p is None or p == t for p, t in zip(pattern, tokens, strict=True))
 
 
 def _leaf_rows(docs: DataFrame, depth: int) -> DataFrame:
@@ -78,7 +69,7 @@ def _leaf_rows(docs: DataFrame, depth: int) -> DataFrame:
         for batch in batches:
             seen: Counter = Counter()
             for content in batch.column(1).to_pylist():
-                seen.update({k[0] for line in content.split("\n") if (k := line_key(line, depth))})
+                seen.update({leaf_of(tokens, depth) for line in content.split("\n") if (tokens := mask(line))})
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], schema=out)
 
     return map_arrow(docs, run, "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n").alias("n"))
@@ -93,7 +84,13 @@ def _lines(docs: DataFrame, depth: int, leaves: np.ndarray | None) -> DataFrame:
         for batch in batches:
             found: dict[tuple[int, int, str], list] = {}
             for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for key in {k for line in content.split("\n") if (k := line_key(line, depth)) and (wanted is None or k[0] in wanted.value)}:
+                keys = set()
+                for line in content.split("\n"):
+                    tokens = mask(line)
+                    leaf = leaf_of(tokens, depth) if tokens else 0
+                    if tokens and (wanted is None or leaf in wanted.value):
+                        keys.add((leaf, *masked_line(tokens)))
+                for key in keys:
                     entry = found.setdefault(key, [doc, 0])
                     entry[0] = min(entry[0], doc)
                     entry[1] += 1
@@ -115,19 +112,19 @@ def _patterns(lines: DataFrame, constant: float, solid: float) -> DataFrame:
     return pattern.where(share >= solid)
 
 
-def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT, solid: float = SOLID, copy_share: float = COPY_SHARE, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT, solid: float = SOLID, copy_share: float = COPY_SHARE, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Drop lines whose template occurs in at least `min_docs` documents, but in the first of them.
 
     Lines end at newlines; lines without tokens are never dropped. A template's documents are counted once
     for each different masked line. The document with the least key keeps its lines. A document with over
     `copy_share` of its words in recurring lines is a copy of others and no carrier of boilerplate: it is left
     whole, for the near-duplicate operators to judge. Null and empty texts stay as they are. The key must be
-    an integer; null keys are never first. Repeated rows count each. Other columns are ignored; an empty
-    table gives an empty result.
+    an integer; null keys are never first. Repeated rows count each. Other columns are ignored, but those
+    named in `carry`, which must not be named like a column of the result; an empty table gives an empty result.
 
-    Returns doc_id, n_lines, n_removed, kept (the text without the dropped lines, null for null).
+    Returns doc_id, n_lines, n_removed, kept (the text without the dropped lines, null for null), carried columns.
     """
-    source = keyed_texts(docs, key, text).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *carry)
     texts = source.where("text IS NOT NULL").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "text")
     hot = materialize(_leaf_rows(texts, depth).where(F.col("n") >= min_docs).select("leaf"), "leaves")
     few = hot.count() <= BROADCAST_ROWS
@@ -142,35 +139,37 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MI
 
     if templates.count() <= BROADCAST_ROWS:
         rows = templates.collect()  # size checked above
-        shared = docs.sparkSession.sparkContext.broadcast(({r.template: r.pattern for r in rows if r.pattern is not None}, {r.template: r.doc for r in rows}))
+        shared = docs.sparkSession.sparkContext.broadcast(
+            ({r.leaf for r in rows}, {r.template: r.pattern for r in rows if r.pattern is not None}, {r.template: r.doc for r in rows})
+        )
 
         def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
-            pattern_of, first_of = shared.value
+            leaves, pattern_of, first_of = shared.value
             for batch in batches:
                 total, removed, kept = [], [], []
                 for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     parts = [] if content is None else content.split("\n")
                     drop, words, common = [], 0, 0
                     for at, line in enumerate(parts):
-                        found = line_key(line, depth)
-                        if not found:
+                        tokens = mask(line)
+                        words += len(tokens)
+                        leaf = leaf_of(tokens, depth) if tokens else None
+                        if leaf not in leaves:
                             continue
-                        leaf, own, masked = found
-                        n = masked.count(" ") + 1
-                        words += n
-                        template = template_id(leaf, own, masked, pattern_of.get(leaf))
-                        first = first_of.get(template)
+                        pattern = pattern_of.get(leaf)
+                        first = first_of.get(leaf if pattern is not None and conforms(tokens, pattern) else masked_line(tokens)[0])
                         if first is not None:
-                            common += n
+                            common += len(tokens)
                             if first != doc:
                                 drop.append(at)
                     gone = set() if common > copy_share * words else set(drop)
                     total.append(len(parts))
                     removed.append(len(gone))
                     kept.append(content if not gone else "\n".join(x for at, x in enumerate(parts) if at not in gone))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema=out)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *batch.columns[2:]], schema=out)
 
-        return map_arrow(source, run, "doc_id bigint, n_lines bigint, n_removed bigint, kept string")
+        extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[2:])
+        return map_arrow(source, run, f"doc_id bigint, n_lines bigint, n_removed bigint, kept string{extra}")
     return _drop_joined(source, templates, depth, copy_share)
 
 
@@ -181,10 +180,11 @@ def _drop_joined(source: DataFrame, templates: DataFrame, depth: int, copy_share
         for batch in batches:
             rows = []
             for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(doc, _hash(content), at, *found, found[2].count(" ") + 1) for at, line in enumerate(content.split("\n")) if (found := line_key(line, depth))]
+                lines = ((at, mask(line)) for at, line in enumerate(content.split("\n")))
+                rows += [(doc, _hash(content), at, leaf_of(tokens, depth), *masked_line(tokens), len(tokens)) for at, tokens in lines if tokens]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
 
-    lines = map_arrow(source.where("text IS NOT NULL"), run, "doc_id bigint, content bigint, at int, leaf bigint, own bigint, masked string, words bigint")
+    lines = map_arrow(source.where("text IS NOT NULL").select("doc_id", "text"), run, "doc_id bigint, content bigint, at int, leaf bigint, own bigint, masked string, words bigint")
     by_leaf = templates.where("pattern IS NOT NULL").select(F.col("template").alias("leaf"), "pattern", F.col("doc").alias("leaf_doc"))
     by_line = templates.where("pattern IS NULL").select(F.col("template").alias("own"), F.col("doc").alias("own_doc"))
     agrees = F.coalesce(F.forall(F.arrays_zip(F.split("masked", " ").alias("t"), F.col("pattern").alias("p")), lambda x: x["p"].isNull() | (x["p"] == x["t"])), F.lit(False))
@@ -198,8 +198,10 @@ def _drop_joined(source: DataFrame, templates: DataFrame, depth: int, copy_share
             values = [None if x is None else _hash(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.int64())], schema=out)
 
-    marked = map_arrow(source, hashed, "doc_id bigint, text string, content bigint")
-    joined = marked.alias("d").join(drops.alias("x"), F.expr("d.doc_id <=> x.doc_id AND d.content = x.content"), "left").select("d.doc_id", "text", F.coalesce("drops", F.array().cast("array<int>")).alias("drops"))
+    extra = source.columns[2:]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+    marked = map_arrow(source, hashed, f"{ddl}, content bigint")
+    joined = marked.alias("d").join(drops.alias("x"), F.expr("d.doc_id <=> x.doc_id AND d.content = x.content"), "left").select("d.doc_id", "text", F.coalesce("drops", F.array().cast("array<int>")).alias("drops"), *extra)
     parts = joined.withColumn("lines", F.split("text", "\n"))
     kept = F.filter(F.col("lines"), lambda x, i: ~F.array_contains("drops", i))
-    return parts.select("doc_id", F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("n_lines"), F.size("drops").cast("bigint").alias("n_removed"), F.array_join(kept, "\n").alias("kept"))
+    return parts.select("doc_id", F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("n_lines"), F.size("drops").cast("bigint").alias("n_removed"), F.array_join(kept, "\n").alias("kept"), *extra)
