@@ -1,4 +1,9 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again for the next."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again for the next.
+
+Null texts have no language and go in the first stage, as do documents without a doc_id, which no later
+table could name. Rows that repeat a doc_id stay until the near-duplicate stage keeps one of them. An empty
+table passes through every stage. Further columns travel along up to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolot.llm import decontam, langid, packing, simhash, templates
+from echolot.llm.joins import narrow_side
 from echolot.llm.queries import WORD_BPE
 from echolot.runtime import materialize, table
 
@@ -15,29 +21,30 @@ from echolot.runtime import materialize, table
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models accept; lang becomes the prediction."""
     identifier = langid.fit(docs)
-    found = langid.identify(docs, identifier).where("NOT rejected").select("doc_id", "lang_pred").dropDuplicates(["doc_id"])
-    joined = docs.join(found, "doc_id")
+    found = langid.identify(docs, identifier).where("NOT rejected").groupBy("doc_id").agg(F.min("lang_pred").alias("lang_pred"))
+    joined = docs.join(narrow_side(found, "accepted"), "doc_id")
     return joined.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that recur across documents; n_chars follows the text."""
-    kept = templates.drop_recurring_lines(docs).where("n_removed > 0").select("doc_id", "kept").dropDuplicates(["doc_id"])
-    joined = docs.join(kept, "doc_id", "left").withColumn("text", F.coalesce("kept", "text"))
-    return joined.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    kept = templates.drop_recurring_lines(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars")))
+    return kept.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("bigint")).select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each near-duplicate group."""
     groups = simhash.near_duplicates(docs)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    kept = docs.join(narrow_side(first, "firsts"), "doc_id")
+    once = kept.where("rows = 1").unionByName(kept.where("rows > 1").dropDuplicates(["doc_id"]))
+    return once.select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     hit = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti")
+    return docs.join(narrow_side(hit, "hit"), "doc_id", "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
