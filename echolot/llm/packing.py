@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from echolot.llm.arrow import keyed_texts, map_arrow
-from echolot.llm.tokens import word_encoder
+from echolot.llm.tokens import WordEncoder
 from echolot.runtime import materialize
 
 #: Tokens of a sequence.
@@ -35,7 +35,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     """
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
-        encoder, end = word_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encoder, end = WordEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())

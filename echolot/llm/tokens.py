@@ -69,12 +69,15 @@ class _Segments(dict):
     single line end between other characters) is put together from the values of these parts.
     """
 
-    def __init__(self, evaluate, lead: str, plain: _Segments | None = None) -> None:
+    def __init__(self, evaluate, letters, lead: str, plain: _Segments | None = None) -> None:
         super().__init__()
-        self.evaluate, self.lead, self.plain = evaluate, lead, self if plain is None else plain
-        self.line_end = evaluate("\n")
+        self.evaluate, self.letters, self.lead, self.plain = evaluate, letters, lead, self if plain is None else plain
+        self.mark, self.line_end = single_pretoken(lead + "a")[:-1], evaluate("\n")
 
     def __missing__(self, key: bytes):
+        if key.isalpha():  # ASCII letters are one pre-token as they are
+            value = self[key] = self.letters(self.mark + key.decode())
+            return value
         tail = key[-1:]
         if tail in (b",", b".") and key.isascii() and (core := key.rstrip(b",."))[-1:].isalpha():
             value = self[core]
@@ -95,24 +98,27 @@ class _Segments(dict):
 
 
 class SegmentReader:
-    """Values of all segments of a text, from dictionaries of bounded size."""
+    """Bytes for all segments of a text, from dictionaries of bounded size."""
 
-    def __init__(self, evaluate, entries: int = CACHE_ENTRIES) -> None:
+    def __init__(self, evaluate, letters, entries: int = CACHE_ENTRIES) -> None:
         self.evaluate, self.entries = evaluate, entries
-        self.first = _Segments(evaluate, "")
-        self.rest = _Segments(evaluate, " ", self.first)
+        self.first = _Segments(evaluate, letters, "")
+        self.rest = _Segments(evaluate, letters, " ", self.first)
 
-    def values(self, text: bytes) -> list:
+    def joined(self, text: bytes) -> bytes:
+        """The values of a text's segments, one after another."""
         if not text:
-            return []
-        head, *tail = text.split(b" ")
+            return b""
         if len(self.first) + len(self.rest) > self.entries:
             self.first.clear()
             self.rest.clear()
-        found = [self.first[head], *map(self.rest.__getitem__, tail)]
-        if None in found:  # runs of white space: split with care
-            found = [self.evaluate(x) for x in split_segments(text.decode())]
-        return found
+        parts = iter(text.split(b" "))
+        found = [self.first[next(parts)]]
+        found.extend(map(self.rest.__getitem__, parts))
+        try:
+            return b"".join(found)
+        except TypeError:  # a None for a run of white space: split with care
+            return b"".join([self.evaluate(x) for x in split_segments(text.decode())])
 
 
 class PieceCounter:
@@ -123,20 +129,21 @@ class PieceCounter:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, int] = {}
         self.entries = entries
-        self.first = _Segments(self.segment, "")
-        self.rest = _Segments(self.segment, " ", self.first)
+        self.first = _Segments(self.segment, self.piece_count, "")
+        self.rest = _Segments(self.segment, self.piece_count, " ", self.first)
+
+    def piece_count(self, pretoken: str) -> int:
+        n = self.pieces.get(pretoken)
+        if n is None:
+            n = self.pieces[pretoken] = len(self.tokenizer.model.tokenize(pretoken))
+        return n
 
     def segment(self, text: str) -> int:
         if any(x in text for x in self.added):  # a special string is one token and cuts the text
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        total, single = 0, single_pretoken(text)
+        single = single_pretoken(text)
         pretokens = [single] if single else [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-        for pretoken in pretokens:
-            n = self.pieces.get(pretoken)
-            if n is None:
-                n = self.pieces[pretoken] = len(self.tokenizer.model.tokenize(pretoken))
-            total += n
-        return total
+        return sum(map(self.piece_count, pretokens))
 
     def count(self, text: bytes) -> int:
         """Sum of frequency times pieces over the document's distinct segments."""
@@ -188,7 +195,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text
 
     pairs = keyed_texts(docs, key, text)
     kind = pairs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(pairs, run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return map_arrow(pairs, run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean", release=False)
 
 
 @lru_cache(maxsize=2)
@@ -198,18 +205,23 @@ def byte_level_reader(path: str, width: int = 4) -> SegmentReader:
     tokenizer = load_tokenizer(path)
     encode, model = tokenizer.encode, tokenizer.model.tokenize
 
+    def letters(pretoken: str) -> bytes:
+        return array(code, [t.id for t in model(pretoken)]).tobytes()
+
     def evaluate(text: str) -> bytes:
         single = single_pretoken(text)
-        ids = [t.id for t in model(single)] if single else encode(text, None, False, False).ids
-        return array(code, ids).tobytes()
+        return letters(single) if single else array(code, encode(text, None, False, False).ids).tobytes()
 
-    return SegmentReader(evaluate, 2 * CACHE_ENTRIES)
+    return SegmentReader(evaluate, letters, 2 * CACHE_ENTRIES)
 
 
 class WordEncoder(dict):
-    """Ids of a BPE whose tokens never cross white space, cached by ASCII-space-separated chunk."""
+    """Ids of a BPE whose tokens never cross white space, cached by ASCII-space-separated chunk.
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES) -> None:
+    Its cache is smaller and lives as long as a task, as packing follows other operators in the same workers.
+    """
+
+    def __init__(self, path: str, entries: int = 250_000) -> None:
         super().__init__()
         self.tokenizer, self.entries = load_tokenizer(path), entries
 
@@ -220,7 +232,7 @@ class WordEncoder(dict):
         if chunk.isalpha() and not chunk.islower():  # the tokenizer lower-cases words
             ids = self[chunk] = self[chunk.lower()]
             return ids
-        single = single_pretoken(chunk.decode().lower())
+        single = chunk.decode() if chunk.isalpha() else single_pretoken(chunk.decode().lower())
         found = [t.id for t in self.tokenizer.model.tokenize(single)] if single else self.tokenizer.encode(chunk.decode(), None, False, False).ids
         ids = self[chunk] = array("I", found).tobytes()
         return ids
@@ -229,8 +241,3 @@ class WordEncoder(dict):
         if len(self) > self.entries:
             self.clear()
         return b"".join(map(self.__getitem__, (text or b"").split()))
-
-
-@lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)

@@ -196,7 +196,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, s
 
         for batch in batches:
             for doc, content in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                ids = b"".join(reader.values(content or b"")) + end
+                ids = reader.joined(content or b"") + end
                 keys.append(doc)
                 lengths.append(len(ids) // width)
                 pieces.append(ids)
@@ -209,7 +209,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int | None = 2, s
 
     partitions = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ordered = keyed_texts(docs, key, text).repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(map_arrow(ordered, run, "part int, shard int, n_tokens bigint, image binary"), "wavelet")
+    return materialize(map_arrow(ordered, run, "part int, shard int, n_tokens bigint, image binary", release=False), "wavelet")
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
@@ -233,4 +233,4 @@ def read_shards(shards: DataFrame) -> DataFrame:
     if bases.count() <= BROADCAST_ROWS:
         bases = F.broadcast(bases)
     based = shards.select("part", "shard", "image").join(bases, ["part", "shard"]).select("base", "image")
-    return map_arrow(based, run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return map_arrow(based, run, "doc_id bigint, start bigint, n_tokens bigint, ids binary", release=False)

@@ -39,9 +39,9 @@ def test_segments_equal_the_library(text):
     library = Tokenizer.from_file(BYTE) if not hasattr(test_segments_equal_the_library, "t") else test_segments_equal_the_library.t
     test_segments_equal_the_library.t = library
     want = library.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(b"".join(tokens.byte_level_reader(BYTE, 2).values(text.encode())), np.uint16).tolist() == want
+    assert np.frombuffer(tokens.byte_level_reader(BYTE, 2).joined(text.encode()), np.uint16).tolist() == want
     assert tokens._counter(BYTE, 1000).count(text.encode()) == len(want)
-    assert np.frombuffer(tokens.word_encoder(WORD).encode(text.encode()), np.uint32).tolist() == tokens.load_tokenizer(WORD).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(tokens.WordEncoder(WORD).encode(text.encode()), np.uint32).tolist() == tokens.load_tokenizer(WORD).encode(text, add_special_tokens=False).ids
 
 
 def test_packing(spark, docs):
