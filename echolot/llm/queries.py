@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echolot.llm import decontam, langid, mpeg, packing, repeats, simhash, templates, tokens, toxicity, wavelet
+from echolot.llm.joins import narrow_side
 from echolot.runtime import table
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -17,7 +18,7 @@ BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokeniz
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = langid.fold(F.col("doc_id"), 5) == 0
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    labels = narrow_side(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")), "labels")
     labelled = docs.where(~held_out).select("doc_id", "text").join(labels, "doc_id")
     model = toxicity.fit(docs, labelled)
     return toxicity.score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")

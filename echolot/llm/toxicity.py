@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echolot.llm.arrow import keyed_texts, map_arrow
+from echolot.llm.joins import narrow_side
 from echolot.llm.kneser_ney import CharacterModels, train
 from echolot.llm.langid import collect_tables, ngram_counts
 
@@ -30,6 +31,8 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 SUBSTITUTE, SHORTEN, DROP = -2.0, -1.0, -1.0
 #: Readings that stay alive at each character.
 BEAM = 24
+#: Characters after which a long token's reading is settled.
+SPAN = 256
 #: Hashed features, their prior weight, and labelled rows (at most) that fit the final regression.
 BUCKETS, PRIOR, SAMPLE_ROWS = 1 << 20, 20.0, 20_000
 #: Lengths of word beginnings that are features beside the whole word.
@@ -39,7 +42,7 @@ TOP = 4
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…¡¿"
 _STUDDED = re.compile(r"(?:[^\W_][.\-_*·]){2,}[^\W_]")
-_LEET = re.compile(r"[^\W\d_].*[0-9@$!|+(€£]|[0-9@$!|+(€£].*[^\W\d_]")
+_LETTER, _LEET = re.compile(r"[^\W\d_]"), re.compile(r"[0-9@$!|+(€£]")
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)[^\s](?: [^\s]){3,}(?!\S)")
 
@@ -59,11 +62,22 @@ class Restorer:
         return float(self.models.log_probabilities(np.array([key], np.uint64))[0, 0])
 
     def decode(self, token: str) -> tuple[str, float]:
-        """The best reading of a token and its log2 probability with the channel's costs."""
-        pad = " " * (self.models.order - 1)
+        """The best reading of a token and its log2 probability with the channel's costs.
+
+        Readings are settled every SPAN characters, so a token of any length takes bounded memory.
+        """
+        context, whole, total = " " * (self.models.order - 1), "", 0.0
+        for low in range(0, len(token), SPAN):
+            last = low + SPAN >= len(token)
+            score, text, context = self._best(token[low : low + SPAN], context, low == 0, last)
+            whole, total = whole + text, total + score
+        return whole, total
+
+    def _best(self, token: str, start: str, first: bool, last: bool) -> tuple[float, str, str]:
+        """(score, reading, context behind it) of a stretch of a token."""
         # place in the token -> {context: (score, reading)}; contexts are the model's states
         alive: list[dict[str, tuple[float, str]]] = [{} for _ in range(len(token) + 1)]
-        alive[0][pad] = (0.0, "")
+        alive[0][start] = (0.0, "")
         for at in range(len(token)):
             states = sorted(alive[at].items(), key=lambda s: -s[1][0])[:BEAM]
             here = token[at]
@@ -74,7 +88,7 @@ class Restorer:
             moves = [(c, cost, 1) for c, cost in readings]
             if run > 2:
                 moves += [(c * k, cost + SHORTEN, run) for c, cost in readings for k in (1, 2)]
-            if not here.isalnum() and 0 < at < len(token) - 1:
+            if not here.isalnum() and (at or not first) and (at < len(token) - 1 or not last):
                 moves.append(("", DROP, 1))
             for context, (score, text) in states:
                 for letters, cost, width in moves:
@@ -85,18 +99,16 @@ class Restorer:
                     best = alive[at + width].get(state)
                     if best is None or total > best[0]:
                         alive[at + width][state] = (total, text + letters)
-        ends = [(score + self.step(context, " "), text) for context, (score, text) in alive[-1].items()]
-        score, text = max(ends)
-        return text, score
+        return max((score + (self.step(context, " ") if last else 0.0), text, context) for context, (score, text) in alive[-1].items())
 
     def restore_token(self, token: str) -> str:
         """A lower-case token without edge punctuation, decoded if anything about it is ambiguous."""
-        core = token.strip(_EDGE)
-        if len(core) < 3:
+        core = token if token.isalpha() else token.strip(_EDGE)
+        if len(core) < 3 or core.isalpha() and core is token and not _RUN.search(core):
             return core
-        whole = core if core == token else (token.rstrip(",.;:?\"'") if _LEET.search(token) else core)
-        if _LEET.search(whole) or _RUN.search(core) or _STUDDED.fullmatch(core):
-            return self.decode(whole)[0].strip(_EDGE)
+        mixed = _LEET.search(token) and _LETTER.search(core)
+        if mixed or _RUN.search(core) or _STUDDED.fullmatch(core):
+            return self.decode(token.rstrip(",.;:?\"'") if mixed else core)[0].strip(_EDGE)
         return core
 
     def restore_spaced(self, text: str) -> list[str]:
@@ -123,7 +135,7 @@ def word_features(word: str) -> list[int]:
 class WordReader:
     """Restored words of texts and values of words, remembered for a bounded number of tokens."""
 
-    def __init__(self, models: CharacterModels, evaluate, entries: int = 250_000) -> None:
+    def __init__(self, models: CharacterModels, evaluate, entries: int = 500_000) -> None:
         self.restorer, self.evaluate, self.entries = Restorer(models), evaluate, entries
         self.known: dict[str, object] = {}
 
@@ -139,7 +151,11 @@ class WordReader:
         if len(self.known) > self.entries:
             self.known.clear()
         lower = (text or "").lower()
-        found = [v for token, n in Counter(lower.split()).items() if (v := self._value(token)) is not None for _ in range(min(n, TOP))]
+        known, found = self.known, []
+        for token, n in Counter(lower.split()).items():
+            value = known[token] if token in known else self._value(token)
+            if value:  # no word, or no evidence
+                found += [value] * min(n, TOP)
         if _SPACED.search(lower):
             found += [self.evaluate(w) for w in self.restorer.restore_spaced(lower) if w]
         return found
@@ -151,8 +167,21 @@ class ToxicityModel:
     weights: np.ndarray
     coefficients: np.ndarray
 
-    def evidence(self, word: str) -> float:
-        return float(max(self.weights[b] for b in word_features(word)))
+    def evidence(self) -> Callable[[str], float]:
+        """The strongest weight among a word's features, with the weights of beginnings remembered."""
+        beginnings: dict[str, float] = {}
+        weights = self.weights
+
+        def of(word: str) -> float:
+            start = word[: PREFIXES[-1] + 1]
+            best = beginnings.get(start)
+            if best is None:
+                if len(beginnings) > 200_000:
+                    beginnings.clear()
+                best = beginnings[start] = max((float(weights[b]) for b in word_features(start)[1:]), default=-np.inf)
+            return max(best, float(weights[_bucket("w" + word)]))
+
+        return of
 
     def summary(self, values: list[float]) -> np.ndarray:
         """The strongest evidence, of as many words as the regression sees."""
@@ -185,15 +214,21 @@ def _feature_counts(labelled: DataFrame, models: CharacterModels) -> np.ndarray:
         at = np.flatnonzero(counts.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[0, at], pa.int64()), pa.array(counts[1, at], pa.int64())], schema=out)
 
-    # equal texts teach once: a group of copies says nothing new about its words
-    once = labelled.groupBy(F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.max("label").alias("label"), F.first("text").alias("text"))
-    rows = map_arrow(once.select("label", "text"), run, "bucket int, clean bigint, toxic bigint")
-    frame = rows.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()  # at most BUCKETS + 1 rows
+    rows = map_arrow(labelled.select("label", "text"), run, "bucket int, clean bigint, toxic bigint")
+    summed = rows.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic > 0")
+    frame = summed.toArrow()  # at most BUCKETS + 1 rows
     counts = np.zeros((2, BUCKETS + 1))
-    counts[0, frame["bucket"]], counts[1, frame["bucket"]] = frame["clean"], frame["toxic"]
+    at = frame["bucket"].to_numpy()
+    counts[0, at], counts[1, at] = frame["clean"].to_numpy(), frame["toxic"].to_numpy()
     return counts
 
 
+def _first_of_equal(labelled: DataFrame) -> DataFrame:
+    """Equal texts teach once: a group of copies says nothing new about its words. Texts themselves stay in place."""
+    firsts = labelled.groupBy(F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.min("key").alias("key"))
+    return labelled.join(narrow_side(firsts.select("key"), "firsts"), "key", "left_semi")
+
+
 def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
     """Logistic regression by Newton's method; the first coefficient is the intercept."""
     design = np.concatenate([np.ones((len(x), 1)), x], 1)
@@ -214,35 +249,38 @@ def _summaries(docs: DataFrame, model: ToxicityModel, columns: list[str], schema
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        reader = WordReader(own.characters, own.evidence)
+        reader = WordReader(own.characters, own.evidence())
         for batch in batches:
             yield pick(batch, [own.summary(reader.values(x)) for x in batch.column(1).to_pylist()], own, out)
 
     return map_arrow(docs.select(*columns), run, schema)
 
 
-def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", label: str = "label", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
+def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Train on labelled texts; `docs` is the whole corpus, for the character model.
 
-    Feature weights are smoothed log odds over all labelled rows (equal texts once; null labels and null
-    texts teach nothing). The regression on the strongest evidence is fitted on at most `sample_rows` rows.
+    Feature weights are smoothed log odds over all labelled rows (equal texts once; null labels, texts and
+    keys teach nothing). The regression on the strongest evidence is fitted on about `sample_rows`
+    rows, drawn at random with a fixed seed.
     Without rows of both labels every text gets the score 0.
     """
     models = corpus_model(docs, text)
-    rows = labelled.select(F.col(label).cast("int").alias("label"), F.col(text).alias("text")).where("label IN (0, 1) AND text IS NOT NULL")
-    counts = _feature_counts(rows, models)
+    rows = labelled.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.col(text).alias("text")).where("label IN (0, 1) AND text IS NOT NULL")
+    counts = _feature_counts(_first_of_equal(rows), models)
     clean, toxic = counts[0, -1], counts[1, -1]
     if not clean or not toxic:
         return ToxicityModel(models, np.zeros(BUCKETS), np.array([-30.0] + [0.0] * TOP))
     prior = toxic / (clean + toxic)
     weights = np.log((counts[1, :-1] + PRIOR * prior) / (counts[0, :-1] + PRIOR * (1 - prior))) - np.log(prior / (1 - prior))
-    model = ToxicityModel(models, weights, np.zeros(TOP + 1))
+    model = ToxicityModel(models, weights, np.array([-30.0] + [0.0] * TOP))
 
     def pick(batch: pa.RecordBatch, found: list[np.ndarray], own: ToxicityModel, out: pa.Schema) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(x) for x in found], pa.list_(pa.float64()))], schema=out)
 
-    sample = _summaries(rows.limit(sample_rows), model, ["label", "text"], "label int, x array<double>", pick).toPandas()
-    model.coefficients = _regression(np.stack(sample["x"]), sample["label"].to_numpy(float))
+    sample = rows.sample(min(1.0, sample_rows / max(1, rows.count())), seed=0)
+    found = _summaries(sample, model, ["label", "text"], "label int, x array<double>", pick).toArrow()
+    if found.num_rows:
+        model.coefficients = _regression(np.array(found["x"].to_pylist()), found["label"].to_numpy().astype(float))
     return model
 
 

@@ -125,6 +125,9 @@ def test_toxicity_held_out_and_disguised(spark, toxic_rows):
             hidden.append((i, " ".join(disguise(rng, w) if w in INSULTS else w for w in t.split())))
     found = toxicity.score(spark.createDataFrame(hidden, "doc_id bigint, text string"), model).collect()
     assert sum(r.predicted for r in found) / len(found) > 0.9
+    restorer = toxicity.Restorer(model.characters)
+    long = "k4to" * 2000
+    assert restorer.restore_token(long) == "kato" * 2000
     assert toxicity.score(docs.limit(0), model).count() == 0
     empty = toxicity.fit(docs, docs.where("label = 0"))
     assert {r.predicted for r in toxicity.score(docs, empty).collect()} == {0}
