@@ -48,6 +48,15 @@ def count_keys(words: list[str], weights: np.ndarray, order: int = ORDER) -> tup
     return keys[first], np.add.reduceat(weight, first)
 
 
+def merge_counts(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """One sorted table of n-gram keys with summed counts."""
+    keys, counts = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    by = np.argsort(keys, kind="stable")
+    keys, counts = keys[by], counts[by]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+
+
 def _lookup(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Places of keys in a sorted table, -1 for those not there."""
     if not len(table):
@@ -150,7 +159,7 @@ def train(tables: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER,
 class WordScores:
     """Scores of words in all models, remembered for a bounded number of words."""
 
-    def __init__(self, models: CharacterModels, entries: int = 300_000) -> None:
+    def __init__(self, models: CharacterModels, entries: int = 150_000) -> None:
         self.models, self.entries = models, entries
         self.places: dict[str, int] = {}
         self.table = np.zeros((0, len(models.names)), np.float32)
@@ -162,7 +171,7 @@ class WordScores:
             fresh.update(words)
         if len(self.places) + len(fresh) > self.entries:
             self.places, self.table = {}, self.table[:0]
-        new = sorted(fresh.difference(self.places))
+        new = list(fresh.difference(self.places))
         if new:
             base = len(self.table)
             self.places.update(zip(new, range(base, base + len(new)), strict=True))

@@ -13,17 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolot.llm.arrow import keyed_texts, map_arrow
-from echolot.llm.kneser_ney import DISCOUNT, ORDER, CharacterModels, WordScores, count_keys, train
+from echolot.llm.kneser_ney import DISCOUNT, ORDER, CharacterModels, WordScores, count_keys, merge_counts, train
 
-#: Different words, over all languages, after which a task sends its n-gram counts.
-FLUSH_WORDS = 200_000
+#: Different words, over all languages, after which a task counts their n-grams; n-grams after which it sends them.
+FLUSH_WORDS, FLUSH_KEYS = 80_000, 1_000_000
 #: Documents that are judged at a time.
 SLICE = 500
 #: N-grams that the models of all languages may hold together: rarer ones are cut off, by a count that the data set.
-MODEL_ENTRIES = 4_000_000
+MODEL_ENTRIES = 2_000_000
 #: Share of training documents that calibrated rejection lets pass, bits of slack beyond it, and bits that
 #: are divided by the root of a text's length, for the noise of short texts.
 KEEP_SHARE, SLACK, NOISE = 0.9999, 0.5, 10.0
+#: Training documents (about) on which rejection is calibrated.
+CALIBRATION_ROWS = 20_000
 #: Steps per bit of the calibration histogram, and bits that it spans.
 _STEPS, _SPAN = 50, 40
 #: Characters that a posterior counts at most.
@@ -41,18 +43,27 @@ def ngram_counts(train_docs: DataFrame, lang: str = "lang", text: str = "text",
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counter] = {}
+        tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def gather() -> None:
             for name, words in counts.items():
-                keys, n = count_keys(list(words), np.fromiter(words.values(), np.int64, len(words)), order)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], schema=out)
+                fresh = count_keys(list(words), np.fromiter(words.values(), np.int64, len(words)), order)
+                tables[name] = merge_counts(tables[name], fresh) if name in tables else fresh
             counts.clear()
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            for name, (keys, n) in tables.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], schema=out)
+            tables.clear()
+
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 counts.setdefault(name, Counter()).update(_words(content))
                 if sum(map(len, counts.values())) > FLUSH_WORDS:
-                    yield from flush()
+                    gather()
+                    if sum(len(keys) for keys, _ in tables.values()) > FLUSH_KEYS:
+                        yield from flush()
+        gather()
         yield from flush()
 
     known = train_docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
@@ -71,12 +82,13 @@ def collect_tables(counts: DataFrame, entries: int = MODEL_ENTRIES) -> dict[str,
         if total > entries:
             least = row["n"] + 1
             break
-    frame = stored.where(F.col("n") >= least).toPandas().sort_values(["lang", "key"])
+    kept = stored.where(F.col("n") >= least)
     tables = {}
-    for name, part in frame.groupby("lang", sort=True):
-        keys, n = part["key"].to_numpy().view(np.uint64), part["n"].to_numpy()
+    for row in kept.select("lang").distinct().collect():  # one language at a time, as plain arrays
+        rows = kept.where(F.col("lang") == row["lang"]).select("key", "n").toArrow()
+        keys, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
         by = np.argsort(keys)
-        tables[name] = (keys[by], n[by])
+        tables[row["lang"]] = (keys[by], n[by])
     return tables
 
 
@@ -117,11 +129,12 @@ def _judged(docs: DataFrame, columns: list[str], identifier: LanguageIdentifier,
     return map_arrow(docs.select(*columns), run, schema)
 
 
-def fit(train_docs: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER, discount: float = DISCOUNT) -> LanguageIdentifier:
-    """Count n-grams over all training texts, train the models, and calibrate rejection on the same texts.
+def fit(train_docs: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER, discount: float = DISCOUNT, calibration_rows: int = CALIBRATION_ROWS) -> LanguageIdentifier:
+    """Count n-grams over all training texts, train the models, and calibrate rejection on some of these texts.
 
     Rows with null language or text teach nothing. The limit of a language is the cross-entropy that
-    KEEP_SHARE of its training documents stay below, plus SLACK; it comes from a histogram over all of them.
+    KEEP_SHARE of its documents in the calibration sample stay below, plus SLACK. The sample is drawn at
+    random with a fixed seed, `calibration_rows` texts or all if there are fewer.
     """
     models = train(collect_tables(ngram_counts(train_docs, lang, text, order)), order, discount)
     identifier = LanguageIdentifier(models, np.full(len(models.names), np.inf))
@@ -134,6 +147,7 @@ def fit(train_docs: DataFrame, lang: str = "lang", text: str = "text", order: in
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bins, pa.int32()), pa.array(list(pairs.values()), pa.int64())], schema=out)
 
     known = train_docs.select(F.col(text).alias("text")).where("text IS NOT NULL")
+    known = known.sample(min(1.0, calibration_rows / max(1, known.count())), seed=0)
     histogram = _judged(known, ["text"], identifier, "lang string, bin int, n bigint", pick).groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
     for j, name in enumerate(models.names):  # at most _SPAN * _STEPS rows for each language
         rows = sorted((r["bin"], r["n"]) for r in histogram if r["lang"] == name)
