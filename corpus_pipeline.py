@@ -49,7 +49,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their places in sequences."""
-    pieces = packing.token_pieces(docs, WORD_BPE)
+    pieces = packing.token_pieces(docs, WORD_BPE, entries=250_000)  # other stages have used the same workers
     return packing.pack_best_fit(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 

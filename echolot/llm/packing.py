@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from echolot.llm.arrow import keyed_texts, map_arrow
-from echolot.llm.tokens import WordEncoder
+from echolot.llm.tokens import CACHE_ENTRIES, WordEncoder
 from echolot.runtime import materialize
 
 #: Tokens of a sequence.
@@ -27,15 +27,15 @@ PATTERN_PIECES = 3
 FIT_STEPS = 300
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 0, key: str = "doc_id", text: str = "text", entries: int = CACHE_ENTRIES) -> DataFrame:
     """Ids of every text with `end_id` appended, cut into pieces of at most `capacity` tokens.
 
     Null text is an empty document (one piece, the end id alone). Rows are independent, so repeated
-    keys, null keys and other columns are fine. Returns doc_id, piece, start, length, ids (little-endian u32).
+    keys, null keys and other columns are fine. A task remembers the ids of `entries` chunks of text. Returns doc_id, piece, start, length, ids (little-endian u32).
     """
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encoder, end = WordEncoder(tokenizer_path, entries), np.array([end_id], "<u4").tobytes()
         step = 4 * capacity
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())

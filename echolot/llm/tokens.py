@@ -218,10 +218,10 @@ def byte_level_reader(path: str, width: int = 4) -> SegmentReader:
 class WordEncoder(dict):
     """Ids of a BPE whose tokens never cross white space, cached by ASCII-space-separated chunk.
 
-    Its cache is smaller and lives as long as a task, as packing follows other operators in the same workers.
+    Its cache lives as long as a task, as packing follows other operators in the same workers.
     """
 
-    def __init__(self, path: str, entries: int = 250_000) -> None:
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES) -> None:
         super().__init__()
         self.tokenizer, self.entries = load_tokenizer(path), entries
 
