@@ -27,6 +27,8 @@ from echolot.llm.langid import collect_tables, ngram_counts
 
 #: Letters that characters imitate.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
+#: Signs that may imitate a letter at the edge of a token.
+EDGE_LETTERS = ("@", "$", "€", "£")
 #: log2 costs of the channel: an imitated letter, a run shortened, a separator or space dropped.
 SUBSTITUTE, SHORTEN, DROP = -2.0, -1.0, -1.0
 #: Readings that stay alive at each character.
@@ -106,9 +108,12 @@ class Restorer:
         core = token if token.isalpha() else token.strip(_EDGE)
         if len(core) < 3 or core.isalpha() and core is token and not _RUN.search(core):
             return core
-        mixed = _LEET.search(token) and _LETTER.search(core)
-        if mixed or _RUN.search(core) or _STUDDED.fullmatch(core):
-            return self.decode(token.rstrip(",.;:?\"'") if mixed else core)[0].strip(_EDGE)
+        at = token.index(core)
+        lead, tail = token[:at], token[at + len(core) :]
+        # one sign at an edge may imitate a letter, a row of them is decoration
+        whole = (lead if lead in EDGE_LETTERS else "") + core + (tail if tail in EDGE_LETTERS else "")
+        if _LEET.search(whole) and _LETTER.search(core) or _RUN.search(core) or _STUDDED.fullmatch(core):
+            return self.decode(whole)[0].strip(_EDGE)
         return core
 
     def restore_spaced(self, text: str) -> list[str]:
