@@ -135,11 +135,12 @@ class WaveletShard:
         return low, high
 
     def count(self, token: int, low: int = 0, high: int | None = None) -> int:
-        """Occurrences of a token among positions low..high-1."""
+        """Occurrences of a token among positions low..high-1, as far as these exist."""
         value = self._rank_of(token)
         if value is None:
             return 0
-        low, high = self._range(value, low, self.n if high is None else high)
+        high = self.n if high is None else max(0, min(high, self.n))
+        low, high = self._range(value, max(0, min(low, high)), high)
         return high - low
 
     def locate(self, token: int, k: int) -> int:
