@@ -79,9 +79,15 @@ def stretches(hashes: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, .
 
 
 def _merge_equal(seed: np.ndarray, content: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, out: pa.Schema) -> pa.RecordBatch:
-    """The first occurrence of each (seed, content) as it is, the others without a seed."""
+    """The first occurrence of each (seed, content) as it is, the others without a seed.
+
+    Rows that repeat a document give the same occurrence several times; it stays once.
+    """
     order = np.lexsort((start, doc, content, seed))
     seed, content, doc, start, count = (x[order] for x in (seed, content, doc, start, count))
+    again = np.zeros(len(seed), bool)
+    again[1:] = (seed[1:] == seed[:-1]) & (content[1:] == content[:-1]) & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
+    seed, content, doc, start, count = (x[~again] for x in (seed, content, doc, start, count))
     later = np.zeros(len(seed), bool)
     later[1:] = (seed[1:] == seed[:-1]) & (content[1:] == content[:-1])
     columns = [pa.array(seed.view(np.int64), mask=later), pa.array(content.view(np.int64), mask=later), pa.array(doc), pa.array(start), pa.array(count)]
@@ -141,11 +147,12 @@ def _later_copies(occurrences: DataFrame, mixed: bool) -> DataFrame:
     """Ranges (doc, start, n) of all occurrences but the first of each (seed, content): rows with seed null.
 
     With `mixed`, also the first occurrences (seed not null) where a seed has several contents. Rows of a
-    seed come sorted, so a task keeps only the first occurrence of the seed at hand.
+    seed come sorted, so a task keeps only the first occurrence of the seed at hand. The same occurrence
+    from several chunks (rows that repeat a document) counts once.
     """
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
-        last_seed = last_content = None
+        last_seed = last_content = last_doc = last_start = None
         held: tuple[int, int, int] | None = None  # the only first occurrence so far of the seed at hand
         for batch in batches:
             known = batch.column(0).null_count  # repeats for certain; they come first
@@ -157,7 +164,9 @@ def _later_copies(occurrences: DataFrame, mixed: bool) -> DataFrame:
             seed, content, doc, start, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             new_seed = np.concatenate([[last_seed is None or seed[0] != last_seed], seed[1:] != seed[:-1]])
             new = new_seed | np.concatenate([[content[0] != last_content], content[1:] != content[:-1]])
-            parts = [(np.zeros((~new).sum(), np.int64), doc[~new], start[~new], n[~new])]
+            same_place = np.concatenate([[doc[0] == last_doc and start[0] == last_start], (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])])
+            later = ~new & ~same_place
+            parts = [(np.zeros(later.sum(), np.int64), doc[later], start[later], n[later])]
             if mixed:
                 at = np.flatnonzero(new)
                 run_of = np.cumsum(new_seed)[at] - int(new_seed[0])
@@ -172,7 +181,7 @@ def _later_copies(occurrences: DataFrame, mixed: bool) -> DataFrame:
                 if new_seed.any():
                     begin = np.flatnonzero(new_seed)[-1]
                     held = None if several[-1] else (int(doc[begin]), int(start[begin]), int(n[begin]))
-            last_seed, last_content = seed[-1], content[-1]
+            last_seed, last_content, last_doc, last_start = seed[-1], content[-1], doc[-1], start[-1]
             columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
             columns[0] = pa.array(columns[0], mask=np.arange(len(columns[0])) < len(parts[0][0]))
             yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)

@@ -77,6 +77,20 @@ def test_repeats_edges(spark):
     assert (r.n_words, r.n_removed) == (60_000, 55_000)
 
 
+@pytest.mark.parametrize("chunk_bytes", [32 << 20, 1])
+def test_repeated_rows_keep_the_first_holder(spark, chunk_bytes, monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK_BYTES", chunk_bytes)
+    text, other = (" ".join(f"{c}{i}" for i in range(30)) for c in "wv")
+    rows = [(1, text), (1, text), (1, text), (3, other), (3, other), (4, text + " " + other)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # equal occurrences in different batches
+    try:
+        for given, want in ((rows[:2], [(1, 0)] * 2), (rows, [(1, 0)] * 3 + [(3, 0)] * 2 + [(4, 60)])):
+            got = sorted((r.doc_id, r.n_removed) for r in repeats.remove_repeats(frame(spark, given).repartition(3), 20).collect())
+            assert got == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def fingerprint_by_definition(text):
     lower = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", lower)
