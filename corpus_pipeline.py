@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echolot.llm import decontam, langid, packing, simhash, templates
+from echolot.llm import decontam, langid, near_copies, packing, templates
 from echolot.llm.joins import narrow_side
 from echolot.llm.queries import WORD_BPE
 from echolot.runtime import materialize, table
@@ -33,8 +33,8 @@ def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each near-duplicate group."""
-    groups = simhash.near_duplicates(docs)
+    """The document with the least id of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    groups = near_copies.near_copies(docs)
     first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     kept = docs.join(narrow_side(first, "firsts"), "doc_id")
     once = kept.where("rows = 1").unionByName(kept.where("rows > 1").dropDuplicates(["doc_id"]))
