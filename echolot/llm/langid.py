@@ -21,11 +21,10 @@ FLUSH_WORDS, FLUSH_KEYS = 80_000, 1_000_000
 SLICE = 500
 #: N-grams that the models of all languages may hold together: rarer ones are cut off, by a count that the data set.
 MODEL_ENTRIES = 2_000_000
-#: Share of training documents that calibrated rejection lets pass, bits of slack beyond it, and bits that
-#: are divided by the root of a text's length, for the noise of short texts.
-KEEP_SHARE, SLACK, NOISE = 0.9999, 0.5, 10.0
-#: Training documents (about) on which rejection is calibrated.
-CALIBRATION_ROWS = 20_000
+#: Quantile of a language's training documents from which its limit is reckoned, as many times the distance
+#: from their median, bits of slack beyond it, and bits that are divided by the root of a text's length, for
+#: the noise of short texts. Junk up to a share of 1 - QUANTILE of a language can't lift its limit.
+QUANTILE, SPREAD, SLACK, NOISE = 0.9, 4.0, 0.5, 10.0
 #: Steps per bit of the calibration histogram, and bits that it spans.
 _STEPS, _SPAN = 50, 40
 #: Characters that a posterior counts at most.
@@ -99,16 +98,16 @@ class LanguageIdentifier:
     models: CharacterModels
     limits: np.ndarray
 
-    def judge(self, scores: WordScores, content: str | None, words: list[str]) -> tuple[str, float, float, bool]:
-        """(language, score, bits per character, rejected)."""
+    def judge(self, scores: WordScores, content: str | None, words: list[str]) -> tuple[str, float, float, bool, np.ndarray]:
+        """(language, score, bits per character, rejected, bits per character in each model)."""
         names = self.models.names
         if not names or content is None or not _LETTER.search(content):
-            return "und", 0.0, float("nan"), True
+            return "und", 0.0, float("nan"), True, np.full(len(names), np.nan)
         characters = sum(map(len, words)) + len(words)
         bits = -scores.total(words) / characters
         best = int(np.argmin(bits))
         odds = np.exp2(np.minimum(0.0, (bits[best] - bits) * min(characters, _EVIDENCE)))
-        return names[best], float(1 / odds.sum()), float(bits[best]), bool(bits[best] > self.limits[best] + NOISE / characters**0.5)
+        return names[best], float(1 / odds.sum()), float(bits[best]), bool(bits[best] > self.limits[best] + NOISE / characters**0.5), bits
 
 
 def _judged(docs: DataFrame, columns: list[str], identifier: LanguageIdentifier, schema: str, pick) -> DataFrame:
@@ -129,31 +128,35 @@ def _judged(docs: DataFrame, columns: list[str], identifier: LanguageIdentifier,
     return map_arrow(docs.select(*columns), run, schema)
 
 
-def fit(train_docs: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER, discount: float = DISCOUNT, calibration_rows: int = CALIBRATION_ROWS) -> LanguageIdentifier:
-    """Count n-grams over all training texts, train the models, and calibrate rejection on some of these texts.
+def fit(train_docs: DataFrame, lang: str = "lang", text: str = "text", order: int = ORDER, discount: float = DISCOUNT) -> LanguageIdentifier:
+    """Count n-grams over all training texts, train the models, and calibrate rejection on all of these texts.
 
-    Rows with null language or text teach nothing. The limit of a language is the cross-entropy that
-    KEEP_SHARE of its documents in the calibration sample stay below, plus SLACK. The sample is drawn at
-    random with a fixed seed, `calibration_rows` texts or all if there are fewer.
+    Rows with null language or text teach nothing. The limit of a language comes from the cross-entropies of
+    all its documents under its own model: their median, plus SPREAD times the distance from there to
+    their QUANTILE, plus SLACK. A language none of whose texts has a letter accepts nothing.
     """
     models = train(collect_tables(ngram_counts(train_docs, lang, text, order)), order, discount)
-    identifier = LanguageIdentifier(models, np.full(len(models.names), np.inf))
+    identifier = LanguageIdentifier(models, np.full(len(models.names), -np.inf))
     if not models.names:
         return identifier
 
+    place = {name: j for j, name in enumerate(models.names)}
+
     def pick(part: pa.RecordBatch, judged: list[tuple], out: pa.Schema) -> pa.RecordBatch:
-        pairs = Counter((name, min(_SPAN * _STEPS, int(bits * _STEPS))) for name, _, bits, _ in judged if bits == bits)
+        bits = [(name, j[4][place[name]]) for name, j in zip(part.column(0).to_pylist(), judged, strict=True)]
+        pairs = Counter((name, min(_SPAN * _STEPS, int(b * _STEPS))) for name, b in bits if b == b)
         names, bins = [k[0] for k in pairs], [k[1] for k in pairs]
         return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bins, pa.int32()), pa.array(list(pairs.values()), pa.int64())], schema=out)
 
-    known = train_docs.select(F.col(text).alias("text")).where("text IS NOT NULL")
-    known = known.sample(min(1.0, calibration_rows / max(1, known.count())), seed=0)
-    histogram = _judged(known, ["text"], identifier, "lang string, bin int, n bigint", pick).groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
+    known = train_docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    known = known.where(F.col("lang").isin(models.names))  # those cut off have no model
+    histogram = _judged(known, ["lang", "text"], identifier, "lang string, bin int, n bigint", pick).groupBy("lang", "bin").agg(F.sum("n").alias("n")).collect()
     for j, name in enumerate(models.names):  # at most _SPAN * _STEPS rows for each language
         rows = sorted((r["bin"], r["n"]) for r in histogram if r["lang"] == name)
         if rows:
             seen = np.cumsum([n for _, n in rows])
-            identifier.limits[j] = (rows[int(np.searchsorted(seen, KEEP_SHARE * seen[-1]))][0] + 1) / _STEPS + SLACK
+            middle, high = ((rows[int(np.searchsorted(seen, q * seen[-1]))][0] + 1) / _STEPS for q in (0.5, QUANTILE))
+            identifier.limits[j] = middle + SPREAD * (high - middle) + SLACK
     return identifier
 
 

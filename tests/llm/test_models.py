@@ -76,6 +76,18 @@ def test_language_held_out(spark, texts):
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_junk_does_not_lift_the_limit(spark, texts):
+    rng = random.Random(9)
+    noise = lambda: " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(3, 9))) for _ in range(60))
+    rows = [(t, lang) for _, t, lang in texts] + [(noise(), "aa") for _ in range(6)] + [(noise(), None) for _ in range(60)]
+    rows += [("kato", "dd"), ("12", "ee")]  # a language with one text, and one without a letter
+    identifier = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert identifier.models.names == ["aa", "bb", "cc", "dd", "ee"] and not np.isposinf(identifier.limits).any()
+    asked = [(i, noise()) for i in range(20)] + [(100 + i, t) for i, t, _ in texts]
+    got = {r.doc_id: r.rejected for r in langid.identify(spark.createDataFrame(asked, "doc_id bigint, text string"), identifier).collect()}
+    assert all(got[i] for i in range(20)) and not any(got[100 + i] for i, _, _ in texts)
+
+
 def test_model_size_is_bounded(spark, texts):
     docs = spark.createDataFrame([(t, lang) for _, t, lang in texts], "text string, lang string")
     counts = langid.ngram_counts(docs)
