@@ -30,6 +30,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 ORDER_ROWS, FREQUENT, FREQUENT_ROWS = 5_000, 5, 200_000
 #: Parity bits of a set; sets whose shingles a task emits once, at most.
 BITS, SEEN_SETS = 512, 500_000
+#: Parity bits of the sets of candidates, compared before whole sets; rows of them sent to all executors (about 20 MB).
+WIDE_BITS, WIDE_ROWS = 8192, 20_000
 #: Rows of parity bits that are sent to all executors (about 20 MB).
 PARITY_ROWS = 200_000
 
@@ -105,6 +107,10 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
 
 def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the similarity."""
+    sizes = narrow_side(sets.join(narrow_side(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates"), "id", "left_semi").select("id", "n").distinct(), "sizes")
+    wide = narrow_side(_parity(sets.join(sizes.select("id"), "id", "left_semi"), WIDE_BITS).dropDuplicates(["id"]), "wide", WIDE_ROWS)
+    sized = pairs.join(sizes.select(F.col("id").alias("a"), "n"), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("m")), "b")
+    pairs = materialize(_may_be_similar(sized, wide, similarity), "candidates")
     asked = narrow_side(pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id")), "asked")
     side = lambda name: F.max(F.when(F.col("id") == F.col(name), F.col("hashes")))
     both = sets.join(asked, "id").groupBy("a", "b").agg(side("a").alias("x"), side("b").alias("y"))
@@ -120,12 +126,12 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return map_arrow(both.select("a", "b", "x", "y"), run, "a bigint, b bigint")
 
 
-def _parity(sets: DataFrame) -> DataFrame:
-    """(id, bits): for each of BITS classes of shingles whether their number is odd."""
+def _parity(sets: DataFrame, size: int = BITS) -> DataFrame:
+    """(id, bits): for each of `size` classes of shingles whether their number is odd."""
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            odd = [np.packbits(np.bincount((np.frombuffer(x, np.uint64) % np.uint64(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes() for x in batch.column(1).to_pylist()]
+            odd = [np.packbits(np.bincount((np.frombuffer(x, np.uint64) % np.uint64(size)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(odd, pa.binary())], schema=out)
 
     return map_arrow(sets.select("id", "hashes"), run, "id bigint, bits binary")
@@ -139,7 +145,7 @@ def _may_be_similar(pairs: DataFrame, parity: DataFrame, similarity: float) -> D
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, BITS // 64) for k in (3, 4))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1), np.uint64) for k in (3, 4))
             hit = pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= share * batch.column(2).to_numpy() + 1e-9)
             yield pa.RecordBatch.from_arrays([c.filter(hit) for c in batch.columns[:2]], schema=out)
 
