@@ -34,13 +34,13 @@ def _release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def map_arrow(df: DataFrame, function, schema: str, release: bool = True) -> DataFrame:
+def map_arrow(df: DataFrame, function, schema: str | T.StructType, release: bool = True) -> DataFrame:
     """mapInArrow with the Arrow schema handed to `function(batches, arrow_schema)`.
 
     Without `release` a worker keeps its free memory, for functions whose dictionaries outlive a task.
     """
     _bound_batches(df.sparkSession)
-    struct = T.StructType.fromDDL(schema)
+    struct = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     out = to_arrow_schema(struct)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,45 +1,55 @@
-"""Line deduplication by log templates: a tree of fixed depth over token counts and leading tokens.
-
-A line is masked first: tokens that hold a digit become a wildcard. Its leaf is its number of tokens with
-its first DEPTH masked tokens. In leaves that recur across documents, a position where no token holds most
-lines varies and becomes a wildcard too; the lines that agree with all constant positions share the leaf's
-template, provided enough positions are constant. Any other line is a template of its own. Unlike parsers
-that grow templates line by line, the outcome doesn't depend on the order of lines.
+"""Line deduplication by log templates: a tree of fixed depth over token counts and tokens.
+
+A line is masked first: tokens that hold a digit become a wildcard. A masked line that recurs as it is is a
+template. The others go down a tree: the root deals them by number of tokens, the next DEPTH levels by their
+leading tokens, and the SPLITS levels below by votes. A node where enough positions hold the same token in
+most lines makes a template of the lines that agree with all of these positions, and hands the rest down; any
+other node deals its lines by the position that varies least. Hot lines are templates before any vote, so they
+don't outvote the others of their node. Unlike parsers that grow templates line by line, the outcome doesn't
+depend on the order of lines.
+
+What counts as recurring is the number of different texts: a group of copies is one text, so its lines don't
+recur for being copied, and all of its documents lose the same lines.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from echolot.llm.arrow import keyed_texts, map_arrow
+from echolot.llm.arrow import map_arrow
 from echolot.runtime import materialize
 
-#: Leading tokens of a leaf; documents that make a template recurring.
-DEPTH, MIN_DOCS = 3, 10
-#: Share of a leaf's lines that make a position constant; share of constant positions that make a template.
+#: Levels of leading tokens, levels below them that deal lines by votes.
+DEPTH, SPLITS = 3, 4
+#: Different texts that make a masked line recurring, and that a template with further variable fields needs.
+MIN_DOCS, PATTERN_DOCS = 3, 10
+#: Share of a node's lines that make a position constant; share of constant positions that make a template.
 CONSTANT, SOLID = 0.8, 0.6
-#: Share of a document's words in recurring lines from which it is a copy, and is left whole.
-COPY_SHARE = 0.5
-#: Rows of a table of leaves or templates that is handed to every task (about 100 MB); larger ones are joined.
-BROADCAST_ROWS = 1_000_000
+#: Rows of (line, first text), 16 bytes each, that are handed to every task; larger tables are joined.
+BROADCAST_ROWS = 2_000_000
+#: Patterns, and characters of them together, that are broadcast; larger tables are shuffled.
+PATTERN_ROWS, PATTERN_CHARACTERS = 100_000, 32 << 20
 
 _WILD = "<*>"
 _DIGIT = re.compile(r"\d")
+_LAST = (1 << 63) - 1
 
 
 def mask(line: str) -> list[str]:
-    """Tokens with variable fields as wildcards."""
+    """Tokens with variable fields as wildcards; a line of nothing else keeps its tokens."""
     tokens = line.split()
     if _DIGIT.search(line):
-        tokens = [_WILD if _DIGIT.search(t) else t for t in tokens]
+        masked = [_WILD if _DIGIT.search(t) else t for t in tokens]
+        return tokens if masked.count(_WILD) == len(masked) else masked
     return tokens
 
 
@@ -52,156 +62,187 @@ def leaf_of(tokens: list[str], depth: int = DEPTH) -> int:
     return _hash(f"{len(tokens)} {' '.join(tokens[:depth])}")
 
 
-def masked_line(tokens: list[str]) -> tuple[int, str]:
-    """Hash of a masked line, and the line."""
-    masked = " ".join(tokens)
-    return _hash(masked), masked
-
-
-def conforms(tokens: list[str], pattern: list[str | None]) -> bool:
-    return all(p is None or p == t for p, t in zip(pattern, tokens, strict=True))
-
-
-def _leaf_rows(docs: DataFrame, depth: int) -> DataFrame:
-    """(leaf, n): documents in which each leaf occurs, counted per batch before the shuffle."""
+def _pairs(texts: DataFrame, depth: int) -> DataFrame:
+    """(own, leaf, text, doc): masked lines of each different text, with its least document."""
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
-            for content in batch.column(1).to_pylist():
-                seen.update({leaf_of(tokens, depth) for line in content.split("\n") if (tokens := mask(line))})
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], schema=out)
+            first: dict[str, int] = {}
+            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                first[content] = min(doc, first.get(content, doc))
+            rows: list[tuple[int, int, int, int]] = []
+            for content, doc in first.items():
+                text, seen = _hash(content), set()
+                for line in content.split("\n"):
+                    tokens = mask(line)
+                    if tokens:
+                        own = _hash(" ".join(tokens))
+                        if own not in seen:
+                            seen.add(own)
+                            rows.append((own, leaf_of(tokens, depth), text, doc))
+            table = np.array(rows, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(table[:, k]) for k in range(4)], schema=out)
 
-    return map_arrow(docs, run, "leaf bigint, n bigint").groupBy("leaf").agg(F.sum("n").alias("n"))
+    return map_arrow(texts, run, "own bigint, leaf bigint, text bigint, doc bigint").groupBy("own", "leaf", "text").agg(F.min("doc").alias("doc"))
 
 
-def _lines(docs: DataFrame, depth: int, leaves: np.ndarray | None) -> DataFrame:
-    """(leaf, own, masked, doc, n): different masked lines of the wanted leaves with the least document and
-    the number of documents, merged per batch before the shuffle. Without `leaves`, of all leaves."""
-    wanted = None if leaves is None else docs.sparkSession.sparkContext.broadcast(frozenset(leaves.tolist()))
+def _masked_lines(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(own, masked): the wanted lines (own) with their tokens, each once for a batch before the shuffle."""
+    few = wanted.count() <= BROADCAST_ROWS
+    shared = texts.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow()["own"].to_numpy())) if few else None
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[int, int, str], list] = {}
-            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys = set()
+            lines: dict[int, str] = {}
+            for content in batch.column(0).to_pylist():
                 for line in content.split("\n"):
-                    tokens = mask(line)
-                    leaf = leaf_of(tokens, depth) if tokens else 0
-                    if tokens and (wanted is None or leaf in wanted.value):
-                        keys.add((leaf, *masked_line(tokens)))
-                for key in keys:
-                    entry = found.setdefault(key, [doc, 0])
-                    entry[0] = min(entry[0], doc)
-                    entry[1] += 1
-            columns = [[k[i] for k in found] for i in range(3)] + [[v[i] for v in found.values()] for i in range(2)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
-
-    return map_arrow(docs, run, "leaf bigint, own bigint, masked string, doc bigint, n bigint")
-
-
-def _patterns(lines: DataFrame, constant: float, solid: float) -> DataFrame:
-    """(leaf, pattern): constant tokens by position, null where the position varies."""
-    tokens = lines.select("leaf", "n", F.posexplode(F.split("masked", " ")).alias("pos", "token"))
-    counted = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"))
-    top = counted.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("total"))
-    fixed = (F.col("top.n") >= constant * F.col("total")) & (F.col("top.token") != _WILD)
-    marked = top.select("leaf", F.struct("pos", F.when(fixed, F.col("top.token")).alias("token")).alias("p"))
-    pattern = marked.groupBy("leaf").agg(F.array_sort(F.collect_list("p")).alias("ps")).select("leaf", F.col("ps.token").alias("pattern"))
-    share = F.size(F.filter("pattern", lambda t: t.isNotNull())) / F.size("pattern")
-    return pattern.where(share >= solid)
-
-
-def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT, solid: float = SOLID, copy_share: float = COPY_SHARE, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Drop lines whose template occurs in at least `min_docs` documents, but in the first of them.
-
-    Lines end at newlines; lines without tokens are never dropped. A template's documents are counted once
-    for each different masked line. The document with the least key keeps its lines. A document with over
-    `copy_share` of its words in recurring lines is a copy of others and no carrier of boilerplate: it is left
-    whole, for the near-duplicate operators to judge. Null and empty texts stay as they are. The key must be
-    an integer; null keys are never first. Repeated rows count each. Other columns are ignored, but those
-    named in `carry`, which must not be named like a column of the result; an empty table gives an empty result.
-
-    Returns doc_id, n_lines, n_removed, kept (the text without the dropped lines, null for null), carried columns.
+                    if tokens := mask(line):
+                        masked = " ".join(tokens)
+                        lines[_hash(masked)] = masked
+            own = np.fromiter(lines, np.int64, len(lines))
+            texts_of = pa.array(lines.values(), pa.string())
+            if shared is not None:
+                hit = _places(shared.value, own) >= 0
+                own, texts_of = own[hit], texts_of.filter(pa.array(hit))
+            yield pa.RecordBatch.from_arrays([pa.array(own), texts_of], schema=out)
+
+    found = map_arrow(texts.select("text"), run, "own bigint, masked string")
+    return (found if few else found.join(wanted, "own", "left_semi")).groupBy("own").agg(F.first("masked").alias("masked"))
+
+
+def _places(ordered: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of keys in a sorted array, -1 for those not there."""
+    if not len(ordered):
+        return np.full(len(keys), -1, np.int64)
+    at = np.minimum(np.searchsorted(ordered, keys), len(ordered) - 1)
+    return np.where(ordered[at] == keys, at, -1)
+
+
+def _votes(lines: DataFrame, constant: float, least: int) -> DataFrame:
+    """(node, pattern, share, split): constant tokens by position, the share of those that aren't wildcards,
+    and the varying position with the fewest tokens, of nodes (node, n, tokens) that could hold a template."""
+    counted = lines.select("node", "n", F.posexplode("tokens").alias("pos", "token")).groupBy("node", "pos", "token").agg(F.sum("n").alias("n"))
+    by_pos = counted.groupBy("node", "pos").agg(F.max(F.struct("n", "token")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("kinds")).where(F.col("total") >= least)
+    fixed = F.col("top.n") >= constant * F.col("total")
+    solid = F.when(fixed & (F.col("top.token") != _WILD), 1.0).otherwise(0.0)
+    nodes = by_pos.groupBy("node").agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.when(fixed, F.col("top.token")).alias("token")))).alias("ps"),  # one entry for each token of a line
+        F.avg(solid).alias("share"),
+        F.min(F.when(~fixed, F.struct("kinds", "pos"))).alias("split"),
+    )
+    return nodes.select("node", F.col("ps.token").alias("pattern"), "share", F.col("split.pos").alias("split"))
+
+
+def _small(patterns: DataFrame) -> bool:
+    size = patterns.agg(F.count("*").alias("n"), F.sum(F.length(F.array_join("pattern", " ", ""))).alias("c")).first()
+    return size["n"] <= PATTERN_ROWS and (size["c"] or 0) <= PATTERN_CHARACTERS
+
+
+def _grow(lines: DataFrame, splits: int, constant: float, solid: float, least: int) -> DataFrame | None:
+    """(own, template) of the lines (own, node, n, tokens) that the levels below the leading tokens put together."""
+    found = []
+    for level in range(splits + 1):
+        patterns = materialize(_votes(lines, constant, least), f"votes{level}")
+        dealt = lines.join(F.broadcast(patterns) if _small(patterns) else patterns, "node")
+        makes = F.col("share") >= solid
+        agrees = makes & F.forall(F.arrays_zip(F.col("tokens").alias("t"), F.col("pattern").alias("p")), lambda x: x["p"].isNull() | (x["p"] == x["t"]))
+        below = F.when(makes, F.xxhash64("node", F.lit(level))).otherwise(F.xxhash64("node", "split", F.expr("get(tokens, split)")))
+        state = materialize(dealt.select("own", "n", "tokens", F.when(agrees, F.col("node")).alias("template"), below.alias("node")), f"tree{level}")
+        found.append(state.where("template IS NOT NULL").select("own", "template"))
+        lines = state.where("template IS NULL").select("own", "node", "n", "tokens")
+        if lines.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
+
+
+def recurring_lines(pairs: DataFrame, texts: DataFrame, splits: int, min_docs: int, pattern_docs: int, constant: float, solid: float) -> DataFrame:
+    """(own, first): masked lines of recurring templates, with the text that keeps them (that of the least document)."""
+    holder = F.min(F.struct("doc", "text")).alias("holder")
+    lines = materialize(pairs.groupBy("own", "leaf").agg(F.count("*").alias("n"), holder), "lines")
+    exact = lines.where(F.col("n") >= min_docs).select("own", F.col("holder.text").alias("first"))
+    rest = lines.where(F.col("n") < min_docs).select("own", "leaf", "n")
+    leaves = rest.groupBy("leaf").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).where((F.col("total") >= pattern_docs) & (F.col("kinds") > 1)).select("leaf")
+    leaves = materialize(leaves, "leaves")
+    if leaves.isEmpty():
+        return materialize(exact, "recurring")
+    few = leaves.count() <= BROADCAST_ROWS
+    asked = materialize(rest.join(F.broadcast(leaves) if few else leaves, "leaf"), "asked")
+    tokens = _masked_lines(texts, asked.select("own"))
+    grown = _grow(asked.join(tokens, "own").select("own", F.col("leaf").alias("node"), "n", F.split("masked", " ").alias("tokens")), splits, constant, solid, pattern_docs)
+    grown = materialize(grown, "grown")
+    seen = pairs.join(grown, "own").groupBy("template", "text").agg(F.min("doc").alias("doc"))
+    templates = seen.groupBy("template").agg(F.count("*").alias("texts"), holder).where(F.col("texts") >= pattern_docs)
+    return materialize(exact.unionByName(grown.join(templates, "template").select("own", F.col("holder.text").alias("first"))), "recurring")
+
+
+def _without(content: str, gone: np.ndarray, places: list[int]) -> str:
+    dropped = {at for at, g in zip(places, gone.tolist(), strict=True) if g}
+    return "\n".join(x for at, x in enumerate(content.split("\n")) if at not in dropped)
+
+
+def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, splits: int = SPLITS, min_docs: int = MIN_DOCS, pattern_docs: int = PATTERN_DOCS, constant: float = CONSTANT, solid: float = SOLID, key: str = "doc_id", text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """Drop lines whose template occurs in at least `min_docs` different texts (`pattern_docs` for templates with
+    variable fields besides those with digits), except in the first of these texts.
+
+    Lines end at newlines; lines without tokens are never dropped. The first text is that of the least key (on
+    ties the one with the least hash) and keeps its lines, in all of its copies; every other document loses them,
+    be they a part of it or all. Lines and texts are told apart by 64-bit hashes. Null and empty texts stay as
+    they are; long texts are read whole. The key must be an integer; null keys count as the largest. Rows are
+    judged by their text alone, so repeated rows and keys are fine. Other columns are ignored, but those named in
+    `carry` come back as the struct column `carried`, whatever their names. An empty table gives an empty result.
+
+    Returns doc_id, n_lines, n_removed, kept (the text without the dropped lines, null for null).
     """
-    source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *carry)
-    texts = source.where("text IS NOT NULL").select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "text")
-    hot = materialize(_leaf_rows(texts, depth).where(F.col("n") >= min_docs).select("leaf"), "leaves")
-    few = hot.count() <= BROADCAST_ROWS
-    lines = _lines(texts, depth, hot.toPandas()["leaf"].to_numpy() if few else None)
-    lines = lines if few else lines.join(hot, "leaf", "left_semi")
-    lines = materialize(lines.groupBy("leaf", "own", "masked").agg(F.min("doc").alias("doc"), F.sum("n").alias("n")), "lines")
-    patterns = _patterns(lines, constant, solid)
-    agrees = F.coalesce(F.forall(F.arrays_zip(F.split("masked", " ").alias("t"), F.col("pattern").alias("p")), lambda x: x["p"].isNull() | (x["p"] == x["t"])), F.lit(False))
-    named = lines.join(patterns, "leaf", "left").select("leaf", F.when(agrees, F.col("pattern")).alias("pattern"), F.when(agrees, F.col("leaf")).otherwise(F.col("own")).alias("template"), "doc", "n")
-    templates = named.groupBy("template").agg(F.sum("n").alias("n"), F.min("doc").alias("doc"), F.max("leaf").alias("leaf"), F.max("pattern").alias("pattern"))
-    templates = materialize(templates.where(F.col("n") >= min_docs).select("template", "doc", "leaf", "pattern"), "templates")
-
-    if templates.count() <= BROADCAST_ROWS:
-        rows = templates.collect()  # size checked above
-        shared = docs.sparkSession.sparkContext.broadcast(
-            ({r.leaf for r in rows}, {r.template: r.pattern for r in rows if r.pattern is not None}, {r.template: r.doc for r in rows})
-        )
-
-        def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
-            leaves, pattern_of, first_of = shared.value
-            for batch in batches:
-                total, removed, kept = [], [], []
-                for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    parts = [] if content is None else content.split("\n")
-                    drop, words, common = [], 0, 0
-                    for at, line in enumerate(parts):
-                        tokens = mask(line)
-                        words += len(tokens)
-                        leaf = leaf_of(tokens, depth) if tokens else None
-                        if leaf not in leaves:
-                            continue
-                        pattern = pattern_of.get(leaf)
-                        first = first_of.get(leaf if pattern is not None and conforms(tokens, pattern) else masked_line(tokens)[0])
-                        if first is not None:
-                            common += len(tokens)
-                            if first != doc:
-                                drop.append(at)
-                    gone = set() if common > copy_share * words else set(drop)
-                    total.append(len(parts))
-                    removed.append(len(gone))
-                    kept.append(content if not gone else "\n".join(x for at, x in enumerate(parts) if at not in gone))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *batch.columns[2:]], schema=out)
-
-        extra = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[2:])
-        return map_arrow(source, run, f"doc_id bigint, n_lines bigint, n_removed bigint, kept string{extra}")
-    return _drop_joined(source, templates, depth, copy_share)
-
-
-def _drop_joined(source: DataFrame, templates: DataFrame, depth: int, copy_share: float) -> DataFrame:
-    """The same with templates joined to lines, for tables of them that are too large to hand out."""
+    extra = [F.struct(*(F.col(f"`{c}`") for c in carry)).alias("carried")] if carry else []
+    source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *extra)
+    texts = source.where("text IS NOT NULL").select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"), "text")
+    width = len(source.columns)
+    pairs = materialize(_pairs(texts, depth), "line-texts")
+    recurring = recurring_lines(pairs, texts, splits, min_docs, pattern_docs, constant, solid)
+    if recurring.count() <= BROADCAST_ROWS:
+        rows = recurring.toArrow()  # size checked above
+        own = rows["own"].to_numpy()
+        by = np.argsort(own)
+        shared = docs.sparkSession.sparkContext.broadcast((own[by], rows["first"].to_numpy()[by]))
+        drops = source
+    else:
+        shared = None
+        later = pairs.join(recurring, "own").where("first <> text").groupBy("text").agg(F.collect_set("own").alias("drops"))  # lines of one text
+        drops = _hashed(source).alias("d").join(later.withColumnRenamed("text", "content"), "content", "left").select("doc_id", "text", *source.columns[2:], "drops")
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = ((at, mask(line)) for at, line in enumerate(content.split("\n")))
-                rows += [(doc, _hash(content), at, leaf_of(tokens, depth), *masked_line(tokens), len(tokens)) for at, tokens in lines if tokens]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(out)], schema=out)
-
-    lines = map_arrow(source.where("text IS NOT NULL").select("doc_id", "text"), run, "doc_id bigint, content bigint, at int, leaf bigint, own bigint, masked string, words bigint")
-    by_leaf = templates.where("pattern IS NOT NULL").select(F.col("template").alias("leaf"), "pattern", F.col("doc").alias("leaf_doc"))
-    by_line = templates.where("pattern IS NULL").select(F.col("template").alias("own"), F.col("doc").alias("own_doc"))
-    agrees = F.coalesce(F.forall(F.arrays_zip(F.split("masked", " ").alias("t"), F.col("pattern").alias("p")), lambda x: x["p"].isNull() | (x["p"] == x["t"])), F.lit(False))
-    known = lines.join(by_leaf, "leaf", "left").join(by_line, "own", "left").withColumn("first", F.when(agrees, F.col("leaf_doc")).otherwise(F.col("own_doc")))
-    later = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("doc_id"))
-    drops = known.groupBy("doc_id", "content").agg(F.collect_set(F.when(later, F.col("at"))).alias("drops"), F.sum("words").alias("words"), F.coalesce(F.sum(F.when(F.col("first").isNotNull(), F.col("words"))), F.lit(0)).alias("common"))
-    drops = drops.select("doc_id", "content", F.when(F.col("common") > copy_share * F.col("words"), F.array().cast("array<int>")).otherwise(F.col("drops")).alias("drops"))
-
-    def hashed(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
+            contents, places, owns, sizes = batch.column(1).to_pylist(), [], [], []
+            for content in contents:
+                lines = [] if content is None else content.split("\n")
+                masked = [(at, " ".join(tokens)) for at, line in enumerate(lines) if (tokens := mask(line))]
+                places.append([at for at, _ in masked])
+                owns += [_hash(m) for _, m in masked]
+                sizes.append(len(lines))
+            own = np.array(owns, np.int64)
+            ends = np.cumsum([0, *map(len, places)])
+            if shared is not None:
+                known, first = shared.value
+                at = _places(known, own)
+                judged = np.repeat(np.array([0 if c is None else _hash(c) for c in contents], np.int64), np.diff(ends))
+                gone = (at >= 0) & (first[at] != judged) if len(known) else np.zeros(len(own), bool)
+            else:
+                lists = batch.column(batch.num_columns - 1).to_pylist()
+                gone = np.concatenate([np.isin(own[ends[i] : ends[i + 1]], np.array(x or [], np.int64)) for i, x in enumerate(lists)]) if lists else np.zeros(0, bool)
+            removed = [int(gone[a:b].sum()) for a, b in zip(ends, ends[1:])]
+            kept = [_without(c, gone[ends[i] : ends[i + 1]], places[i]) if removed[i] else c for i, c in enumerate(contents)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string()), *batch.columns[2:width]], schema=out)
+
+    out = T.StructType.fromDDL("doc_id bigint, n_lines bigint, n_removed bigint, kept string")
+    return map_arrow(drops, run, T.StructType([*out.fields, *source.schema.fields[2:]]))
+
+
+def _hashed(source: DataFrame) -> DataFrame:
+    """The documents with the hash of their text, null for null."""
+
+    def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [None if x is None else _hash(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.int64())], schema=out)
 
-    extra = source.columns[2:]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
-    marked = map_arrow(source, hashed, f"{ddl}, content bigint")
-    joined = marked.alias("d").join(drops.alias("x"), F.expr("d.doc_id <=> x.doc_id AND d.content = x.content"), "left").select("d.doc_id", "text", F.coalesce("drops", F.array().cast("array<int>")).alias("drops"), *extra)
-    parts = joined.withColumn("lines", F.split("text", "\n"))
-    kept = F.filter(F.col("lines"), lambda x, i: ~F.array_contains("drops", i))
-    return parts.select("doc_id", F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("n_lines"), F.size("drops").cast("bigint").alias("n_removed"), F.array_join(kept, "\n").alias("kept"), *extra)
+    return map_arrow(source, run, T.StructType([*source.schema.fields, T.StructField("content", T.LongType())]))
