@@ -1,11 +1,12 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of at least a given share.
 
-Every pair is found: two sets that similar share one of their first shingles (prefix filtering) under any
-common order of shingles, so texts that share such a shingle are candidates, and candidates are compared by
-their whole sets. The order puts shingles that are frequent in a sample last; it decides how many candidates
-there are and never the result. A group of texts with one shingle is first compared with a single member;
-only pairs that are still apart are then compared with each other, behind lengths and parity bits, which
-exclude pairs for certain.
+SimHash proposes most links: fingerprints over the same shingles meet in BK-trees, and every pair within the
+radius is checked by whole sets. Since fingerprints of texts at the least similarity differ in about ten bits, too
+many for trees over blocks, the rest is found by prefix filtering: two sets that similar share one of their
+first shingles under any common order, so texts that share such a shingle are candidates. The order puts
+shingles that are frequent in a sample last; it decides how many candidates there are and never the result. A
+group of texts with one shingle is first compared with a single member; only pairs that are still apart are then
+compared with each other, behind lengths and parity bits, which exclude pairs for certain.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echolot.llm.arrow import keyed_texts, map_arrow, utf8
-from echolot.llm.joins import narrow_side
-from echolot.llm.repeats import _sliding, _words
+from echolot.llm import simhash
+from echolot.llm.arrow import keyed_texts, map_arrow
+from echolot.llm.joins import BROADCAST_ROWS, narrow_side
+from echolot.llm.words import hash_words, sliding
 from echolot.operators.graph import connected_components
 from echolot.runtime import materialize
 
@@ -28,54 +29,46 @@ from echolot.runtime import materialize
 SHINGLE, SIMILARITY = 5, 0.8
 #: Texts (about) whose shingles are counted for the order, count from which one is frequent, frequent ones at most.
 ORDER_ROWS, FREQUENT, FREQUENT_ROWS = 5_000, 5, 200_000
-#: Parity bits of a set; sets whose shingles a task emits once, at most.
-BITS, SEEN_SETS = 512, 500_000
+#: Parity bits of a set; texts that a task remembers, so as to describe equal ones once.
+BITS, SEEN_TEXTS = 512, 300_000
 #: Parity bits of the sets of candidates, compared before whole sets; rows of them sent to all executors (about 20 MB).
 WIDE_BITS, WIDE_ROWS = 8192, 20_000
 #: Rows of parity bits that are sent to all executors (about 20 MB).
 PARITY_ROWS = 200_000
+#: Rows that are hashed at a time.
+SLICE = 100
 
 
-def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted different hashes of a text's word shingles; a shorter text is one shingle."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    width = min(shingle, len(words))
-    return np.unique(_sliding(np.fromiter(map(_words.__getitem__, words), np.uint64, len(words)), width, 100 + width))
+def _shingles(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
+    """Hashes of each row's word shingles, repeats included; a shorter text is one shingle."""
+    hashes, bounds = hash_words(column, lower=True)
+    wide = sliding(hashes, shingle, 100 + shingle)
+    for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        width = min(shingle, high - low)
+        yield wide[low : high - shingle + 1] if width == shingle else sliding(hashes[low:high], width, 100 + width) if width else hashes[:0]
 
 
-def _sets(docs: DataFrame, shingle: int, key: str, text: str) -> DataFrame:
-    """(doc_id, id, n, hashes): the set of each row; hashes is null where the task has emitted the set before."""
+def shingle_sets(texts: list[str | None], shingle: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted different hashes of each text's word shingles."""
+    return [np.unique(x) for x in _shingles(pa.array(texts, pa.string()), shingle)]
 
-    def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            ids, sizes, hashes = [], [], []
-            for content in utf8(batch.column(1)):
-                own = shingle_set(content or b"", shingle).tobytes()
-                value = xxhash.xxh3_64_intdigest(own) >> 1
-                ids.append(value)
-                sizes.append(len(own) // 8)
-                hashes.append(None if value in seen else own)
-                if len(seen) > SEEN_SETS:
-                    seen.clear()
-                seen.add(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(hashes, pa.binary())], schema=out)
 
-    pairs = keyed_texts(docs, key, text)
-    return map_arrow(pairs, run, f"doc_id {pairs.schema['doc_id'].dataType.simpleString()}, id bigint, n int, hashes binary")
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, SLICE):
+            yield batch.slice(low, SLICE)
 
 
-def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that are frequent in a sample, sorted, with their counts."""
+def _frequent(source: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that are frequent in a sample (by hash, so the same in any layout), sorted, with their counts."""
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], schema=out)
+        for part in _slices(batches):
+            keys, n = np.unique(np.concatenate([np.unique(x) for x in _shingles(part.column(0), shingle)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], schema=out)
 
-    sample = sets.sample(min(1.0, ORDER_ROWS / max(1, sets.count())), seed=0).select("hashes")
+    share = min(1.0, ORDER_ROWS / max(1, source.count()))
+    sample = source.where(F.pmod(F.xxhash64("doc_id", "id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("text")
     counted = map_arrow(sample, run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     rows = counted.orderBy(F.desc("n"), "key").limit(FREQUENT_ROWS).toArrow()
     keys, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
@@ -83,87 +76,136 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[by], n[by]
 
 
-def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(key, id, n): the first shingles of each set, as many as its size and the similarity ask for."""
-    shared = sets.sparkSession.sparkContext.broadcast(_frequent(sets))  # at most FREQUENT_ROWS pairs
+def _parity(own: np.ndarray, size: int) -> bytes:
+    """For each of `size` classes of shingles whether their number is odd."""
+    return np.packbits(np.bincount((own % np.uint64(size)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def _described(source: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(doc_id, id, n, fp, bits, prefix): size of the set, fingerprint, parity bits and the first shingles of each
+    row's set, as many as its size and the similarity ask for. A task describes a text only once; the copies' columns are null."""
+    shared = source.sparkSession.sparkContext.broadcast(_frequent(source, shingle))  # at most FREQUENT_ROWS pairs
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         frequent, counts = shared.value
+        seen: set[int] = set()
+        for part in _slices(batches):
+            ids = part.column(1).to_pylist()
+            fresh = []
+            for x in ids:
+                fresh.append(x not in seen)
+                seen.add(x)
+            if len(seen) > SEEN_TEXTS:
+                seen.clear()
+            rows: list[tuple] = [(None, None, None, None)] * len(ids)
+            new = [at for at, f in enumerate(fresh) if f]
+            for at, found in zip(new, _shingles(part.column(2).filter(pa.array(fresh)), shingle), strict=True):
+                own = np.unique(found)
+                first = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1 if len(own) else 0
+                order = own
+                if len(frequent) and len(own):
+                    there = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
+                    order = own[np.argsort(np.where(frequent[there] == own, counts[there], 0), kind="stable")]
+                rows[at] = (len(own), simhash._signed(simhash.majority(found)), _parity(own, BITS), order[:first].tobytes())
+            columns = [pa.array([r[k] for r in rows], out.field(k + 2).type) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], schema=out)
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return map_arrow(source.select("doc_id", "id", "text"), run, f"doc_id {kind}, id bigint, n int, fp bigint, bits binary, prefix binary")
+
+
+def _prefixes(described: DataFrame) -> DataFrame:
+    """(key, id, n): one row for each shingle of a prefix."""
+
+    def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sizes = [], []
-            for content in batch.column(2).to_pylist():
-                own = np.frombuffer(content, np.uint64)
-                first = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-                    own = own[np.argsort(np.where(frequent[at] == own, counts[at], 0), kind="stable")]
-                keys.append(own[:first])
-                sizes.append(len(keys[-1]))
-            columns = [np.concatenate(keys).view(np.int64), *(np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1))]
+            prefixes = batch.column(2).to_pylist()
+            sizes = [len(x) // 8 for x in prefixes]
+            columns = [np.frombuffer(b"".join(prefixes), np.int64), *(np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
-    return map_arrow(sets.select("id", "n", "hashes"), run, "key bigint, id bigint, n int")
+    return map_arrow(described.where("n > 0").select("id", "n", "prefix"), run, "key bigint, id bigint, n int")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
-    sizes = narrow_side(sets.join(narrow_side(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates"), "id", "left_semi").select("id", "n").distinct(), "sizes")
-    wide = narrow_side(_parity(sets.join(sizes.select("id"), "id", "left_semi"), WIDE_BITS).dropDuplicates(["id"]), "wide", WIDE_ROWS)
-    sized = pairs.join(sizes.select(F.col("id").alias("a"), "n"), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("m")), "b")
-    pairs = materialize(_may_be_similar(sized, wide, similarity), "candidates")
-    asked = narrow_side(pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id")), "asked")
-    side = lambda name: F.max(F.when(F.col("id") == F.col(name), F.col("hashes")))
-    both = sets.join(asked, "id").groupBy("a", "b").agg(side("a").alias("x"), side("b").alias("y"))
+def _sets(source: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(id, hashes) of the texts with these ids."""
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hits = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                hits.append(common >= similarity * ((len(x) + len(y)) // 8 - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hits, pa.bool_())) for c in batch.columns[:2]], schema=out)
+        seen: set[int] = set()
+        for part in _slices(batches):
+            fresh = []
+            for x in part.column(0).to_pylist():
+                fresh.append(x not in seen)
+                seen.add(x)
+            if len(seen) > SEEN_TEXTS:
+                seen.clear()
+            some = pa.array(fresh)
+            found = [np.unique(x).tobytes() for x in _shingles(part.column(1).filter(some), shingle)]
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(some), pa.array(found, pa.binary())], schema=out)
 
-    return map_arrow(both.select("a", "b", "x", "y"), run, "a bigint, b bigint")
+    wanted = source.join(ids, "id", "left_semi").select("id", "text")
+    return map_arrow(wanted, run, "id bigint, hashes binary").groupBy("id").agg(F.first("hashes").alias("hashes"))
 
 
-def _parity(sets: DataFrame, size: int = BITS) -> DataFrame:
-    """(id, bits): for each of `size` classes of shingles whether their number is odd."""
+def _may_be_similar(pairs: DataFrame, parity: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b, n, m) that sizes and parity bits (id, bits) don't exclude."""
+    share = (1 - similarity) / (1 + similarity)
+    near = pairs.where(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
+    both = near.join(parity.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").join(parity.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            odd = [np.packbits(np.bincount((np.frombuffer(x, np.uint64) % np.uint64(size)).astype(np.int64), minlength=size).astype(np.uint8) & 1).tobytes() for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(odd, pa.binary())], schema=out)
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (4, 5))
+            size = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            hit = pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= share * size + 1e-9)
+            yield pa.RecordBatch.from_arrays([c.filter(hit) for c in batch.columns[:4]], schema=out)
 
-    return map_arrow(sets.select("id", "hashes"), run, "id bigint, bits binary")
+    return map_arrow(both.select("a", "b", "n", "m", "x", "y"), run, "a bigint, b bigint, n int, m int")
 
 
-def _may_be_similar(pairs: DataFrame, parity: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of (a, b, n, m) that sizes and parity bits don't exclude."""
-    share = (1 - similarity) / (1 + similarity)
-    near = pairs.where(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
-    both = near.join(parity.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").join(parity.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
+def _similar(pairs: DataFrame, source: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of (a, b, n, m) whose whole sets reach the similarity."""
+    ids = narrow_side(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
+    sets = materialize(_sets(source, ids, shingle), "sets")
+
+    def widened(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [_parity(np.frombuffer(x, np.uint64), WIDE_BITS) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], schema=out)
+
+    wide = narrow_side(map_arrow(sets, widened, "id bigint, bits binary"), "wide", WIDE_ROWS)
+    left = materialize(_may_be_similar(pairs, wide, similarity).select("a", "b"), "candidates")
+    asked = narrow_side(left.select("a", "b", F.explode(F.array("a", "b")).alias("id")), "asked")
+    side = lambda name: F.max(F.when(F.col("id") == F.col(name), F.col("hashes")))
+    both = sets.join(asked, "id").groupBy("a", "b").agg(side("a").alias("x"), side("b").alias("y"))
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1), np.uint64) for k in (3, 4))
-            hit = pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= share * batch.column(2).to_numpy() + 1e-9)
-            yield pa.RecordBatch.from_arrays([c.filter(hit) for c in batch.columns[:2]], schema=out)
+            hits = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                hits.append(common >= similarity * ((len(x) + len(y)) // 8 - common) - 1e-9)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(hits, pa.bool_())) for c in batch.columns[:2]], schema=out)
 
-    return map_arrow(both.select("a", "b", (F.col("n") + F.col("m")).alias("size"), "x", "y"), run, "a bigint, b bigint")
+    return map_arrow(both.select("a", "b", "x", "y"), run, "a bigint, b bigint")
 
 
 def _apart(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of rows (key, n, id, component, bits) with one key and different components that may be similar."""
+    """Pairs (a, b, n, m) of rows (key, n, id, component, bits) with one key and different components that may be similar."""
     share = (1 - similarity) / (1 + similarity)  # of both sizes, that similar sets may differ in
 
-    def pairs_of(n: np.ndarray, ids: np.ndarray, component: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs_of(n: np.ndarray, ids: np.ndarray, component: np.ndarray, bits: np.ndarray) -> Iterator[list[np.ndarray]]:
         ends = np.searchsorted(n, n / similarity + 1e-9, side="right")
         for i in range(len(n) - 1):
             others = slice(i + 1, ends[i])
             differ = np.bitwise_count(bits[others] ^ bits[i]).sum(1, dtype=np.int64)
-            hit = ids[others][(differ <= share * (n[others] + n[i]) + 1e-9) & (component[others] != component[i])]
-            if len(hit):
-                yield np.minimum(hit, ids[i]), np.maximum(hit, ids[i])
+            hit = (differ <= share * (n[others] + n[i]) + 1e-9) & (component[others] != component[i])
+            if hit.any():
+                other, size = ids[others][hit], n[others][hit]
+                less = ids[i] < other
+                yield [np.where(less, ids[i], other), np.where(less, other, ids[i]), np.where(less, n[i], size), np.where(less, size, n[i])]
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -172,8 +214,8 @@ def _apart(rows: DataFrame, similarity: float) -> DataFrame:
             key, n, ids, component, bits = (np.concatenate(x) for x in zip(*held, strict=True))
             cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1), len(key)]
             for low, high in zip(cuts, cuts[1:]):
-                for a, b in pairs_of(*(x[low:high] for x in (n, ids, component, bits))):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=out)
+                for columns in pairs_of(*(x[low:high] for x in (n, ids, component, bits))):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
         for batch in batches:
             if not batch.num_rows:
@@ -190,38 +232,64 @@ def _apart(rows: DataFrame, similarity: float) -> DataFrame:
             yield from emit()
 
     dealt = rows.select("key", "n", "id", "component", "bits").repartition("key").sortWithinPartitions("key", "n")
-    return map_arrow(dealt, run, "a bigint, b bigint").distinct()
+    return map_arrow(dealt, run, "a bigint, b bigint, n int, m int").distinct()
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _proposed(sketches: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b, n, m) of texts whose fingerprints are within the radius, over one text for each fingerprint."""
+    hubs = materialize(sketches.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("hub")), "fingerprints")
+    links = simhash.neighbour_links(hubs.select("fp"), radius)
+    side = lambda name: hubs.select(F.col("fp").alias(name), F.col("hub").alias(f"{name}_hub"))
+    far = links.join(side("a"), "a").join(side("b"), "b").select(F.col("a_hub").alias("p"), F.col("b_hub").alias("q"))
+    same = sketches.join(hubs, "fp").where("id <> hub.id").select(F.col("hub").alias("p"), F.struct("id", "n").alias("q"))
+    both = far.union(same)
+    return both.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.n").alias("n"), F.col("q.n").alias("m"))
+
+
+def text_id(text: str) -> F.Column:
+    return F.xxhash64(F.col(text))
+
+
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = simhash.RADIUS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Groups of documents that are linked, directly or over others, by sets of Jaccard similarity >= `similarity`.
 
-    Words are lower-cased in ASCII; sets are compared by 64-bit hashes. Texts without words (null, empty, white
-    space) have the empty set and form one group. Rows that repeat a key stay as they are; null keys take part
-    and count as larger than any other; other columns are ignored; an empty table gives an empty result.
+    Words are lower-cased in ASCII; texts and shingles are told apart by 64-bit hashes. Texts without words (null,
+    empty, white space) have the empty set and form one group; long texts are read whole. Rows that repeat a key stay
+    as they are; null keys take part and count as larger than any other; other columns are ignored; an empty table
+    gives an empty result.
 
-    Returns doc_id and component_id, the least key reachable.
+    Returns doc_id, text_id (of the row's text), component_id (the least key reachable) and keeper: true for the rows
+    with the least key of their group and, among these, the least text_id.
     """
-    marked = materialize(_sets(docs, shingle, key, text), "shingles")
-    sets = marked.where("hashes IS NOT NULL AND n > 0").select("id", "n", "hashes")
-    by_key = Window.partitionBy("key")
-    spread = _prefixes(sets, similarity).withColumn("hub", F.min(F.struct("id", "n")).over(by_key)).withColumn("far", F.max("id").over(by_key)).where("hub.id <> far")
-    shared = materialize(spread.select("key", "id", "n", "hub"), "shared")
-    asked = narrow_side(shared.select("id").distinct(), "shared-sets")
-    parity = narrow_side(_parity(sets.join(asked, "id", "left_semi")).dropDuplicates(["id"]), "parity", PARITY_ROWS)
-    hubs = shared.where("id <> hub.id").select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("n"), F.col("n").alias("m")).distinct()
-    hubs = materialize(_may_be_similar(hubs, parity, similarity), "hubs")
-    links = materialize(_similar(hubs, sets, similarity), "similar")
+    source = keyed_texts(docs, key, text).withColumn("id", text_id("text"))
+    described = materialize(_described(source, shingle, similarity), "described")
+    sketches = materialize(described.where("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits")), "sketches")
+    spread = _prefixes(described)
+    hubs = materialize(spread.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("far")).where("hub.id <> far").select("key", "hub"), "hubs")
+    shared = materialize(spread.join(F.broadcast(hubs) if hubs.count() <= BROADCAST_ROWS else hubs, "key").distinct(), "shared")
+    asked = narrow_side(shared.select("id").distinct(), "shared-texts")
+    parity = narrow_side(sketches.join(asked, "id", "left_semi").select("id", "bits"), "parity", PARITY_ROWS)
+    over_hubs = shared.where("id <> hub.id").select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("n"), F.col("n").alias("m"))
+    tried = materialize(_may_be_similar(over_hubs.distinct(), parity, similarity), "tried")
+    proposed = _proposed(sketches.select("id", "n", "fp"), radius)
+    first = materialize(tried.union(proposed).distinct(), "first")
+    links = materialize(_similar(first, source, shingle, similarity), "similar")
     component = connected_components(links)
 
-    labelled = shared.select("key", "id", "n").distinct().join(component.withColumnRenamed("vertex", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = labelled.withColumn("low", F.min("component").over(by_key)).withColumn("high", F.max("component").over(by_key)).where("low <> high")
-    apart = _apart(mixed.select("key", "id", "n", "component").join(parity, "id"), similarity)
-    rest = materialize(_similar(materialize(apart.join(hubs, ["a", "b"], "left_anti"), "apart"), sets, similarity), "similar")
+    labelled = shared.select("key", "id", "n").join(component.withColumnRenamed("vertex", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    mixed = labelled.join(narrow_side(several, "several"), "key", "left_semi")
+    apart = _apart(mixed.select("key", "n", "id", "component").join(parity, "id"), similarity)
+    rest = materialize(apart.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "apart")
     if not rest.isEmpty():
-        component = connected_components(links.union(rest))
-
-    distinct = marked.groupBy("id").agg(F.min("doc_id").alias("first"))
-    joined = materialize(distinct.join(component, distinct.id == component.vertex, "left").select("id", "first", F.coalesce("component", "id").alias("component")), "copies")
-    least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    return marked.select("doc_id", "id").join(joined.join(least, "component").select("id", "component_id"), "id").select("doc_id", "component_id")
+        more = materialize(_similar(rest, source, shingle, similarity), "similar")
+        if not more.isEmpty():
+            component = connected_components(links.union(more))
+
+    texts = described.groupBy("id").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
+    joined = texts.join(component, texts.id == component.vertex, "left").select("id", "first", F.when(F.col("n") == 0, F.lit(0).cast("bigint")).otherwise(F.coalesce("component", "id")).alias("component"))
+    joined = materialize(joined, "copies")
+    least = joined.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("unknown"), "first", "id")).alias("least"))
+    labels = joined.join(least, "component").select("id", F.col("least.first").alias("component_id"), F.col("least.id").alias("kept"))
+    keeper = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("id") == F.col("kept"))
+    return described.select("doc_id", "id").join(labels, "id").select("doc_id", F.col("id").alias("text_id"), "component_id", keeper.alias("keeper"))

@@ -40,10 +40,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     starts = [0, *ends[: max(0, len(words) - shingle)]]
     stops = ends[min(shingle, len(words)) - 1 :]
     digest = xxhash.xxh64_intdigest
-    total, n = np.zeros(64, np.int64), len(starts)
+    return majority(np.array([digest(joined[a : b - 1], seed) for a, b in zip(starts, stops, strict=True)], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of some 64-bit hashes; zero without any."""
+    total, n = np.zeros(64, np.int64), len(hashes)
     for low in range(0, n, _BLOCK):
-        hashes = np.array([digest(joined[a : b - 1], seed) for a, b in zip(starts[low : low + _BLOCK], stops[low : low + _BLOCK], strict=True)], ">u8")
-        bits = np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64)
+        bits = np.unpackbits(hashes[low : low + _BLOCK].astype(">u8").view(np.uint8)).reshape(-1, 64)
         total += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 

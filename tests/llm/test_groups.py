@@ -1,8 +1,9 @@
 """Operators on pairs and passages against brute force."""
 
-import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -72,6 +73,11 @@ def test_repeats_edges(spark):
     got = sorted((r.doc_id or 0, r.n_removed) for r in repeats.remove_repeats(frame(spark, rows)).collect())
     assert got == [(0, 0), (1, 30), (1, 30), (2, 30)]  # null comes first; equal rows get the same
     assert repeats.remove_repeats(frame(spark, rows).limit(0)).count() == 0
+    other = " ".join(f"v{i}" for i in range(40))
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in repeats.remove_repeats(frame(spark, [(1, text), (2, text), (2, other), (None, None), (None, other + " x")])).collect() if r.doc_id)
+    assert got == [(1, 30, 0), (2, 30, 30), (2, 40, 40)]  # the null key holds the other text first
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in repeats.remove_repeats(frame(spark, [(1, text), (2, text), (2, other)])).collect())
+    assert got == [(1, 30, 0), (2, 30, 30), (2, 40, 0)]  # a text that repeats nothing loses nothing
     long = " ".join(f"v{i % 5000}" for i in range(60_000))
     [r] = repeats.remove_repeats(frame(spark, [(1, long)])).collect()
     assert (r.n_words, r.n_removed) == (60_000, 55_000)
@@ -219,56 +225,66 @@ def test_decontamination_edges(spark):
     assert decontam.decontaminate(docs.limit(0), bench).count() == 0
 
 
-def lines_by_brute_force(rows, min_docs, constant=templates.CONSTANT, solid=templates.SOLID, copy_share=templates.COPY_SHARE):
-    """Template dedup with dictionaries."""
-    key = lambda line: ("*".join([]), tuple("<*>" if re.search(r"\d", t) else t for t in line.split()))[1]
-    leaf_docs, lines = {}, {}
+def lines_by_brute_force(rows, min_docs, pattern_docs, splits=templates.SPLITS, constant=templates.CONSTANT, solid=templates.SOLID):
+    """The tree with dictionaries."""
+
+    def key(line):
+        tokens = tuple("<*>" if re.search(r"\d", t) else t for t in line.split())
+        return tuple(line.split()) if set(tokens) == {"<*>"} else tokens
+
+    first_of, holders = {}, {}  # text -> least document; line -> texts
     for doc, text in rows:
-        if text is None:
-            continue
-        distinct = {key(x) for x in text.split("\n") if x.split()}
-        for leaf in {(len(k), k[:3]) for k in distinct}:
-            leaf_docs[leaf] = leaf_docs.get(leaf, 0) + 1
-        for k in distinct:
-            n, first = lines.get(k, (0, None))
-            lines[k] = (n + 1, doc if first is None else min(first, doc))
-    patterns = {}
-    for leaf in (x for x, n in leaf_docs.items() if n >= min_docs):
-        own = [(k, n) for k, (n, _) in lines.items() if (len(k), k[:3]) == leaf]
-        pattern = []
-        for pos in range(leaf[0]):
-            count = {}
-            for k, n in own:
-                count[k[pos]] = count.get(k[pos], 0) + n
-            n, token = max((n, t) for t, n in count.items())
-            pattern.append(token if n >= constant * sum(count.values()) and token != "<*>" else None)
-        if sum(p is not None for p in pattern) >= solid * len(pattern):
-            patterns[leaf] = pattern
-    name = lambda k: ("leaf", len(k), k[:3]) if (p := patterns.get((len(k), k[:3]))) and all(a is None or a == b for a, b in zip(p, k)) else ("own", k)
-    total = {}
-    for k, (n, first) in lines.items():
-        if leaf_docs[len(k), k[:3]] >= min_docs:
-            m, f = total.get(name(k), (0, first))
-            total[name(k)] = (m + n, min(f, first))
+        if text is not None:
+            first_of[text] = min(first_of.get(text, math.inf), math.inf if doc is None else doc)
+    for text in first_of:
+        for k in {key(x) for x in text.split("\n") if x.split()}:
+            holders.setdefault(k, set()).add(text)
+    template = {k: ("own", k) for k, t in holders.items() if len(t) >= min_docs}
+    total = lambda node: sum(len(holders[k]) for k in node)
+    leaves = {}
+    for k in holders.keys() - template.keys():
+        leaves.setdefault((len(k), k[:3]), []).append(k)
+    nodes = [n for n in leaves.items() if total(n[1]) >= pattern_docs and len(n[1]) > 1]
+    for level in range(splits + 1):
+        below = {}
+        for name, lines in nodes:
+            if total(lines) < pattern_docs:
+                continue
+            pattern, varying = [], []
+            for pos in range(len(lines[0])):
+                votes = Counter()
+                for k in lines:
+                    votes[k[pos]] += len(holders[k])
+                n, token = max((n, t) for t, n in votes.items())
+                pattern.append(token if n >= constant * sum(votes.values()) else None)
+                if pattern[-1] is None:
+                    varying.append((len(votes), pos))
+            if sum(p not in (None, "<*>") for p in pattern) >= solid * len(pattern):
+                for k in lines:
+                    if all(p is None or p == t for p, t in zip(pattern, k)):
+                        template[k] = ("node", name)
+                    else:
+                        below.setdefault((name, level), []).append(k)
+            else:
+                for k in lines:
+                    below.setdefault((name, min(varying)[1], k[min(varying)[1]]) if varying else (name,), []).append(k)
+        nodes = list(below.items())
+    texts = {}
+    for k, name in template.items():
+        texts.setdefault(name, set()).update(holders[k])
+    keeper = {}
+    for k, name in template.items():
+        if len(texts[name]) >= (min_docs if name[0] == "own" else pattern_docs):
+            keeper[k] = min(texts[name], key=lambda t: (first_of[t], templates._hash(t)))
     out = []
     for doc, text in rows:
-        if text is None:
-            out.append((doc, 0, 0, None))
-            continue
-        parts = text.split("\n")
-        keys = [key(x) for x in parts]
-        common = [bool(k) and total.get(name(k), (0, 0))[0] >= min_docs for k in keys]
-        if sum(len(k) for k, c in zip(keys, common) if c) > copy_share * sum(map(len, keys)):
-            out.append((doc, len(parts), 0, text))
-            continue
-        stay = [not c or total[name(k)][1] == doc for k, c in zip(keys, common)]
-        out.append((doc, len(parts), stay.count(False), "\n".join(x for x, s in zip(parts, stay) if s)))
+        parts = [] if text is None else text.split("\n")
+        stay = [not x.split() or keeper.get(key(x), text) == text for x in parts]
+        out.append((doc, len(parts), stay.count(False), None if text is None else "\n".join(x for x, s in zip(parts, stay) if s)))
     return out
 
 
-@pytest.mark.parametrize("rows_to_broadcast", [1_000_000, 0])
-def test_templates(spark, rows_to_broadcast, monkeypatch):
-    monkeypatch.setattr(templates, "BROADCAST_ROWS", rows_to_broadcast)
+def template_rows():
     rng = random.Random(17)
     rows = []
     for i in range(80):
@@ -278,18 +294,41 @@ def test_templates(spark, rows_to_broadcast, monkeypatch):
         if i % 3 == 0:
             lines.insert(0, "All rights reserved.")
         if i % 5 == 0:
-            lines.append(f"Read more about {rng.choice(['dogs', 'cats', 'owls', 'bees', 'ants'])} in our archive today")
+            lines.append(f"Read more about {rng.choice('abcdefghijkl') * 3} {rng.choice('abcdefghijkl') * 4} in our archive today")
+        if i % 5 == 1:
+            lines.append(f"Read more about the new {rng.choice('abcdefghijkl') * 3} {rng.choice('abcdefghijkl') * 4} before lunch")
         if i % 4 == 0:
-            lines += ["", "  "]
+            lines += ["", "  ", f"{i} {i + 1}"]
         rows.append((i, "\n".join(lines)))
-    rows += [(200 + i, rows[7][1]) for i in range(12)] + [(90, None), (91, ""), (92, "All rights reserved.")]
-    got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.kept) for r in templates.drop_recurring_lines(frame(spark, rows), min_docs=5).collect()), key=repr)
-    assert got == sorted(lines_by_brute_force(rows, 5), key=repr)
-    assert sum(r[2] for r in got) > 40 and sum("All rights" in (r[3] or "") for r in got) < 6
+    rows += [(200 + i, rows[7][1]) for i in range(12)] + [(90, None), (91, ""), (92, "All rights reserved."), (None, rows[9][1] + "\nlast"), (93, rows[3][1]), (93, "All rights reserved.\nother")]
+    return rows + [(300 + i, "All rights reserved by the owner and the publisher") for i in range(30)] + [(400 + i, f"All rights reserved by {chr(97 + i) * 3} and {chr(98 + i) * 4} publisher") for i in range(12)]
+
+
+@pytest.mark.parametrize("rows_to_broadcast", [1_000_000, 0])
+def test_templates(spark, rows_to_broadcast, monkeypatch):
+    monkeypatch.setattr(templates, "BROADCAST_ROWS", rows_to_broadcast)
+    if not rows_to_broadcast:
+        monkeypatch.setattr(templates, "PATTERN_ROWS", 0)
+    rows = template_rows()
+    got = sorted(((r.doc_id, r.n_lines, r.n_removed, r.kept) for r in templates.drop_recurring_lines(frame(spark, rows).repartition(3), min_docs=3, pattern_docs=6).collect()), key=repr)
+    assert got == sorted(lines_by_brute_force(rows, 3, 6), key=repr)
+    whole = "\n".join(r[3] or "" for r in got)
+    assert whole.count("All rights reserved.") == 1 and whole.count("Posted by user") == 1
+    assert whole.count("in our archive") == 1 and whole.count("before lunch") == 1  # two templates in one leaf
+    assert whole.count("All rights reserved by") == 30 + 1  # copies of the first text keep it; the hot line doesn't hide the variable one
+
+
+def test_boilerplate_documents_and_passages_in_few_documents(spark):
+    notice = "Cookie notice: accept all\nSubscribe to our newsletter now"
+    passage = " ".join(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = [(i, f"{notice}\nunique {chr(97 + i)} words {chr(98 + i)}") for i in range(20)] + [(100 + i, f"other {chr(97 + i)}\n{passage}") for i in range(5)]
+    got = {r.doc_id: r.n_removed for r in templates.drop_recurring_lines(frame(spark, rows)).collect()}
+    assert got == {0: 0, 100: 0} | {i: 2 for i in range(1, 20)} | {100 + i: 1 for i in range(1, 5)}
 
 
 def test_templates_edges(spark):
-    rows = [(None, "a b\nx"), (1, "a b\ny z"), (1, "a b\ny z")]
-    got = templates.drop_recurring_lines(frame(spark, rows), min_docs=2).collect()
-    assert len(got) == 3 and templates.drop_recurring_lines(frame(spark, rows).limit(0)).count() == 0
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+    rows = [(None, "a b\nx"), (1, "a b\ny z"), (1, "a b\ny z"), (2, "a b\n" + "w " * 50_000), (3, "12 34"), (4, "12 35"), (5, "12 36")]
+    got = templates.drop_recurring_lines(frame(spark, rows), carry=["doc_id", "text", "seed", "content", "start"]).collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 1), (1, 0), (1, 0), (2, 1), (3, 0), (4, 0), (5, 0)]
+    assert all(r.carried.doc_id == r.doc_id and r.carried.content == "x" for r in got)
+    assert templates.drop_recurring_lines(frame(spark, rows).limit(0)).count() == 0
