@@ -1,8 +1,9 @@
 """Interpolated Kneser-Ney character models over words, stored in sorted arrays of n-gram keys.
 
 A word is read with order - 1 spaces before it and one after; each character and that last space is
-predicted from the order - 1 characters before it. A key packs 12 bits per character, the last character
-lowest, so a suffix is a mask and a context is a shift; characters from 4093 on share keys with others.
+predicted from the order - 1 characters before it. A key packs 16 bits per character, the last character
+lowest, so a suffix is a mask and a context is a shift; characters beyond the basic plane share the codes of its
+private area.
 """
 
 from __future__ import annotations
@@ -12,20 +13,31 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Characters of an n-gram (at most 5), discount, probability mass unit of characters never seen.
-ORDER, DISCOUNT, ALPHABET = 4, 0.75, 4093
-_BITS = 12
+#: Characters of an n-gram (at most 4), discount, number of codes, over which unseen characters share their mass.
+ORDER, DISCOUNT, ALPHABET = 4, 0.75, 1 << 16
+_BITS = 16
+#: First code of the private area and its size.
+_PRIVATE, _PRIVATE_SIZE = 0xE000, 6400
 #: Words that are scored at a time.
 BLOCK = 20_000
 
 
+def code_of(character: str) -> int:
+    code = ord(character)
+    return code if code < ALPHABET else _PRIVATE + code % _PRIVATE_SIZE
+
+
+def suffix_mask(k: int) -> int:
+    return (1 << _BITS * k) - 1
+
+
 def word_keys(words: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """(keys, starts): n-gram keys of all words one after another, and where each word's keys start."""
     pad = " " * (order - 1)
     codes = np.frombuffer((pad + (" " + pad[1:]).join(words) + " ").encode("utf-32-le"), np.uint32) if words else np.zeros(0, np.uint32)
     if not words:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    codes = np.where(codes < 4096, codes, codes % ALPHABET).astype(np.uint64)
+    codes = np.where(codes < ALPHABET, codes, _PRIVATE + codes % _PRIVATE_SIZE).astype(np.uint64)
     keys = np.zeros(len(codes) - order + 1, np.uint64)
     for i in range(order):
         keys = keys << np.uint64(_BITS) | codes[i : i + len(keys)]
@@ -86,7 +98,7 @@ class CharacterModels:
         total = np.zeros((len(keys), len(self.names)), np.float32)
         open_ = np.arange(len(keys))
         for k in range(self.order, 0, -1):
-            own = keys[open_] & np.uint64((1 << _BITS * k) - 1)
+            own = keys[open_] & np.uint64(suffix_mask(k))
             at = _lookup(self.keys[k - 1], own)
             known = at >= 0
             total[open_[known]] += self.logs[k - 1][at[known]]
@@ -115,10 +127,24 @@ def _context_sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.
     return context[first], np.add.reduceat(counts, first).astype(float), np.diff(np.concatenate([first, [len(keys)]])).astype(float)
 
 
+def lower_order(keys: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The table of k-grams from that of (k + 1)-grams."""
+    suffix = keys & np.uint64(suffix_mask(k))
+    by = np.argsort(suffix, kind="stable")
+    suffix, counts = suffix[by], counts[by]
+    first = np.flatnonzero(np.concatenate([[True], suffix[1:] != suffix[:-1]])) if len(suffix) else np.zeros(0, np.int64)
+    if not len(first):
+        return suffix, np.zeros(0)
+    own = suffix[first]
+    begins = (own >> np.uint64(_BITS * (k - 1)) == ord(" ")) & (k > 1)  # a lone space is the end of a word
+    return own, np.where(begins, np.add.reduceat(counts, first), np.diff(np.concatenate([first, [len(suffix)]])))
+
+
 def train(tables: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER, discount: float = DISCOUNT) -> CharacterModels:
     """Models from sorted n-gram tables of the highest order, {name: (keys, counts)}.
 
-    Lower orders use continuation counts: the number of different characters that a k-gram follows.
+    Lower orders use continuation counts, the number of different characters that a k-gram follows; k-grams
+    that begin a word follow nothing but padding and keep their raw counts.
     """
     names = sorted(tables)
     levels: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -126,9 +152,7 @@ def train(tables: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER,
         keys, counts = tables[name]
         chain = [(keys, counts.astype(float))]
         for k in range(order - 1, 0, -1):
-            suffix = np.sort(chain[0][0] & np.uint64((1 << _BITS * k) - 1))
-            first = np.flatnonzero(np.concatenate([[True], suffix[1:] != suffix[:-1]])) if len(suffix) else np.zeros(0, np.int64)
-            chain.insert(0, (suffix[first], np.diff(np.concatenate([first, [len(suffix)]])).astype(float)))
+            chain.insert(0, lower_order(*chain[0], k))
         levels[name] = chain
     models = CharacterModels(names, order, [], [], [], [])
     for k in range(1, order + 1):
@@ -147,7 +171,7 @@ def train(tables: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER,
         if k == 1:
             lower = np.full((len(union), len(names)), 1.0 / ALPHABET)
         else:  # every suffix of a known k-gram is known in the union, as the tables are nested
-            lower = np.exp2(models.logs[k - 2][_lookup(models.keys[k - 2], union & np.uint64((1 << _BITS * (k - 1)) - 1))].astype(float))
+            lower = np.exp2(models.logs[k - 2][_lookup(models.keys[k - 2], union & np.uint64(suffix_mask(k - 1)))].astype(float))
         left = mass[_lookup(union_context, union >> np.uint64(_BITS))] if len(union) else np.zeros((0, len(names)))
         models.keys.append(union)
         models.logs.append(np.log2(np.maximum(probability + left * lower, 1e-30)).astype(np.float32))
@@ -160,7 +184,7 @@ class WordScores:
     """Scores of words in all models, remembered for a bounded number of words."""
 
     def __init__(self, models: CharacterModels, entries: int = 150_000) -> None:
-        self.models, self.entries = models, entries
+        self.models, self.entries = models, min(entries, 3_000_000 // max(1, len(models.names)))
         self.places: dict[str, int] = {}
         self.table = np.zeros((0, len(models.names)), np.float32)
 

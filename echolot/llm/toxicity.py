@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from echolot.llm.arrow import keyed_texts, map_arrow
 from echolot.llm.joins import narrow_side
-from echolot.llm.kneser_ney import CharacterModels, train
+from echolot.llm.kneser_ney import CharacterModels, code_of, train
 from echolot.llm.langid import collect_tables, ngram_counts
 
 #: Letters that characters imitate.
@@ -59,8 +59,7 @@ class Restorer:
     def _step(self, context: str, character: str) -> float:
         key = 0
         for c in context + character:
-            code = ord(c)
-            key = key << 12 | (code if code < 4096 else code % 4093)
+            key = key << 16 | code_of(c)
         return float(self.models.log_probabilities(np.array([key], np.uint64))[0, 0])
 
     def decode(self, token: str) -> tuple[str, float]:

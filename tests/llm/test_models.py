@@ -30,7 +30,7 @@ def test_kneser_ney_by_hand():
     for w, n in zip(words, weights.tolist()):
         for a, b in zip(" " + w, w + " "):
             pairs[a + b] += n
-    assert dict(zip([chr(k >> 12) + chr(k & 4095) for k in keys.tolist()], counts.tolist())) == pairs
+    assert dict(zip([chr(k >> 16) + chr(k & 65535) for k in keys.tolist()], counts.tolist())) == pairs
     model = kneser_ney.train({"m": (keys, counts)}, 2, 0.75)
 
     def probability(a, b):
@@ -52,7 +52,7 @@ def test_probabilities_sum_to_one():
     keys, counts = kneser_ney.count_keys(words, np.ones(5, np.int64), 3)
     model = kneser_ney.train({"x": (keys, counts)}, 3)
     for context in ("  ", " k", "un", "zz"):
-        every = np.array([(ord(context[0]) << 24) | (ord(context[1]) << 12) | c for c in range(kneser_ney.ALPHABET)], np.uint64)
+        every = np.array([(ord(context[0]) << 32) | (ord(context[1]) << 16) | c for c in range(kneser_ney.ALPHABET)], np.uint64)
         assert np.exp2(model.log_probabilities(every)[:, 0].astype(float)).sum() == pytest.approx(1, abs=1e-3)
 
 
@@ -88,12 +88,47 @@ def test_junk_does_not_lift_the_limit(spark, texts):
     assert all(got[i] for i in range(20)) and not any(got[100 + i] for i, _, _ in texts)
 
 
-def test_model_size_is_bounded(spark, texts):
-    docs = spark.createDataFrame([(t, lang) for _, t, lang in texts], "text string, lang string")
-    counts = langid.ngram_counts(docs)
-    whole = sum(len(k) for k, _ in langid.collect_tables(counts).values())
-    cut = langid.collect_tables(counts, whole // 2)
-    assert 0 < sum(len(k) for k, _ in cut.values()) <= whole // 2
+def test_trigrams_by_definition():
+    """Interpolated Kneser-Ney of order 3 from plain dictionaries: raw counts at the beginnings of words."""
+    words = Counter({"ab": 3, "abc": 2, "b": 1, "cab": 4, "日本": 2, "日": 1})
+    grams = Counter()
+    for w, n in words.items():
+        for i in range(len(w) + 1):
+            grams.update({("  " + w + " ")[i : i + 3]: n})
+    pairs = {g[1:] for g in grams}
+    middle = {p: sum(n for g, n in grams.items() if g[1:] == p) if p[0] == " " else sum(g[1:] == p for g in grams) for p in pairs}
+    low = {c: sum(p[1] == c for p in pairs) for c in {p[1] for p in pairs}}
+
+    def probability(table, gram, d=0.75):
+        if not gram:
+            return 1 / kneser_ney.ALPHABET
+        lower = probability([grams, middle, low, {}][4 - len(gram)], gram[1:])
+        seen = {g: n for g, n in table.items() if g[:-1] == gram[:-1]}
+        if not seen:
+            return lower
+        total = sum(seen.values())
+        return max(seen.get(gram, 0) - d, 0) / total + d * len(seen) / total * lower
+
+    keys, counts = kneser_ney.count_keys(list(words), np.array(list(words.values())), 3)
+    model = kneser_ney.train({"m": (keys, counts)}, 3)
+    for word in ["ab", "cab", "bc", "本日", "日本", "zz", "c"]:
+        padded = "  " + word + " "
+        want = sum(math.log2(probability(grams, padded[i : i + 3])) for i in range(len(word) + 1))
+        assert model.score_words([word])[0, 0] == pytest.approx(want, rel=1e-4)
+
+
+def test_models_beyond_the_bound_judge_alike(spark, texts, monkeypatch):
+    docs = spark.createDataFrame([(i, t, lang) for i, t, lang in texts[:300]] + [(1000, None, "aa"), (1001, "12", "aa"), (1002, "日本 kato 語", "bb")], "doc_id bigint, text string, lang string")
+    small = langid.fit(docs)
+    want = {r.doc_id: r for r in langid.identify(docs, small).collect()}
+    monkeypatch.setattr(langid, "MODEL_ENTRIES", 10)
+    joined = langid.fit(docs)
+    assert isinstance(joined.models, langid.JoinedModels) and joined.limits == pytest.approx(small.limits, abs=0.041)
+    got = {r.doc_id: r for r in langid.identify(docs, joined, carry=["text", "doc_id"]).collect()}
+    assert got.keys() == want.keys()
+    for k, r in got.items():
+        assert r.lang_pred == want[k].lang_pred and r.carried.doc_id == k and r.text == r.carried.text
+        assert r.bits_per_char == pytest.approx(want[k].bits_per_char, rel=1e-4, nan_ok=True) and r.score == pytest.approx(want[k].score, abs=1e-2)
 
 
 def disguise(rng, word):
