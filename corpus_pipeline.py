@@ -1,15 +1,16 @@
 """The corpus pipeline: stages over `documents`, each written as Parquet and read again for the next.
 
 Null texts have no language and go in the first stage, as do documents without a doc_id, which no later
-table could name. Rows that repeat a doc_id stay until the near-duplicate stage keeps one of them. An empty
-table passes through every stage. Further columns travel along up to the last stage.
+table could name. Rows that repeat a doc_id stay until the near-duplicate stage, which keeps one of them for each
+group of near copies: of equal keys the one whose text has the least hash, of equal texts the one whose row has.
+An empty table passes through every stage. Further columns travel along up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echolot.llm import decontam, langid, near_copies, packing, templates
@@ -18,33 +19,44 @@ from echolot.llm.queries import WORD_BPE
 from echolot.runtime import materialize, table
 
 
+def _others(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c != "text"]
+
+
+def _restored(found: DataFrame, columns: list[str], changed: dict[str, Column]) -> DataFrame:
+    """The columns of documents again, from the struct in which an operator carried them."""
+    return found.select(*(changed.get(c, F.col("carried").getField(c)).alias(c) for c in columns))
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models accept; lang becomes the prediction."""
-    identifier = langid.fit(docs)
-    found = langid.identify(docs, identifier).where("NOT rejected").groupBy("doc_id").agg(F.min("lang_pred").alias("lang_pred"))
-    joined = docs.join(narrow_side(found, "accepted"), "doc_id")
-    return joined.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    found = langid.identify(docs, langid.fit(docs), carry=_others(docs)).where("NOT rejected AND doc_id IS NOT NULL")
+    return _restored(found, docs.columns, {"text": F.col("text"), "lang": F.col("lang_pred")})
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that recur across documents; n_chars follows the text."""
-    kept = templates.drop_recurring_lines(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars")))
-    return kept.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("bigint")).select(*docs.columns)
+    found = templates.drop_recurring_lines(docs, carry=_others(docs))
+    return _restored(found, docs.columns, {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")})
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near copies: five-word shingles, similarity of 0.8 or more."""
-    groups = near_copies.near_copies(docs)
-    first = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = docs.join(narrow_side(first, "firsts"), "doc_id")
-    once = kept.where("rows = 1").unionByName(kept.where("rows > 1").dropDuplicates(["doc_id"]))
-    return once.select(*docs.columns)
+    groups = materialize(near_copies.near_copies(docs), "near-copies")
+    gone = narrow_side(groups.where("NOT keeper").select(F.col("doc_id").alias("key"), F.col("text_id").alias("hash")).distinct(), "gone")
+    again = groups.where("keeper").groupBy(F.col("doc_id").alias("key"), F.col("text_id").alias("hash")).agg(F.count("*").alias("n")).where("n > 1").select("key", "hash")
+    again = narrow_side(again, "again")
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("key"), near_copies.text_id("text").alias("hash"))
+    kept = packed.join(gone, ["key", "hash"], "left_anti")
+    repeated = kept.join(again, ["key", "hash"], "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("key", "hash").orderBy(F.xxhash64("row"), F.to_json("row"))))
+    once = kept.join(again, ["key", "hash"], "left_anti").select("row").unionByName(repeated.where("place = 1").select("row"))
+    return once.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     hit = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id")
-    return docs.join(narrow_side(hit, "hit"), "doc_id", "left_anti")
+    return docs.join(narrow_side(hit, "hit"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
