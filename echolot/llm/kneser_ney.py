@@ -12,6 +12,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 
 #: Characters of an n-gram (at most 4), discount, number of codes, over which unseen characters share their mass.
 ORDER, DISCOUNT, ALPHABET = 4, 0.75, 1 << 16
@@ -205,3 +206,44 @@ class WordScores:
     def total(self, words: list[str]) -> np.ndarray:
         at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
         return self.table[at].sum(0, dtype=np.float64)
+
+
+@dataclass
+class HashedModel:
+    """One model whose tables have at most `BUCKETS` entries for each order, whatever the size of the corpus.
+
+    K-grams and contexts are hashed to buckets; those that share one share their counts. For each order: sorted
+    buckets of k-grams with counts, sorted buckets of contexts with their sums of counts and numbers of followers.
+    """
+
+    order: int
+    discount: float
+    grams: list[tuple[np.ndarray, np.ndarray]]
+    contexts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+    #: Entries of a table.
+    BUCKETS = 1 << 21
+
+    @staticmethod
+    def bucket(key: int) -> int:
+        """As Spark computes it: XXH64 of eight bytes with seed 42."""
+        value = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42)
+        return (value - (1 << 64) if value >> 63 else value) % HashedModel.BUCKETS
+
+    def probability(self, key: int) -> float:
+        """Probability of the last character of an n-gram of the highest order."""
+        p = 1.0 / ALPHABET
+        for k in range(1, self.order + 1):
+            gram = key & suffix_mask(k)
+            buckets, totals, followers = self.contexts[k - 1]
+            slot = self.bucket(gram >> _BITS)
+            at = int(np.searchsorted(buckets, slot))
+            if at == len(buckets) or buckets[at] != slot:
+                continue
+            total, mass = float(totals[at]), self.discount * float(followers[at])
+            buckets, counts = self.grams[k - 1]
+            slot = self.bucket(gram)
+            at = int(np.searchsorted(buckets, slot))
+            n = float(counts[at]) if at < len(buckets) and buckets[at] == slot else 0.0
+            p = (max(n - self.discount, 0.0) + mass * p) / total
+        return max(p, 1e-30)

@@ -1,18 +1,20 @@
 """Toxicity of texts whose words may be disguised: noisy-channel restoration, then a scorer on restored words.
 
-A suspicious token spans a lattice: each character may stand for itself or for the letter that it
-imitates, a run of one character may stand for one or two of it, separators between single letters may be
-noise, and a row of single-letter tokens may be one word. Viterbi decoding under a character language model
-of the whole corpus picks the reading. Any other token spans a lattice with one path and is read as it is.
+A suspicious token spans a lattice: each character may stand for itself or for a letter that it imitates, a run
+of one character for itself, for one or, from three on, for two of it, and separators between letters may be
+noise. A row of single characters spans a lattice in which every gap joins two letters or parts two words. Viterbi
+decoding under a character language model of the whole corpus picks the most likely reading; all states of the
+model are kept, so it is the best of all readings. Any other token has one reading, itself.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,109 +24,145 @@ from pyspark.sql import functions as F
 
 from echolot.llm.arrow import keyed_texts, map_arrow
 from echolot.llm.joins import narrow_side
-from echolot.llm.kneser_ney import CharacterModels, code_of, train
-from echolot.llm.langid import collect_tables, ngram_counts
+from echolot.llm.kneser_ney import DISCOUNT, ORDER, HashedModel, code_of
+from echolot.llm.langid import context_sums, lower_order, ngram_counts
+from echolot.runtime import materialize
 
 #: Letters that characters imitate.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-#: Signs that may imitate a letter at the edge of a token.
-EDGE_LETTERS = ("@", "$", "€", "£")
-#: log2 costs of the channel: an imitated letter, a run shortened, a separator or space dropped.
-SUBSTITUTE, SHORTEN, DROP = -2.0, -1.0, -1.0
-#: Readings that stay alive at each character.
-BEAM = 24
-#: Characters after which a long token's reading is settled.
-SPAN = 256
+#: Signs that may imitate a letter at either edge of a token, and those that may only at its beginning.
+EDGE_LETTERS, FIRST_LETTERS = ("@", "$", "€", "£"), ("!", "|")
+#: log2 costs of the channel: an imitated letter, a run shortened, a separator or a gap dropped, a gap wider than the least of its row dropped.
+SUBSTITUTE, SHORTEN, DROP, WIDE = -2.0, -1.0, -1.0, -2.0
+#: Runs after which a long token's reading is settled as far as all survivors agree.
+SETTLE = 256
 #: Hashed features, their prior weight, and labelled rows (at most) that fit the final regression.
 BUCKETS, PRIOR, SAMPLE_ROWS = 1 << 20, 20.0, 20_000
 #: Lengths of word beginnings that are features beside the whole word.
 PREFIXES = (4, 5, 6)
-#: Strongest pieces of evidence that the regression sees.
+#: Strongest pieces of evidence that the regression sees one by one; all others are summed.
 TOP = 4
+#: Documents that are read at a time.
+SLICE = 100
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…¡¿"
-_STUDDED = re.compile(r"(?:[^\W_][.\-_*·]){2,}[^\W_]")
+_STUDDED = re.compile(r"[^\W_]+(?:[.\-_*·]+[^\W_]+)+")
 _LETTER, _LEET = re.compile(r"[^\W\d_]"), re.compile(r"[0-9@$!|+(€£]")
-_RUN = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)[^\s](?: [^\s]){3,}(?!\S)")
+#: Three of a letter, or two pairs side by side: beyond ordinary spelling.
+_RUN = re.compile(r"([^\W\d_])\1\1|([^\W\d_])\2([^\W\d_])\3")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 
 
 class Restorer:
     """Viterbi decoder of tokens under a character model."""
 
-    def __init__(self, models: CharacterModels) -> None:
-        self.models = models
+    def __init__(self, model: HashedModel) -> None:
+        self.model = model
+        self.start = " " * (model.order - 1)
         self.step = lru_cache(maxsize=50_000)(self._step)
 
     def _step(self, context: str, character: str) -> float:
         key = 0
         for c in context + character:
             key = key << 16 | code_of(c)
-        return float(self.models.log_probabilities(np.array([key], np.uint64))[0, 0])
+        return float(np.log2(self.model.probability(key)))
 
-    def decode(self, token: str) -> tuple[str, float]:
-        """The best reading of a token and its log2 probability with the channel's costs.
+    def decode(self, token: str, gaps: list[float] | None = None) -> tuple[str, float]:
+        """The best reading of a token and its log2 probability with the channel's costs; of equal ones the first.
 
-        Readings are settled every SPAN characters, so a token of any length takes bounded memory.
+        `gaps` gives the cost of joining each two neighbours; a gap that isn't joined ends a word. States are
+        the model's contexts, each with its best path; as soon as all paths share a beginning it is settled, so
+        a long token takes memory for its open end only.
         """
-        context, whole, total = " " * (self.models.order - 1), "", 0.0
-        for low in range(0, len(token), SPAN):
-            last = low + SPAN >= len(token)
-            score, text, context = self._best(token[low : low + SPAN], context, low == 0, last)
-            whole, total = whole + text, total + score
-        return whole, total
-
-    def _best(self, token: str, start: str, first: bool, last: bool) -> tuple[float, str, str]:
-        """(score, reading, context behind it) of a stretch of a token."""
-        # place in the token -> {context: (score, reading)}; contexts are the model's states
-        alive: list[dict[str, tuple[float, str]]] = [{} for _ in range(len(token) + 1)]
-        alive[0][start] = (0.0, "")
-        for at in range(len(token)):
-            states = sorted(alive[at].items(), key=lambda s: -s[1][0])[:BEAM]
-            here = token[at]
-            run = 1
-            while at + run < len(token) and token[at + run] == here:
-                run += 1
-            readings = [(here, 0.0), *((c, SUBSTITUTE) for c in LOOKALIKES.get(here, ""))]
-            moves = [(c, cost, 1) for c, cost in readings]
-            if run > 2:
-                moves += [(c * k, cost + SHORTEN, run) for c, cost in readings for k in (1, 2)]
-            if not here.isalnum() and (at or not first) and (at < len(token) - 1 or not last):
-                moves.append(("", DROP, 1))
-            for context, (score, text) in states:
-                for letters, cost, width in moves:
+        alive: dict[str, tuple[float, list]] = {self.start: (0.0, [None, ""])}
+        whole, at, runs, last = [], 0, 0, len(token) - 1
+
+        def move(states: dict, options: list[tuple[str, float]]) -> dict:
+            after: dict[str, tuple[float, list]] = {}
+            for context, (score, path) in states.items():
+                for letters, cost in options:
                     total, state = score + cost, context
                     for letter in letters:
                         total += self.step(state, letter)
                         state = (state + letter)[1:]
-                    best = alive[at + width].get(state)
+                    best = after.get(state)
                     if best is None or total > best[0]:
-                        alive[at + width][state] = (total, text + letters)
-        return max((score + (self.step(context, " ") if last else 0.0), text, context) for context, (score, text) in alive[-1].items())
+                        after[state] = (total, [path, letters])
+            return after
+
+        def part(states: dict, cost: float) -> dict:
+            after = {context: (score + cost, path) for context, (score, path) in states.items()}
+            score, path = max(((score + self.step(context, " "), path) for context, (score, path) in states.items()), key=lambda x: x[0])
+            best = after.get(self.start)
+            if best is None or score > best[0]:
+                after[self.start] = (score, [path, " "])
+            return after
+
+        while at <= last:
+            here, run = token[at], 1
+            while at + run <= last and token[at + run] == here:
+                run += 1
+            readings = [(here, 0.0), *((c, SUBSTITUTE) for c in LOOKALIKES.get(here, ""))]
+            inner = [*readings, ("", DROP)] if not here.isalnum() else readings
+            states = alive
+            for k in range(at, at + run):
+                if gaps is not None and k:
+                    states = part(states, gaps[k - 1])
+                states = move(states, inner if 0 < k < last else readings)
+            if run > 1:
+                joins = sum(gaps[at : at + run - 1]) if gaps is not None else 0.0
+                before = part(alive, gaps[at - 1]) if gaps is not None and at else alive
+                shorter = move(before, [(c * k, cost + SHORTEN + joins) for c, cost in readings for k in ((1, 2) if run > 2 else (1,))])
+                for state, found in shorter.items():
+                    if state not in states or found[0] > states[state][0]:
+                        states[state] = found
+            alive, at, runs = states, at + run, runs + 1
+            if runs % SETTLE == 0:
+                self._settle([path for _, path in alive.values()], whole)
+        score, path = max(((score + self.step(context, " "), path) for context, (score, path) in alive.items()), key=lambda x: x[0])
+        tail = []
+        while path is not None:
+            tail.append(path[1])
+            path = path[0]
+        return "".join([*whole, *reversed(tail)]), score
+
+    @staticmethod
+    def _settle(paths: list[list], whole: list[str]) -> None:
+        """Move the beginning that all paths share to `whole`."""
+        trail, path = [], paths[0]
+        while path is not None:
+            trail.append(path)
+            path = path[0]
+        place = {id(node): k for k, node in enumerate(trail)}
+        common = 0
+        for path in paths[1:]:
+            while id(path) not in place:
+                path = path[0]
+            common = max(common, place[id(path)])
+        whole.extend(node[1] for node in reversed(trail[common:]))
+        trail[common][0], trail[common][1] = None, ""
 
     def restore_token(self, token: str) -> str:
         """A lower-case token without edge punctuation, decoded if anything about it is ambiguous."""
         core = token if token.isalpha() else token.strip(_EDGE)
-        if len(core) < 3 or core.isalpha() and core is token and not _RUN.search(core):
+        if len(core) < 3 or core is token and core.isalpha() and not _RUN.search(core):
             return core
         at = token.index(core)
         lead, tail = token[:at], token[at + len(core) :]
         # one sign at an edge may imitate a letter, a row of them is decoration
-        whole = (lead if lead in EDGE_LETTERS else "") + core + (tail if tail in EDGE_LETTERS else "")
-        if _LEET.search(whole) and _LETTER.search(core) or _RUN.search(core) or _STUDDED.fullmatch(core):
+        whole = (lead if lead in EDGE_LETTERS + FIRST_LETTERS else "") + core + (tail if tail in EDGE_LETTERS else "")
+        if _LEET.search(whole) and _LETTER.search(core) or _RUN.search(core) or _STUDDED.fullmatch(core) and _LETTER.search(core):
             return self.decode(whole)[0].strip(_EDGE)
         return core
 
-    def restore_spaced(self, text: str) -> list[str]:
-        """Words that rows of single-character tokens spell, where the model prefers the word to the row."""
-        words = []
-        for found in _SPACED.finditer(text):
-            letters = found.group().split(" ")
-            joined, score = self.decode("".join(letters))
-            apart = sum(self.decode(x)[1] for x in letters)
-            if score + DROP * (len(letters) - 1) > apart:
-                words.append(joined.strip(_EDGE))
-        return words
+    def restore_row(self, row: str) -> list[str]:
+        """The words of two letters or more that a row of single characters spells."""
+        if not _LETTER.search(row):
+            return []
+        widths = [len(x) for x in re.findall(r"\s+", row)]
+        gaps = [DROP if w == min(widths) else WIDE for w in widths]
+        words = (w.strip(_EDGE) for w in self.decode("".join(row.split()), gaps)[0].split(" "))
+        return [w for w in words if len(w) > 1]
 
 
 def _bucket(feature: str) -> int:
@@ -136,38 +174,36 @@ def word_features(word: str) -> list[int]:
     return [_bucket("w" + word), *(_bucket(f"p{word[:n]}") for n in PREFIXES if len(word) > n)]
 
 
-class WordReader:
-    """Restored words of texts and values of words, remembered for a bounded number of tokens."""
+class WordReader(dict):
+    """Values of restored words by token, remembered for a bounded number of tokens."""
 
-    def __init__(self, models: CharacterModels, evaluate, entries: int = 500_000) -> None:
-        self.restorer, self.evaluate, self.entries = Restorer(models), evaluate, entries
-        self.known: dict[str, object] = {}
+    def __init__(self, model: HashedModel, evaluate: Callable[[str], float], none: float, entries: int = 400_000) -> None:
+        super().__init__()
+        self.restorer, self.evaluate, self.none, self.entries = Restorer(model), evaluate, none, entries
 
-    def _value(self, token: str):
-        value = self.known.get(token)
-        if value is None and token not in self.known:
-            word = self.restorer.restore_token(token)
-            value = self.known[token] = self.evaluate(word) if word else None
+    def __missing__(self, token: str):
+        word = self.restorer.restore_token(token)
+        value = self[token] = self.evaluate(word) if word else self.none
         return value
 
-    def values(self, text: str | None) -> list:
-        """One value for each token with a word in it, at most TOP for the same token."""
-        if len(self.known) > self.entries:
-            self.known.clear()
-        lower = (text or "").lower()
-        known, found = self.known, []
-        for token, n in Counter(lower.split()).items():
-            value = known[token] if token in known else self._value(token)
-            if value:  # no word, or no evidence
-                found += [value] * min(n, TOP)
-        if _SPACED.search(lower):
-            found += [self.evaluate(w) for w in self.restorer.restore_spaced(lower) if w]
-        return found
+    def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(values, bounds): a value for each token, and for each word that a row of characters spells, text by text."""
+        if len(self) > self.entries:
+            self.clear()
+        found, sizes = [], []
+        for text in texts:
+            lower = (text or "").lower()
+            values = list(map(self.__getitem__, lower.split()))
+            for row in _SPACED.finditer(lower):
+                values += [self.evaluate(w) for w in self.restorer.restore_row(row.group())]
+            found.append(values)
+            sizes.append(len(values))
+        return np.fromiter(chain.from_iterable(found), np.float64, sum(sizes)), np.cumsum([0, *sizes])
 
 
 @dataclass
 class ToxicityModel:
-    characters: CharacterModels
+    characters: HashedModel
     weights: np.ndarray
     coefficients: np.ndarray
 
@@ -187,50 +223,99 @@ class ToxicityModel:
 
         return of
 
-    def summary(self, values: list[float]) -> np.ndarray:
-        """The strongest evidence, of as many words as the regression sees."""
-        top = sorted((v for v in values if v > 0), reverse=True)[:TOP]
-        return np.array(top + [0.0] * (TOP - len(top)))
-
     def score(self, summary: np.ndarray) -> float:
         z = self.coefficients[0] + float(summary @ self.coefficients[1:])
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def corpus_model(docs: DataFrame, text: str = "text") -> CharacterModels:
-    """One character model over all texts of the corpus."""
-    counts = ngram_counts(docs.select(F.lit("all").alias("lang"), F.col(text).alias("text")))
-    return train(collect_tables(counts) or {"all": (np.zeros(0, np.uint64), np.zeros(0, np.int64))})
+def summarise(values: np.ndarray) -> np.ndarray:
+    """What the regression sees of a text's evidence: the strongest pieces, the logarithm of the sum of all other
+    positive ones, and the mean of all pieces."""
+    positive = np.sort(values[values > 0])[::-1]
+    out = np.zeros(TOP + 2)
+    out[: len(positive[:TOP])] = positive[:TOP]
+    out[TOP] = np.log1p(positive[TOP:].sum())
+    out[TOP + 1] = values.mean() if len(values) else 0.0
+    return out
+
+
+_UNFIT = np.array([-30.0] + [0.0] * (TOP + 2))
+
+
+def corpus_model(docs: DataFrame, text: str = "text", order: int = ORDER, discount: float = DISCOUNT) -> HashedModel:
+    """One character model over all texts of the corpus. Counts of all n-grams are summed in tables; the driver gets
+    at most HashedModel.BUCKETS rows for each order's n-grams and contexts."""
+    counts = ngram_counts(docs.select(F.lit("all").alias("lang"), F.col(text).alias("text")), order=order)
+    bucket = lambda key: F.pmod(F.xxhash64(key), F.lit(HashedModel.BUCKETS)).cast("int")
+    tables, parts = materialize(counts, "ngrams"), []
+    for k in range(order, 0, -1):
+        tables = tables if k == order else materialize(lower_order(tables, k), f"grams{k}")
+        parts.append(tables.select(F.lit(k).alias("k"), F.lit(0).alias("kind"), bucket("key").alias("slot"), F.col("n").cast("double").alias("n"), F.lit(0.0).alias("m")))
+        parts.append(context_sums(tables).select(F.lit(k), F.lit(1), bucket("context"), F.col("total"), F.col("followers")))
+    rows = reduce(DataFrame.union, parts).groupBy("k", "kind", "slot").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).toArrow()
+    k, kind, slot, n, m = (rows[c].to_numpy() for c in ("k", "kind", "slot", "n", "m"))
+    by = np.lexsort((slot, kind, k))
+    k, kind, slot, n, m = (x[by] for x in (k, kind, slot, n, m))
+    own = lambda level, which: (k == level) & (kind == which)
+    grams = [(slot[own(j, 0)], n[own(j, 0)]) for j in range(1, order + 1)]
+    return HashedModel(order, discount, grams, [(slot[own(j, 1)], n[own(j, 1)], m[own(j, 1)]) for j in range(1, order + 1)])
 
 
-def _feature_counts(labelled: DataFrame, models: CharacterModels) -> np.ndarray:
-    """(2, BUCKETS) different texts with each feature, clean and toxic; the last row of counts is in totals."""
-    shared = labelled.sparkSession.sparkContext.broadcast(models)
+def _feature_counts(labelled: DataFrame, model: HashedModel) -> np.ndarray:
+    """(2, 2, BUCKETS + 1) different texts with each feature by half and label; the last column counts texts."""
+    shared = labelled.sparkSession.sparkContext.broadcast(model)  # of bounded size
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
-        reader = WordReader(shared.value, word_features, 120_000)
-        counts = np.zeros((2, BUCKETS + 1), np.int32)
+        words, width = array("i"), 1 + len(PREFIXES)
+
+        def number(word: str) -> int:
+            own = word_features(word)
+            words.extend(own + own[:1] * (width - len(own)))
+            return len(words) // width - 1
+
+        reader = WordReader(shared.value, number, -1, 120_000)
+        counts = np.zeros((4, BUCKETS + 1), np.int32)
         for batch in batches:
-            for label, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                buckets = np.unique(np.fromiter((b for v in reader.values(content) for b in v), np.int64))
-                counts[label, buckets] += 1
-                counts[label, BUCKETS] += 1
+            for low in range(0, batch.num_rows, SLICE):
+                part = batch.slice(low, SLICE)
+                if len(reader) > reader.entries:
+                    reader.clear()
+                    del words[:]
+                values, bounds = reader.read(part.column(2).to_pylist())
+                cell = part.column(0).to_numpy() * 2 + part.column(1).to_numpy()
+                place = np.repeat(np.arange(len(cell)), np.diff(bounds))
+                seen = np.unique(np.stack([place, values.astype(np.int64)])[:, values >= 0], axis=1) if len(values) else np.zeros((2, 0), np.int64)
+                features = np.frombuffer(words, np.int32).reshape(-1, width)[seen[1]]  # a copy, as `words` grows
+                keys = np.unique(np.repeat(seen[0], width) * BUCKETS + features.ravel())
+                np.add.at(counts, (cell[keys // BUCKETS], keys % BUCKETS), 1)
+                np.add.at(counts, (cell, BUCKETS), 1)
         at = np.flatnonzero(counts.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[0, at], pa.int64()), pa.array(counts[1, at], pa.int64())], schema=out)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(counts[k, at], pa.int64()) for k in range(4))], schema=out)
+
+    names = ["clean0", "toxic0", "clean1", "toxic1"]
+    rows = map_arrow(labelled.select("half", "label", "text"), run, "bucket int, " + ", ".join(f"{n} bigint" for n in names))
+    frame = rows.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).where("toxic0 + toxic1 > 0").toArrow()  # at most BUCKETS + 1 rows
+    counts = np.zeros((4, BUCKETS + 1))
+    for k, name in enumerate(names):
+        counts[k, frame["bucket"].to_numpy()] = frame[name].to_numpy()
+    return counts.reshape(2, 2, -1)
 
-    rows = map_arrow(labelled.select("label", "text"), run, "bucket int, clean bigint, toxic bigint")
-    summed = rows.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("toxic > 0")
-    frame = summed.toArrow()  # at most BUCKETS + 1 rows
-    counts = np.zeros((2, BUCKETS + 1))
-    at = frame["bucket"].to_numpy()
-    counts[0, at], counts[1, at] = frame["clean"].to_numpy(), frame["toxic"].to_numpy()
-    return counts
+
+def _weights(counts: np.ndarray) -> np.ndarray | None:
+    """Smoothed log odds of each feature from counts (label, feature); None without texts of both labels."""
+    clean, toxic = counts[:, -1]
+    if not clean or not toxic:
+        return None
+    prior = toxic / (clean + toxic)
+    odds = np.log((counts[1, :-1] + PRIOR * prior) / (counts[0, :-1] + PRIOR * (1 - prior))) - np.log(prior / (1 - prior))
+    return odds.astype(np.float32)
 
 
 def _first_of_equal(labelled: DataFrame) -> DataFrame:
-    """Equal texts teach once: a group of copies says nothing new about its words. Texts themselves stay in place."""
-    firsts = labelled.groupBy(F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.min("key").alias("key"))
-    return labelled.join(narrow_side(firsts.select("key"), "firsts"), "key", "left_semi")
+    """Equal texts teach once for each label that they bear. Texts themselves stay in place."""
+    hashed = labelled.withColumn("h", F.xxhash64("text")).withColumn("m", F.md5("text"))
+    firsts = hashed.groupBy("h", "m", "label").agg(F.min("key").alias("key")).select("key", "h", "label")
+    return hashed.join(narrow_side(firsts, "firsts"), ["key", "h", "label"], "left_semi").dropDuplicates(["key", "h", "label"]).drop("h", "m")
 
 
 def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -248,64 +333,78 @@ def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
     return beta
 
 
-def _summaries(docs: DataFrame, model: ToxicityModel, columns: list[str], schema: str, pick) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def _summaries(docs: DataFrame, models: list[ToxicityModel], schema: str, pick) -> DataFrame:
+    """Summaries of texts (the last column) under the model that the first column numbers, or the only one."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        reader = WordReader(own.characters, own.evidence())
+        readers = [WordReader(m.characters, m.evidence(), 0.0) for m in shared.value]
         for batch in batches:
-            yield pick(batch, [own.summary(reader.values(x)) for x in batch.column(1).to_pylist()], own, out)
+            for low in range(0, batch.num_rows, SLICE):
+                part = batch.slice(low, SLICE)
+                texts = part.column(part.num_columns - 1).to_pylist()
+                found: list[np.ndarray] = [np.zeros(TOP + 2)] * len(texts)
+                which = part.column(0).to_pylist() if len(readers) > 1 else [0] * len(texts)
+                for k, reader in enumerate(readers):
+                    own = [at for at, w in enumerate(which) if w == k]
+                    values, bounds = reader.read([texts[at] for at in own])
+                    for at, a, b in zip(own, bounds, bounds[1:]):
+                        found[at] = summarise(values[a:b])
+                yield pick(part, found, shared.value[0], out)
 
-    return map_arrow(docs.select(*columns), run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Train on labelled texts; `docs` is the whole corpus, for the character model.
 
-    Feature weights are smoothed log odds over all labelled rows (equal texts once; null labels, texts and
-    keys teach nothing). The regression on the strongest evidence is fitted on about `sample_rows`
-    rows, drawn at random with a fixed seed.
-    Without rows of both labels every text gets the score 0.
+    Feature weights are smoothed log odds over all labelled rows. Equal texts count once for each label that they
+    bear; null labels, texts and keys teach nothing. The regression on the evidence is fitted on about `sample_rows`
+    rows, drawn by a hash of their keys, each under weights from the other half of the rows, so that no row is
+    evidence for itself. Without rows of both labels every text gets the score 0.
     """
-    models = corpus_model(docs, text)
-    rows = labelled.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.col(text).alias("text")).where("label IN (0, 1) AND text IS NOT NULL")
-    counts = _feature_counts(_first_of_equal(rows), models)
-    clean, toxic = counts[0, -1], counts[1, -1]
-    if not clean or not toxic:
-        return ToxicityModel(models, np.zeros(BUCKETS), np.array([-30.0] + [0.0] * TOP))
-    prior = toxic / (clean + toxic)
-    weights = np.log((counts[1, :-1] + PRIOR * prior) / (counts[0, :-1] + PRIOR * (1 - prior))) - np.log(prior / (1 - prior))
-    model = ToxicityModel(models, weights, np.array([-30.0] + [0.0] * TOP))
-
-    def pick(batch: pa.RecordBatch, found: list[np.ndarray], own: ToxicityModel, out: pa.Schema) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(x) for x in found], pa.list_(pa.float64()))], schema=out)
-
-    sample = rows.sample(min(1.0, sample_rows / max(1, rows.count())), seed=0)
-    found = _summaries(sample, model, ["label", "text"], "label int, x array<double>", pick).toArrow()
-    if found.num_rows:
-        model.coefficients = _regression(np.array(found["x"].to_pylist()), found["label"].to_numpy().astype(float))
+    characters = corpus_model(docs, text)
+    half = F.pmod(F.xxhash64(F.col(key)), F.lit(2)).cast("int")
+    rows = labelled.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.col(text).alias("text"), half.alias("half")).where("label IN (0, 1) AND text IS NOT NULL AND key IS NOT NULL")
+    counts = _feature_counts(_first_of_equal(rows), characters)
+    weights = _weights(counts.sum(0))  # None without texts of both labels
+    if weights is None:
+        return ToxicityModel(characters, np.zeros(BUCKETS), _UNFIT)
+    halves = [_weights(counts[1 - k]) for k in (0, 1)]
+    models = [ToxicityModel(characters, weights if w is None else w, _UNFIT) for w in halves]
+
+    def pick(part: pa.RecordBatch, found: list[np.ndarray], own: ToxicityModel, out: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(1), pa.array([list(x) for x in found], pa.list_(pa.float64()))], schema=out)
+
+    share = min(1.0, sample_rows / max(1, rows.count()))
+    sample = rows.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    drawn = _summaries(sample.select("half", "label", "text"), models, "label int, x array<double>", pick).toArrow()
+    model = ToxicityModel(characters, weights, _UNFIT)
+    if drawn.num_rows:
+        x, y = np.array(drawn["x"].to_pylist()), drawn["label"].to_numpy().astype(float)
+        by = np.lexsort((*x.T, y))  # the sum of rows depends on their order in its last digits
+        model.coefficients = _regression(x[by], y[by])
     return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Toxicity of every whole text, after restoration. Null and empty texts have no evidence.
 
-    Rows are independent: repeated rows, null keys and further columns are fine; no rows give no rows.
+    Rows are independent: repeated rows, null keys, ties, long texts and further columns are fine; no rows give no rows.
     Returns doc_id, score (0 to 1), predicted (1 from 0.5 on).
     """
 
-    def pick(batch: pa.RecordBatch, found: list[np.ndarray], own: ToxicityModel, out: pa.Schema) -> pa.RecordBatch:
+    def pick(part: pa.RecordBatch, found: list[np.ndarray], own: ToxicityModel, out: pa.Schema) -> pa.RecordBatch:
         scores = [own.score(x) for x in found]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], schema=out)
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], schema=out)
 
     pairs = keyed_texts(docs, key, text)
     kind = pairs.schema["doc_id"].dataType.simpleString()
-    return _summaries(pairs, model, ["doc_id", "text"], f"doc_id {kind}, score double, predicted int", pick)
+    return _summaries(pairs, [model], f"doc_id {kind}, score double, predicted int", pick)
 
 
-def restored_text(text: str | None, models: CharacterModels) -> str:
+def restored_text(text: str | None, model: HashedModel) -> str:
     """A text with its disguised words restored, lower-case."""
-    restorer = Restorer(models)
-    lower = _SPACED.sub(lambda m: " ".join(restorer.restore_spaced(m.group())) or m.group(), (text or "").lower())
+    restorer = Restorer(model)
+    lower = _SPACED.sub(lambda m: " ".join(restorer.restore_row(m.group())) or m.group(), (text or "").lower())
     return " ".join(restorer.restore_token(t) for t in lower.split())

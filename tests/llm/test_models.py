@@ -131,6 +131,102 @@ def test_models_beyond_the_bound_judge_alike(spark, texts, monkeypatch):
         assert r.bits_per_char == pytest.approx(want[k].bits_per_char, rel=1e-4, nan_ok=True) and r.score == pytest.approx(want[k].score, abs=1e-2)
 
 
+def readings_by_enumeration(restorer, token, gaps=None):
+    """The best score over all paths of the lattice, and all readings that reach it."""
+    last, best = len(token) - 1, (-math.inf, set())
+
+    def finish(text, score):
+        nonlocal best
+        for word in text.split(" "):
+            context = restorer.start
+            for letter in word + " ":
+                score += restorer.step(context, letter)
+                context = (context + letter)[1:]
+        if score > best[0] + 1e-9:
+            best = (score, {text})
+        elif score > best[0] - 1e-9:
+            best[1].add(text)
+
+    def single(at, end, text, score, then):
+        if at == end:
+            return then(text, score)
+        options = [(token[at], 0.0)] + [(c, toxicity.SUBSTITUTE) for c in toxicity.LOOKALIKES.get(token[at], "")]
+        if not token[at].isalnum() and 0 < at < last:
+            options.append(("", toxicity.DROP))
+        for glue, price in [(" ", 0.0), ("", gaps[at - 1])] if gaps and at else [("", 0.0)]:
+            for letters, cost in options:
+                single(at + 1, end, text + glue + letters, score + price + cost, then)
+
+    def runs(at, text, score):
+        if at > last:
+            return finish(text, score)
+        end = at
+        while end <= last and token[end] == token[at]:
+            end += 1
+        single(at, end, text, score, lambda t, s: runs(end, t, s))
+        if end - at > 1:
+            inside = sum(gaps[at : end - 1]) if gaps else 0.0
+            for c, cost in [(token[at], 0.0)] + [(c, toxicity.SUBSTITUTE) for c in toxicity.LOOKALIKES.get(token[at], "")]:
+                for k in (1, 2) if end - at > 2 else (1,):
+                    for glue, price in [(" ", 0.0), ("", gaps[at - 1])] if gaps and at else [("", 0.0)]:
+                        runs(end, text + glue + c * k, score + price + inside + cost + toxicity.SHORTEN)
+
+    runs(0, "", 0.0)
+    return best
+
+
+def test_decoder_equals_enumeration(spark):
+    rng = random.Random(8)
+    words = INSULTS + ["letter", "kato", "rimun", "book", "élan", "日本"]
+    docs = spark.createDataFrame([(" ".join(rng.choice(words) for _ in range(20)),) for _ in range(50)], "text string")
+    restorer = toxicity.Restorer(toxicity.corpus_model(docs))
+    for n in range(1000):
+        token = "".join(rng.choice("idot1!0ol|3m.-ns@") * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randint(1, 4)))[:7]
+        gaps = [rng.choice([toxicity.DROP, toxicity.WIDE]) for _ in token[1:]] if n % 4 == 0 else None
+        got, score = restorer.decode(token, gaps)
+        want, texts = readings_by_enumeration(restorer, token, gaps)
+        assert score == pytest.approx(want, abs=1e-6) and got in texts, token
+
+
+def test_disguises(spark):
+    rng = random.Random(8)
+    words = INSULTS + ["letter", "kato", "rimun", "book", "well-known", "you", "are"]
+    docs = spark.createDataFrame([(" ".join(rng.choice(words) for _ in range(20)),) for _ in range(200)], "text string")
+    model = toxicity.corpus_model(docs)
+    restorer = toxicity.Restorer(model)
+    assert {restorer.restore_token("l" + "o" * n + "ser") for n in (3, 4, 254, 300, 600)} == {"loser"}
+    for token in ("iiddiioott", "id" + "i" * 280 + "ot", "1d10t", "i.d.i.o.t", "id.iot", "idi-ot", "!d!ot", "id|0t", "i__d__i__o__t"):
+        assert restorer.restore_token(token) == "idiot", token
+    assert [restorer.restore_token(w) for w in ("letter", "book", "well-known", "rimun", "42", "日日本")] == ["letter", "book", "well-known", "rimun", "42", "日日本"]
+    assert restorer.restore_token("1d10t" * 4000) == "idiot" * 4000
+    for text in ("x i d i o t x", "i  d  i  o  t", "i\td\ni o t"):
+        assert "idiot" in toxicity.restored_text(text, model), text
+    assert toxicity.restored_text("y o u  a r e  a  l o s e r", model).split()[-1].endswith("loser")
+    assert toxicity.restored_text("kato 1d10t r1 m.o.r.o.n", model) == "kato idiot r1 moron"
+
+
+def test_bounded_model_agrees_with_the_plain_one(spark, texts):
+    docs = spark.createDataFrame([(t,) for _, t, _ in texts[:100]] + [("日本 語",)], "text string")
+    model = toxicity.corpus_model(docs)
+    counts = Counter(w for _, t, _ in texts[:100] for w in t.lower().split()) + Counter(["日本", "語"])
+    plain = kneser_ney.train({"m": kneser_ney.count_keys(list(counts), np.array(list(counts.values())))})
+    keys, _ = kneser_ney.word_keys(["kato", "rimun", "thé", "日本", "zzz"])
+    want = plain.log_probabilities(keys)[:, 0]
+    got = [math.log2(model.probability(int(k))) for k in keys]
+    assert np.abs(np.array(got) - want).max() < 0.01
+    assert all(len(g[0]) <= kneser_ney.HashedModel.BUCKETS for g in model.grams)
+
+
+def test_toxicity_ties_and_labels(spark, toxic_rows):
+    rows = toxic_rows + [(7000 + k, toxic_rows[5][1], 1 - toxic_rows[5][2]) for k in range(3)]  # one text with both labels
+    docs = spark.createDataFrame([(i, t, y) for i, t, y in rows], "doc_id bigint, text string, label int")
+    first = toxicity.fit(docs, docs)
+    again = toxicity.fit(docs.repartition(7), docs.repartition(5))  # another layout, the same model
+    assert np.array_equal(first.weights, again.weights) and first.coefficients == pytest.approx(again.coefficients, rel=1e-9)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, first).collect()}
+    assert got[7000] == got[7001] == got[toxic_rows[5][0]]
+
+
 def disguise(rng, word):
     kind = rng.randrange(4)
     if kind == 0:
@@ -178,4 +274,3 @@ def test_toxicity_held_out_and_disguised(spark, toxic_rows):
     assert toxicity.score(docs.limit(0), model).count() == 0
     empty = toxicity.fit(docs, docs.where("label = 0"))
     assert {r.predicted for r in toxicity.score(docs, empty).collect()} == {0}
-    assert toxicity.restored_text("kato 1d10t r1 m.o.r.o.n", model.characters).split()[1] == "idiot"
