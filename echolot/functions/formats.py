@@ -15,6 +15,24 @@ CODECS = {"mp3": "MP3", "aac": "AAC", "alac": "Apple Lossless", "flac": "FLAC",
 LOSSLESS_CODECS = ("pcm_s16le", "pcm_s16be", "pcm_s24le", "pcm_s24be", "pcm_s32le", "pcm_s32be", "pcm_u8", "pcm_s8", "pcm_f32le", "pcm_f32be", "pcm_f64le", "pcm_f64be", "flac", "alac")
 
 
+def fixed_text(value: Column, places: int) -> Column:
+    """A number from 0 on with so many decimals, rounded from its exact binary value, ties to even.
+
+    format_string rounds the shortest decimal that stands for a double, so 1.15, which lies below its
+    decimal, would become 1.2. Here the product with the power of ten is kept exactly, as a double and its error.
+    """
+    power = float(10**places)
+    scaled = value * 134217729.0  # splits the value into two halves of few bits
+    high = scaled - (scaled - value)
+    product = value * power
+    error = (high * power - product) + (value - high) * power
+    low = F.floor(product)
+    over = (product - low - 0.5) + error
+    n = low + F.when((over > 0) | (over == 0) & (low % 2 == 1), 1).otherwise(0)
+    whole = F.floor(n / 10**places)
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad((n - whole * 10**places).cast("string"), places, "0"))
+
+
 def extension_of(path: str | Column) -> Column:
     """Last extension in lower case, '' without one; a leading dot starts no extension."""
     return F.lower(F.regexp_extract(display_name(path), r"^.+\.([^.]*)$", 1))
@@ -72,7 +90,7 @@ def is_lossless(codec_flag: Column, extension: Column) -> Column:
 
 def quality_summary(rate: Column, depth: Column, kbps: Column, lossless: Column) -> Column:
     """'44.1 kHz · 16-bit' for lossless files with known values, else 'N kbps', else a dash."""
-    khz = F.regexp_replace(F.format_string("%.4f", rate / 1000), r"\.?0+$", "")
+    khz = F.regexp_replace(fixed_text(rate / 1000, 4), r"\.?0+$", "")
     lossless_text = F.concat_ws(" · ", F.when(rate > 0, F.concat(khz, F.lit(" kHz"))), F.when(depth > 0, F.concat(depth.cast("string"), F.lit("-bit"))))
     return F.when(F.coalesce(lossless, F.lit(False)) & (lossless_text != ""), lossless_text).when(kbps.isNotNull(), F.concat(kbps.cast("string"), F.lit(" kbps"))).otherwise("—")
 
@@ -88,6 +106,7 @@ def content_duration(duration: Column, lead: Column, trail: Column, truncated: C
 
 
 def skip_reason(extension: Column, error: Column, duration: Column, minimum: float) -> Column:
+    # fixed output: the sentence of reports for formats that are compared by their bytes
     only_bytes = F.concat(F.lit("no "), format_label(extension), F.lit(" decoder available — only exact copies of this file can be found"))
     return (
         F.when(extension.isin(*BYTES_ONLY), only_bytes)
@@ -100,8 +119,8 @@ def format_bytes(size: Column) -> Column:
     """Powers of 1000 up to GB, one decimal from KB on."""
     out = F.when(size < 1000, F.concat(size.cast("string"), F.lit(" B")))
     for power, unit in ((1, "KB"), (2, "MB")):
-        out = out.when(size < 1000 ** (power + 1), F.format_string(f"%.1f {unit}", size / float(1000**power)))
-    return out.otherwise(F.format_string("%.1f GB", size / 1e9))
+        out = out.when(size < 1000 ** (power + 1), F.concat(fixed_text(size / float(1000**power), 1), F.lit(f" {unit}")))
+    return out.otherwise(F.concat(fixed_text(size / 1e9, 1), F.lit(" GB")))
 
 
 def format_duration(seconds: Column) -> Column:

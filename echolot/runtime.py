@@ -36,20 +36,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Without one, a session on a single machine uses its temporary folder; on a cluster that is an error, as
+    executors would not see each other's files.
+    """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = LOCAL_SCRATCH
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _new_path(spark: SparkSession, tag: str) -> str:
+    """A folder for one table, below one for this application."""
+    return f"{scratch_root(spark)}/echolot-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write to the shared folder and read back, which cuts the lineage.
 
-    The files outlive executors, so that a lost one costs a re-read and no recomputation.
+    The files outlive executors, so that a lost one costs a re-read and no recomputation. `clean_up` removes them.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/echolot-{tag}-{uuid.uuid4().hex}"
+    path = _new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean_up(spark: SparkSession) -> bool:
+    """Remove all tables that this application has stored; results that aren't read yet go with them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/echolot-{spark.sparkContext.applicationId}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
+import os
+import re
 from collections.abc import Callable
 from functools import reduce
 from itertools import islice
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from echolot.functions import formats
 from echolot.operators.order import with_order
 from echolot.options import ScanOptions
-from echolot.runtime import scratch_root
+from echolot.runtime import _new_path
 
 #: Paths that one read job is given.
 PATHS_AT_ONCE = 20_000
@@ -24,22 +27,36 @@ def plain_path(path: str | Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+def plain_root(root: str) -> str:
+    """A root as its files' paths begin; a local one without links and `..`."""
+    path = re.sub("^file:/+", "/", root)
+    return os.path.realpath(path) if path.startswith("/") else path.rstrip("/")
+
+
 def distinct_roots(roots: list[str]) -> list[str]:
-    return list(dict.fromkeys(r.rstrip("/") or "/" for r in roots))
+    return list(dict.fromkeys(plain_root(r) for r in roots))
+
+
+@F.pandas_udf(BooleanType())
+def _reached_without_links(paths: pd.Series) -> pd.Series:
+    return paths.map(lambda p: os.path.realpath(p) == p)
 
 
 def list_files(spark: SparkSession, root: str, options: ScanOptions) -> DataFrame:
     """(path, byte_size, modified) of the files below one root. The content isn't read.
 
     A file is hidden if any part of its path below the root starts with a dot; the root itself is never tested.
+    Links below a local root aren't followed, so every path is the file's own.
     """
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", str(options.include_subfolders).lower()).load(root)
+    root = plain_root(root)
+    local = root.startswith("/")
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", str(options.include_subfolders).lower()).load(f"file://{root}" if local else root)
     found = read.select(plain_path("path").alias("path"), F.col("length").alias("byte_size"), F.col("modificationTime").alias("modified"))
     found = found.where((F.col("byte_size") > 0) & formats.is_audio("path"))
     if options.skip_hidden:
-        below = F.expr(f"substring(path, {len(root.removeprefix('file:')) + 1})") if root.startswith(("/", "file:/")) else F.col("path")
+        below = F.when(F.startswith(F.col("path"), F.lit(root)), F.expr(f"substring(path, {len(root) + 1})")).otherwise(F.col("path"))
         found = found.where(~F.exists(F.split(below, "/"), lambda part: part.startswith(".")))
-    return found
+    return found.where(_reached_without_links("path")) if local else found
 
 
 def collect(spark: SparkSession, roots: list[str], options: ScanOptions | None = None) -> DataFrame:
@@ -59,7 +76,7 @@ def map_listed(spark: SparkSession, files: DataFrame, function: Callable[[DataFr
     Paths go to the reader PATHS_AT_ONCE at a time, so the driver never holds the whole list. Only what the
     function makes of the content is written, to one table in the shared folder.
     """
-    path = f"{scratch_root(spark)}/echolot-{tag}-{uuid.uuid4().hex}"
+    path = _new_path(spark, tag)
     empty = spark.createDataFrame([], "idx bigint, path string, content binary")
     listed = files.select("idx", "path").toLocalIterator()
     found = False

@@ -24,6 +24,21 @@ def test_durations(spark):
     assert [r[0] for r in times.select(formats.format_duration(F.col("s"))).collect()] == ["1:00", "1:01:01", "—"]
 
 
+def test_sizes_round_the_exact_binary_value(spark):
+    sizes = [0, 999, 1000, 1150, 1250, 1350, 1_150_000, 1_250_000, 2_650_000, 999_950, 1_250_000_000, 3_049_999, 7_350_000, 10**15]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n bigint").select("n", formats.format_bytes(F.col("n")).alias("t")).collect()
+
+    def text(n):
+        for power, unit in ((3, "GB"), (2, "MB"), (1, "KB")):
+            if n >= 1000**power:
+                return f"{n / 1000**power:.1f} {unit}"
+        return f"{n} B"
+
+    assert [r.t for r in rows] == [text(r.n) for r in rows] and text(1_150_000) == "1.1 MB" and text(1_250_000) == "1.2 MB"
+    some = spark.range(20_000).select("id", formats.fixed_text(F.col("id") / 1000, 1).alias("a"), formats.fixed_text(F.col("id") * 0.0137, 4).alias("b"))
+    assert all(r.a == f"{r.id / 1000:.1f}" and r.b == f"{r.id * 0.0137:.4f}" for r in some.collect())
+
+
 def test_upper_median(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0],), ([3.0, 1.0, 2.0],), ([],)], "x array<double>")
     assert [r[0] for r in df.select(arrays.upper_median(F.col("x"))).collect()] == [3.0, 2.0, 3.4028234663852886e38]
