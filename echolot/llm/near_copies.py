@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from echolot.llm import simhash
 from echolot.llm.arrow import keyed_texts, map_arrow
-from echolot.llm.joins import BROADCAST_ROWS, narrow_side
+from echolot.llm.joins import narrow_side
 from echolot.llm.words import hash_words, sliding
 from echolot.operators.graph import connected_components
 from echolot.runtime import materialize
@@ -127,24 +127,16 @@ def _prefixes(described: DataFrame) -> DataFrame:
     return map_arrow(described.where("n > 0").select("id", "n", "prefix"), run, "key bigint, id bigint, n int")
 
 
-def _sets(source: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(id, hashes) of the texts with these ids."""
+def _sets(source: DataFrame, firsts: DataFrame, shingle: int) -> DataFrame:
+    """(id, hashes) of the texts (id) in these documents (first); rows that repeat a document repeat its set."""
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for part in _slices(batches):
-            fresh = []
-            for x in part.column(0).to_pylist():
-                fresh.append(x not in seen)
-                seen.add(x)
-            if len(seen) > SEEN_TEXTS:
-                seen.clear()
-            some = pa.array(fresh)
-            found = [np.unique(x).tobytes() for x in _shingles(part.column(1).filter(some), shingle)]
-            yield pa.RecordBatch.from_arrays([part.column(0).filter(some), pa.array(found, pa.binary())], schema=out)
+            found = [np.unique(x).tobytes() for x in _shingles(part.column(1), shingle)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], schema=out)
 
-    wanted = source.join(ids, "id", "left_semi").select("id", "text")
-    return map_arrow(wanted, run, "id bigint, hashes binary").groupBy("id").agg(F.first("hashes").alias("hashes"))
+    wanted = source.alias("s").join(firsts.alias("f"), F.expr("s.id = f.id AND s.doc_id <=> f.first"), "left_semi").select("id", "text")
+    return map_arrow(wanted, run, "id bigint, hashes binary")
 
 
 def _may_be_similar(pairs: DataFrame, parity: DataFrame, similarity: float) -> DataFrame:
@@ -165,17 +157,17 @@ def _may_be_similar(pairs: DataFrame, parity: DataFrame, similarity: float) -> D
     return map_arrow(both.select("a", "b", "n", "m", "x", "y"), run, "a bigint, b bigint, n int, m int")
 
 
-def _similar(pairs: DataFrame, source: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of (a, b, n, m) whose whole sets reach the similarity."""
-    ids = narrow_side(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
-    sets = materialize(_sets(source, ids, shingle), "sets")
+def _similar(pairs: DataFrame, source: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of (a, b, n, m) whose whole sets reach the similarity; `texts` has the first document of each id."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = materialize(_sets(source, narrow_side(texts.join(ids, "id", "left_semi").select("id", "first"), "candidates"), shingle), "sets")
 
     def widened(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = [_parity(np.frombuffer(x, np.uint64), WIDE_BITS) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], schema=out)
 
-    wide = narrow_side(map_arrow(sets, widened, "id bigint, bits binary"), "wide", WIDE_ROWS)
+    wide = narrow_side(map_arrow(sets, widened, "id bigint, bits binary").dropDuplicates(["id"]), "wide", WIDE_ROWS)
     left = materialize(_may_be_similar(pairs, wide, similarity).select("a", "b"), "candidates")
     asked = narrow_side(left.select("a", "b", F.explode(F.array("a", "b")).alias("id")), "asked")
     side = lambda name: F.max(F.when(F.col("id") == F.col(name), F.col("hashes")))
@@ -264,16 +256,17 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     source = keyed_texts(docs, key, text).withColumn("id", text_id("text"))
     described = materialize(_described(source, shingle, similarity), "described")
     sketches = materialize(described.where("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits")), "sketches")
-    spread = _prefixes(described)
-    hubs = materialize(spread.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("far")).where("hub.id <> far").select("key", "hub"), "hubs")
-    shared = materialize(spread.join(F.broadcast(hubs) if hubs.count() <= BROADCAST_ROWS else hubs, "key").distinct(), "shared")
+    texts = materialize(described.groupBy("id").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")), "texts")
+    spread = _prefixes(described).repartition("key")  # dealt once for what follows
+    hubs = spread.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("far")).where("hub.id <> far").select("key", "hub")
+    shared = materialize(spread.join(hubs.hint("shuffle_hash"), "key").dropDuplicates(["key", "id"]).select("key", "id", "n", "hub"), "shared")
     asked = narrow_side(shared.select("id").distinct(), "shared-texts")
     parity = narrow_side(sketches.join(asked, "id", "left_semi").select("id", "bits"), "parity", PARITY_ROWS)
     over_hubs = shared.where("id <> hub.id").select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("n"), F.col("n").alias("m"))
     tried = materialize(_may_be_similar(over_hubs.distinct(), parity, similarity), "tried")
     proposed = _proposed(sketches.select("id", "n", "fp"), radius)
     first = materialize(tried.union(proposed).distinct(), "first")
-    links = materialize(_similar(first, source, shingle, similarity), "similar")
+    links = materialize(_similar(first, source, texts, shingle, similarity), "similar")
     component = connected_components(links)
 
     labelled = shared.select("key", "id", "n").join(component.withColumnRenamed("vertex", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -282,11 +275,10 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     apart = _apart(mixed.select("key", "n", "id", "component").join(parity, "id"), similarity)
     rest = materialize(apart.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "apart")
     if not rest.isEmpty():
-        more = materialize(_similar(rest, source, shingle, similarity), "similar")
+        more = materialize(_similar(rest, source, texts, shingle, similarity), "similar")
         if not more.isEmpty():
             component = connected_components(links.union(more))
 
-    texts = described.groupBy("id").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
     joined = texts.join(component, texts.id == component.vertex, "left").select("id", "first", F.when(F.col("n") == 0, F.lit(0).cast("bigint")).otherwise(F.coalesce("component", "id")).alias("component"))
     joined = materialize(joined, "copies")
     least = joined.groupBy("component").agg(F.min(F.struct(F.col("first").isNull().alias("unknown"), "first", "id")).alias("least"))

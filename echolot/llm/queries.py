@@ -78,8 +78,8 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_wavelet_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = wavelet.write_shards(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)
-    return wavelet.read_shards(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    folder = wavelet.write_shards(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2)
+    return wavelet.read_shards(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

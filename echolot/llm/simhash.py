@@ -1,21 +1,22 @@
 """SimHash fingerprints, their neighbours by sharded BK-trees, and near-duplicate groups.
 
-Two fingerprints at distance 3 or less agree on at least one of four 16-bit blocks, so a shard is one
-value of one block. A shard's fingerprints form a BK-tree: children hang on edges that carry their integer
-distance to the parent, and a search follows only edges whose number lies within the radius of the
-distance at hand. Trees meet their queries by a shuffle and not by a broadcast, as no bound on the number
-of different fingerprints is known; shards beyond a fixed size are cut, and each tree part meets every part.
+Two fingerprints at distance 3 or less agree on at least two of five blocks of 12 or 13 bits, so a shard is one
+value of one pair of blocks: 25 bits, which keeps shards small up to some 10**11 different fingerprints. A shard's
+fingerprints form a BK-tree: children hang on edges that carry their integer distance to the parent, and a search
+follows only edges whose number lies within the radius of the distance at hand. Trees meet their queries by a
+shuffle and not by a broadcast, as no bound on the number of different fingerprints is known; shards beyond a fixed
+size are cut, and each tree part meets every part.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echolot.llm.arrow import keyed_texts, map_arrow, utf8
@@ -24,6 +25,8 @@ from echolot.runtime import materialize
 
 #: Words of a shingle, seed of its hash, greatest distance of a link.
 SHINGLE, SEED, RADIUS = 3, 42, 3
+#: Blocks that two linked fingerprints have in common.
+COMMON = 2
 #: Fingerprints that one tree holds; larger shards are cut into parts of about this size.
 TREE_SIZE = 4096
 #: Shingles whose bits are counted at a time.
@@ -105,9 +108,6 @@ def spanning_links(tree_values: np.ndarray, query_values: np.ndarray | None, rad
     Without `query_values` the tree is searched for its own values.
     """
     own = query_values is None
-    if own and len(tree_values) == 2:
-        a, b = tree_values.tolist()
-        return [(a, b)] if (a ^ b).bit_count() <= radius else []
     tree = BKTree(tree_values)
     queries = tree_values if own else query_values
     shift = 0 if own else len(tree_values)
@@ -128,9 +128,18 @@ def _signed(x: int) -> int:
 
 def neighbour_links(distinct: DataFrame, radius: int = RADIUS, tree_size: int = TREE_SIZE) -> DataFrame:
     """Links (a, b) among different fingerprints that keep every connection at distance <= radius."""
-    blocks = radius + 1
-    width = 64 // blocks
-    keys = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", i * width).bitwiseAND((1 << width) - 1 if i < blocks - 1 else -1).alias("value")) for i in range(blocks)))
+    blocks = radius + COMMON
+    bounds = [64 * i // blocks for i in range(blocks + 1)]
+    widths = [high - low for low, high in zip(bounds, bounds[1:])]
+    parts_of = [F.shiftrightunsigned("fp", low).bitwiseAND((1 << width) - 1) for low, width in zip(bounds, widths)]
+
+    def joint(chosen: tuple[int, ...]) -> Column:
+        value = parts_of[chosen[0]]
+        for i in chosen[1:]:
+            value = F.shiftleft(value, widths[i]).bitwiseOR(parts_of[i])
+        return value
+
+    keys = F.array(*(F.struct(F.lit(k).alias("block"), joint(c).alias("value")) for k, c in enumerate(combinations(range(blocks), COMMON))))
     sharded = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.block", "k.value")
     sizes = sharded.groupBy("block", "value").agg(F.count("*").alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / tree_size).cast("int")

@@ -1,4 +1,5 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -92,32 +93,56 @@ def test_plan_reaches_the_bound_on_matching_lengths():
     assert sequences <= np.ceil((histogram * np.arange(101)).sum() / 100) + 2
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 70_000), max_size=300))
-def test_wavelet_round_trip(values):
-    a = np.array(values, np.uint32)
-    shard = wavelet.WaveletShard(wavelet.encode_shard(a, [5, None], [len(a), 0]))
-    assert shard.ids().tolist() == values and shard.doc_ids == [5, None]
-    for i in range(0, len(values), 7):
-        assert shard.access(i) == values[i]
-    for token in {*values[:5], 70_001}:
-        where = [i for i, v in enumerate(values) if v == token]
-        assert shard.count(token) == len(where)
-        assert [shard.locate(token, k) for k in range(len(where))] == where
-        assert shard.count(token, 3, 9) == sum(3 <= i < 9 for i in where)
-
-
-def test_shards(spark, docs):
-    shards = wavelet.write_shards(docs, BYTE, end_id=2, shard_tokens=1000)
-    assert shards.count() > 2
-    got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids) for r in wavelet.read_shards(shards).collect()), key=lambda r: r[0])
+@pytest.mark.parametrize("chunk", [1 << 18, 64])
+@settings(max_examples=40, deadline=None)
+@given(values=st.lists(st.integers(0, 70_000), max_size=300))
+def test_wavelet_round_trip(chunk, values):
+    a, kept = np.array(values, np.uint32), wavelet.CHUNK
+    wavelet.CHUNK = chunk
+    try:
+        shard = wavelet.WaveletShard(wavelet.encode_shard(a, [5, None], [len(a), 0], part=3, shard=9) + b"\n")
+        assert (shard.part, shard.shard, shard.n) == (3, 9, len(values))
+        assert shard.ids().tolist() == values and shard.doc_ids == [5, None] and shard.lengths.tolist() == [len(a), 0]
+        for i in range(0, len(values), 7):
+            assert shard.access(i) == values[i]
+        for token in {*values[:5], 70_001}:
+            where = [i for i, v in enumerate(values) if v == token]
+            assert shard.count(token) == len(where)
+            assert [shard.locate(token, k) for k in range(len(where))] == where
+            assert shard.count(token, 3, 9) == sum(3 <= i < 9 for i in where)
+    finally:
+        wavelet.CHUNK = kept
+
+
+def test_access_reads_few_bytes(monkeypatch):
+    monkeypatch.setattr(wavelet, "CHUNK", 1 << 12)
+    ids = np.random.default_rng(1).integers(0, 30_000, 200_000).astype(np.uint32)
+    image, asked = wavelet.encode_shard(ids, [1], [len(ids)]), []
+
+    def read(at, n):
+        asked.append(n)
+        return image[at : at + n]
+
+    shard = wavelet.WaveletShard(read)
+    opened = sum(asked)
+    assert shard.access(123_456) == ids[123_456]
+    assert shard.levels == 15 and sum(asked) - opened < 15 * 700 + len(np.unique(ids)) * 4 < len(image) / 3
+
+
+def test_shards(spark, docs, tmp_path):
+    folder = wavelet.write_shards(docs, BYTE, end_id=2, shard_tokens=1000)
+    files = sorted(Path(folder.removeprefix("file:")).glob("part-*"))
+    assert len(files) == wavelet.shard_files(spark, folder).count() > 2
+    opened = [wavelet.WaveletShard(f.read_bytes()) for f in files]  # each is a file of its own
+    assert sum(s.n for s in opened) == sum(r.n_tokens for r in wavelet.shard_files(spark, folder).collect())
+    got = sorted(((r.start, r.doc_id, r.n_tokens, r.ids) for r in wavelet.read_shards(spark, folder).collect()), key=lambda r: r[0])
     want, at = [], 0
     for r in sorted(docs.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0)):
         ids = np.array([*ids_of(BYTE, r.text), 2], "<u4")
         want.append((at, r.doc_id, len(ids), ids.tobytes()))
         at += len(ids)
     assert got == want
-    assert wavelet.read_shards(wavelet.write_shards(docs.limit(0), BYTE)).count() == 0
+    assert wavelet.read_shards(spark, wavelet.write_shards(docs.limit(0), BYTE)).count() == 0
 
 
 def test_crc16_is_bitwise():
