@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from echolot.functions import arrays
 from echolot.operators.graph import connected_components
 from echolot.options import MatchOptions
+from echolot.runtime import materialize
 
 
 def usable(fps: DataFrame, options: MatchOptions) -> DataFrame:
@@ -51,6 +52,11 @@ def votes(entries: DataFrame) -> DataFrame:
     return left.join(right, "key").where("a < b").groupBy("a", "b", (F.col("pa") - F.col("pb")).cast("bigint").alias("off")).agg(F.count("*").alias("n"))
 
 
+def voted(fps: DataFrame, options: MatchOptions) -> DataFrame:
+    """Votes of fingerprints. The entries are stored once, as both sides of the join read them."""
+    return votes(materialize(index_entries(postings(fps, options), options), "entries"))
+
+
 def best_offsets(voted: DataFrame, options: MatchOptions) -> DataFrame:
     """The offset with most votes for each pair, the smallest on ties."""
     top = voted.groupBy("a", "b").agg(F.max(F.struct("n", (-F.col("off")).alias("neg"))).alias("m"))
@@ -107,7 +113,7 @@ def shape_edges(fps: DataFrame, options: MatchOptions) -> DataFrame:
 def match_edges(fps: DataFrame, options: MatchOptions) -> DataFrame:
     """All links with the better of their two scores."""
     good = usable(fps, options)
-    pairs = best_offsets(votes(index_entries(postings(good, options), options)), options)
+    pairs = best_offsets(voted(good, options), options)
     found = temporal_edges(aligned(pairs, good, options), options).unionByName(shape_edges(fps, options))
     return found.groupBy("a", "b").agg(F.max("score").alias("score"))
 

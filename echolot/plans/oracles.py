@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from echolot.functions import formats
-
 _EXACT = """
 s AS (SELECT doc_id AS idx, n_chars AS byte_size, sha256(text) AS content_hash FROM documents),
 c AS (SELECT s.* FROM s WHERE byte_size IN (SELECT byte_size FROM s GROUP BY 1 HAVING count(*) > 1)),
@@ -129,17 +127,105 @@ def _keep(order: str) -> str:
     return f"WITH {_GROUP_ROWS} SELECT rep, idx FROM (SELECT rep, idx, row_number() OVER (PARTITION BY rep ORDER BY {order}) AS rn FROM r) WHERE rn = 1"
 
 
-def _quoted(values: tuple[str, ...]) -> str:
-    return ", ".join(f"'{v}'" for v in values)
+#: What the formats are, written out here and not taken from the engine.
+_FORMAT_FACTS = """
+WITH p AS (SELECT path, lower(regexp_extract(path, '[.]([^./]*)$', 1)) AS e FROM (SELECT unnest([
+  '/music/song.wav', '/music/song.wave', '/music/song.aif', '/music/song.aiff', '/music/song.aifc', '/music/song.mp3', '/music/song.m4a', '/music/song.m4b', '/music/song.m4r',
+  '/music/song.aac', '/music/song.adts', '/music/song.caf', '/music/song.flac', '/music/song.alac', '/music/song.ogg', '/music/song.oga', '/music/song.opus', '/music/song.wma',
+  '/music/song.wv', '/music/song.ape', '/music/song.mka', '/music/song.ra', '/music/song.au', '/music/song.snd', '/music/song.amr', '/music/song.ac3', '/music/song.sd2',
+  '/music/song.txt', '/music/song', '/music/song.MP3']) AS path)),
+b AS (SELECT *, e IN ('opus', 'wma', 'wv', 'ape', 'mka', 'ra', 'au', 'snd', 'amr', 'ac3', 'sd2') AS bytes_only FROM p)
+SELECT path, e AS extension, bytes_only OR e IN ('wav', 'wave', 'aif', 'aiff', 'aifc', 'mp3', 'm4a', 'm4b', 'm4r', 'aac', 'adts', 'caf', 'flac', 'alac', 'ogg', 'oga') AS is_audio, bytes_only,
+  CASE WHEN e IN ('flac', 'alac', 'wv', 'ape', 'wav', 'wave', 'aif', 'aiff', 'aifc') THEN true WHEN e IN ('mp3', 'aac', 'adts', 'opus', 'wma', 'ra', 'amr', 'ac3', 'ogg', 'oga') THEN false END AS lossless,
+  CASE e WHEN 'opus' THEN 'Opus' WHEN 'wma' THEN 'Windows Media Audio' WHEN 'wv' THEN 'WavPack' WHEN 'ape' THEN 'Monkey''s Audio' WHEN 'mka' THEN 'Matroska Audio' WHEN 'ra' THEN 'RealAudio'
+    WHEN 'ac3' THEN 'AC-3' WHEN 'amr' THEN 'AMR' WHEN 'sd2' THEN 'Sound Designer II' ELSE upper(e) END AS label
+FROM b
+"""
+
+_CODEC_FACTS = """
+WITH c AS (SELECT unnest(['pcm_s16le', 'pcm_u8', 'pcm_f32be', 'flac', 'alac', 'mp3', 'aac', 'vorbis', 'pcm_alaw', 'pcm_mulaw', 'opus', 'wmav2']) AS codec),
+e AS (SELECT * FROM (VALUES ('wav', 16), ('m4a', 0), ('ogg', NULL), ('opus', 24)) v(ext, depth)),
+f AS (SELECT *, codec IN ('pcm_s16le', 'pcm_u8', 'pcm_f32be', 'flac', 'alac') AS lossless_codec FROM c, e)
+SELECT codec, ext, depth,
+  CASE codec WHEN 'mp3' THEN 'MP3' WHEN 'aac' THEN 'AAC' WHEN 'alac' THEN 'Apple Lossless' WHEN 'flac' THEN 'FLAC' WHEN 'vorbis' THEN 'Ogg Vorbis' WHEN 'pcm_alaw' THEN 'A-law' WHEN 'pcm_mulaw' THEN 'µ-law'
+    ELSE upper(ext) || CASE WHEN lossless_codec THEN ' (PCM)' ELSE '' END END AS name,
+  lossless_codec, CASE WHEN codec NOT IN ('flac', 'alac') AND depth > 0 THEN depth END AS meaningful,
+  CASE WHEN depth IS NOT NULL THEN lossless_codec WHEN ext = 'ogg' THEN false END AS lossless,
+  CASE WHEN ext = 'opus' THEN 'no Opus decoder available — only exact copies of this file can be found' WHEN depth = 24 THEN 'broken' WHEN depth / 10.0 < 2.0 THEN 'shorter than 2s' END AS reason
+FROM f
+"""
+
+_SOUND = "d AS (SELECT doc_id AS idx, octet_length(encode(text)) AS n, hex(encode(text)) AS h FROM documents)"
+
+_RECORDINGS = """
+li AS (SELECT l_orderkey // 2000 AS rec, (l_extendedprice - 53000) / 52000 * CASE WHEN l_orderkey % 2000 < 50 THEN 0.001 ELSE 1.0 END AS v,
+       row_number() OVER (PARTITION BY l_orderkey // 2000 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i FROM lineitem)
+"""
+
+_PRINTS = f"""
+WITH {_RECORDINGS},
+pk AS (SELECT rec, max(abs(v)) AS peak, count(*) AS samples FROM li GROUP BY 1),
+rg AS (SELECT li.rec, min(i) AS s, max(i) + 1 AS e FROM li JOIN pk ON pk.rec = li.rec WHERE abs(v) >= 0.005 * peak GROUP BY 1),
+fc AS (SELECT *, CASE WHEN e - s >= 4608 THEN (e - s - 4096) // 512 + 1 ELSE 0 END AS frames FROM rg),
+fs AS (SELECT rec, s, unnest(range(frames)) AS f FROM fc),
+fr AS (SELECT li.rec, f, i - s - f * 512 AS j, v * sqrt(2 / 3) * 2 * pow(sin(pi() * (i - s - f * 512) / 4096), 2) AS v FROM li JOIN fs ON fs.rec = li.rec AND i - s BETWEEN f * 512 AND f * 512 + 4095),
+ed AS (SELECT m, CAST(floor(300 * pow(10, m / 33) * 4096 / 11025 + 0.5) AS BIGINT) AS low, CAST(floor(300 * pow(10, (m + 1) / 33) * 4096 / 11025 + 0.5) AS BIGINT) AS high FROM range(33) t(m)),
+bn AS (SELECT m, unnest(range(low, high)) AS k FROM ed),
+sp AS (SELECT rec, f, m, k, sum(v * cos(2 * pi() * (k * j % 4096) / 4096)) AS re, sum(v * sin(2 * pi() * (k * j % 4096) / 4096)) AS im FROM fr, bn GROUP BY ALL),
+en AS (SELECT rec, f, m, log10(sum(re * re + im * im) + 1e-9) AS l FROM sp GROUP BY ALL),
+st AS (SELECT a.rec, a.f, a.m, a.l - b.l AS step FROM en a JOIN en b ON a.rec = b.rec AND a.f = b.f AND b.m = a.m + 1),
+bt AS (SELECT a.rec, a.f, sum(CASE WHEN a.step - b.step > 0 THEN CAST(1 AS BIGINT) << a.m ELSE 0 END) AS value FROM st a JOIN st b ON a.rec = b.rec AND a.m = b.m AND b.f = a.f - 1 GROUP BY ALL),
+bx AS (SELECT rec, bit_xor(CAST(value AS BIGINT)) AS value_xor FROM bt GROUP BY 1),
+ch AS (SELECT a.rec, a.f, sum(abs(a.l - b.l)) / 33 AS change FROM en a JOIN en b ON a.rec = b.rec AND a.m = b.m AND b.f = a.f - 1 GROUP BY ALL),
+fx AS (SELECT rec, list_sort(list(change))[count(*) // 2 + 1] AS flux FROM ch GROUP BY 1),
+mn AS (SELECT rec, m, avg(l) AS mean FROM en GROUP BY ALL),
+sh AS (SELECT rec, string_agg(CAST(CAST(floor((greatest(-8.0, mean - top) + 8) / 8 * 255 + 0.5) AS INT) AS VARCHAR), ',' ORDER BY m) AS shape FROM (SELECT *, max(mean) OVER (PARTITION BY rec) AS top FROM mn) GROUP BY 1)
+SELECT pk.rec, samples, s AS start, e AS "end", frames, coalesce(shape, '') AS shape, coalesce(round(flux, 3), 1e9) AS flux, coalesce(value_xor, 0) AS value_xor
+FROM pk JOIN fc ON fc.rec = pk.rec LEFT JOIN sh ON sh.rec = pk.rec LEFT JOIN fx ON fx.rec = pk.rec LEFT JOIN bx ON bx.rec = pk.rec
+"""
+
+_RESAMPLED = f"""
+WITH {_RECORDINGS},
+mo AS (SELECT rec, i // 2 AS i, avg(v) AS v FROM li GROUP BY ALL HAVING count(*) = 2),
+ln AS (SELECT rec, count(*) AS frames, CAST(floor(count(*) * (11025 / 44100)) AS BIGINT) AS n FROM mo GROUP BY 1),
+ou AS (SELECT rec, unnest(range(n)) AS o FROM ln),
+tp AS (SELECT rec, o, o * 4 + k AS i, CAST(k AS DOUBLE) AS t FROM ou, range(-127, 129) r(k)),
+kr AS (SELECT rec, o, i, 0.2375 * CASE WHEN t = 0 THEN 1 ELSE sin(pi() * 0.2375 * t) / (pi() * 0.2375 * t) END
+       * (0.35875 - 0.48829 * cos(pi() * (t / 128 + 1)) + 0.14128 * cos(2 * pi() * (t / 128 + 1)) - 0.01168 * cos(3 * pi() * (t / 128 + 1))) AS w FROM tp),
+re AS (SELECT kr.rec, kr.o, sum(w * v) AS y FROM kr JOIN mo ON mo.rec = kr.rec AND mo.i = kr.i GROUP BY ALL)
+SELECT ln.rec, frames, n AS samples, round(sum(y), 2) AS total, round(sum(abs(y)), 2) AS magnitude FROM ln JOIN re ON re.rec = ln.rec GROUP BY ALL
+"""
+
+_ALIGNMENTS = f"""
+WITH {_EXACT}, {_FRAMES},
+pr AS (SELECT rep, m AS idx, a.n AS na, b.n - 37 AS nb FROM (SELECT rep, unnest(members) AS m FROM x) JOIN un a ON a.idx = rep JOIN un b ON b.idx = m WHERE m <> rep),
+er AS (SELECT rep, pr.idx, p.pos - (q.pos - 37) AS off, count(*) AS overlap, sum(bit_count(xor(p.v, q.v))) AS errors
+       FROM pr JOIN fr p ON p.idx = rep JOIN fr q ON q.idx = pr.idx AND q.pos >= 37 AND p.pos - (q.pos - 37) BETWEEN -600 AND 600 GROUP BY ALL HAVING count(*) >= 64),
+bs AS (SELECT *, row_number() OVER (PARTITION BY rep, idx ORDER BY errors / (32 * overlap), off) AS rn FROM er)
+SELECT pr.rep, pr.idx, errors / (32 * overlap) AS ber, off, overlap FROM pr LEFT JOIN bs ON bs.rep = pr.rep AND bs.idx = pr.idx AND rn = 1
+"""
+
+_NEAR = "abs(p.sec - q.sec) <= greatest(0.5, greatest(p.sec, q.sec) * 0.1)"
+
+_SCORES = f"""
+WITH {_FRAMES}, {_ALL}, {_INDEX},
+it AS (SELECT doc_id AS idx, n_chars / 50.0 AS sec, doc_id % 2 = 0 AS still, list_transform(range(1, 33), lambda i: (instr('0123456789abcdef', substr(md5(text), i, 1)) - 1) * 17) AS shape FROM documents),
+us2 AS (SELECT it.* FROM it JOIN un ON un.idx = it.idx),
+tm AS (SELECT a, b, 1 - ber / 0.5 AS score FROM ae JOIN us2 p ON p.idx = a JOIN us2 q ON q.idx = b
+       WHERE overlap >= least(na, nb) * 0.25 AND overlap * (512 / 11025) >= 3.0 AND ber <= 0.30 AND (NOT (p.still AND q.still) OR {_NEAR})),
+sp AS (SELECT p.idx AS a, q.idx AS b, list_transform(range(1, 33), lambda m: greatest(p.shape[m], q.shape[m]) / 255) AS wt, list_transform(range(1, 33), lambda m: abs(p.shape[m] - q.shape[m])) AS df
+       FROM us2 p JOIN us2 q ON p.idx < q.idx WHERE p.still AND q.still AND {_NEAR}),
+sd AS (SELECT a, b, list_sum(list_transform(range(1, 33), lambda m: wt[m] * df[m])) / list_sum(wt) / 255 AS distance FROM sp)
+SELECT a, b, round(max(greatest(0.0, least(1.0, score))), 9) AS score FROM (SELECT * FROM tm UNION ALL SELECT a, b, 1 - distance / 0.6 FROM sd WHERE distance <= 0.4) GROUP BY 1, 2
+"""
 
 
-def _format_facts() -> str:
-    names = [*formats.DECODED, *formats.BYTES_ONLY, "txt", "", "MP3"]
-    paths = ", ".join(f"('/music/song{'.' if n else ''}{n}')" for n in names)
-    labels = " ".join("WHEN '{}' THEN '{}'".format(k, v.replace("'", "''")) for k, v in formats.LABELS.items())
-    return f"""WITH p AS (SELECT path, lower(regexp_extract(path, '[.]([^./]*)$', 1)) AS e FROM (VALUES {paths}) v(path))
-        SELECT path, e AS extension, e IN ({_quoted(formats.DECODED + formats.BYTES_ONLY)}) AS is_audio, e IN ({_quoted(formats.BYTES_ONLY)}) AS bytes_only,
-        CASE WHEN e IN ({_quoted(formats.LOSSLESS)}) THEN true WHEN e IN ({_quoted(formats.LOSSY)}) THEN false END AS lossless, CASE e {labels} ELSE upper(e) END AS label FROM p"""
+def _report() -> str:
+    orders = {"largest": "byte_size DESC, idx DESC", "smallest": "byte_size, idx", "oldest": "modified, idx", "newest": "modified DESC, idx DESC", "shallowest": "len(list_filter(string_split(path, '/'), lambda z: z <> '')), length(path), path"}
+    firsts = ", ".join(f"first(name ORDER BY {order}) AS {rule}" for rule, order in orders.items())
+    return f"""WITH {_GROUP_ROWS}, {_BEST}, nm AS (SELECT *, string_split(path, '/')[-1] AS name FROM r),
+        g AS (SELECT rep, 'exact' AS kind, array_to_string(list_sort(list(name)), '|') AS paths, CAST(sum(byte_size) - max(byte_size) AS BIGINT) AS reclaimable, {firsts} FROM nm GROUP BY 1)
+        SELECT kind, paths, reclaimable, name AS best_quality, {", ".join(f"g.{rule}" for rule in orders)}, row_number() OVER (ORDER BY kind, paths) - 1 AS place FROM g JOIN kp ON kp.rep = g.rep JOIN nm ON nm.idx = kp.idx"""
 
 
 _TEMPORAL = f"WITH {_FRAMES}, {_ALL}, {_INDEX}"
@@ -172,9 +258,21 @@ ORACLES: dict[str, str] = {
         ds AS (SELECT a, b, CASE WHEN list_sum(wt) = 0 THEN 0.0 ELSE list_sum(list_transform(range(1, 34), lambda m: wt[m] * df[m])) / list_sum(wt) / 255 END AS distance FROM pr)
         SELECT a, b, round(greatest(0.0, least(1.0, 1 - distance / 0.6)), 9) AS score FROM ds WHERE distance <= 0.4""",
     "silence_trim": f"""WITH {_SIGNALS}, pk AS (SELECT user_id, x, len(x) AS n, list_max(list_transform(x, lambda v: abs(v))) AS peak FROM x),
-        ab AS (SELECT *, list_filter(range(0, n), lambda i: abs(x[i + 1]) >= peak * 0.9) AS above FROM pk)
+        ab AS (SELECT *, list_filter(range(0, n), lambda i: abs(x[i + 1]) >= peak * 0.005) AS above FROM pk)
         SELECT user_id, n, CASE WHEN peak <= 1e-5 THEN 0 ELSE above[1] END AS start, CASE WHEN peak <= 1e-5 THEN n ELSE above[-1] + 1 END AS "end" FROM ab""",
-    "hop_frames": f"WITH {_SIGNALS}, fr AS (SELECT user_id, x, unnest(range(0, (len(x) - 16) // 4 + 1)) AS frame FROM x WHERE len(x) >= 20) SELECT user_id, frame, list_max(x[frame * 4 + 1 : frame * 4 + 16]) AS peak, list_min(x[frame * 4 + 1 : frame * 4 + 16]) AS low FROM fr",
+    "recording_prints": _PRINTS,
+    "resampled": _RESAMPLED,
+    "fixed_tables": """SELECT 'edge' AS kind, m AS place, floor(300 * pow(10, m / 33) * 4096 / 11025 + 0.5) AS value FROM range(34) t(m)
+        UNION ALL SELECT 'window', i // 256, round(sum(pow(sqrt(2 / 3) * 2 * pow(sin(pi() * i / 4096), 2), 2)), 2) FROM range(4096) t(i) GROUP BY 2""",
+    "best_alignments": _ALIGNMENTS,
+    "probe_files": f"WITH {_SOUND} SELECT idx, 'pcm_u8' AS codec, CAST(8000 AS DOUBLE) AS rate, 1 AS channels, 8 AS bit_depth, n AS frames, CAST(NULL AS VARCHAR) AS error FROM d",
+    "analysed_files": f"""WITH {_SOUND}, k AS (SELECT *, n >= 800 AS fine FROM d)
+        SELECT idx, CASE WHEN fine THEN n / 8000.0 END AS duration, CASE WHEN fine THEN least(n, 4000) / 8000.0 < n / 8000.0 - 0.05 END AS truncated, CASE WHEN fine THEN CAST(8000 AS DOUBLE) END AS sample_rate, CASE WHEN fine THEN 8 END AS bit_depth,
+        CASE WHEN fine THEN 1 END AS channel_count, CASE WHEN fine THEN 'pcm_u8' END AS codec, CASE WHEN fine THEN true END AS codec_is_lossless, CASE WHEN n = 0 THEN 'the file holds no audio' WHEN NOT fine THEN 'shorter than 0.1s' END AS error FROM k""",
+    "pcm_dump": f"""WITH {_SOUND} SELECT idx, CASE WHEN n > 0 THEN least(n, 800) END AS n, CASE WHEN n > 0 THEN list_sum(list_transform(range(0, least(n, 800)), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS INT) - 128)) / 128 END AS total,
+        CASE WHEN n = 0 THEN 'the file holds no audio' END AS error FROM d""",
+    "match_scores": _SCORES,
+    "report_rows": _report(),
     "keep_best_quality": f"WITH {_GROUP_ROWS}, {_BEST} SELECT rep, idx FROM kp",
     "keep_largest": _keep("byte_size DESC, idx DESC"),
     "keep_smallest": _keep("byte_size, idx"),
@@ -195,5 +293,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS duration,
         CASE WHEN doc_id % 3 = 0 THEN 'Identical' WHEN doc_id % 2 = 0 THEN 'Same recording' ELSE CAST(CAST(round((doc_id % 101) / 100 * 100) AS INT) AS VARCHAR) || '% match' END AS badge FROM d""",
 }
-ORACLES["format_facts"] = _format_facts()
+ORACLES |= {"format_facts": _FORMAT_FACTS, "codec_facts": _CODEC_FACTS}
+ORACLES["content_seconds"] = """WITH c AS (SELECT l_returnflag, greatest(0.0, l_quantity - l_discount * 100 - CASE WHEN l_returnflag = 'R' THEN 0.0 ELSE l_tax * 100 END) AS s FROM lineitem)
+    SELECT l_returnflag, count(*) AS n, round(sum(s), 3) AS seconds, CAST(sum(CASE WHEN s = 0 THEN 1 ELSE 0 END) AS BIGINT) AS empty FROM c GROUP BY 1"""
 ORACLES |= {f"edges_{level}": f"{_TEMPORAL}, {_edges(level)} SELECT a, b, round(score, 9) AS score FROM ed" for level in _LEVELS}

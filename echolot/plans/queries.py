@@ -6,20 +6,25 @@ of characters is the file size), embeddings for band energies and event values f
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import partial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from echolot.functions import arrays, formats
+from echolot.functions import arrays, formats, signal
 from echolot.operators import exact, groups, keep, matcher
 from echolot.operators.graph import connected_components
-from echolot.options import KeepRule, Level, MatchOptions
+from echolot.operators.order import with_order
+from echolot.options import KeepRule, Level, MatchOptions, ScanOptions
+from echolot.plans.scan import ScanResult
 from echolot.runtime import materialize, table
+from echolot.sources import audio, reports
 
-#: Frames of a hopping window over event values.
-HOP_SIZE, HOP_STEP = 16, 4
+#: Orders whose lines make a recording, and those at its beginning that are quiet; frames that a copy lacks.
+RECORDING, QUIET, SHIFT = 2000, 50, 37
 #: Embeddings are short recordings, all taken as stationary.
 SHAPES = MatchOptions.for_level(Level.VERY_RELAXED, min_frames=1, stationary_flux=1e9)
 
@@ -47,11 +52,11 @@ def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matcher.postings(_usable(spark, sf_dir), MatchOptions())
+    return matcher.postings(materialize(_usable(spark, sf_dir), "fps"), MatchOptions())
 
 
 def _best(fps: DataFrame, options: MatchOptions) -> DataFrame:
-    return matcher.best_offsets(matcher.votes(matcher.index_entries(matcher.postings(fps, options), options)), options)
+    return matcher.best_offsets(matcher.voted(fps, options), options)
 
 
 # exact pass
@@ -108,12 +113,12 @@ def bucket_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vote_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    voted = matcher.votes(matcher.index_entries(_entries(spark, sf_dir), MatchOptions()))
+    voted = matcher.voted(materialize(_usable(spark, sf_dir), "fps"), MatchOptions())
     return voted.groupBy("a", "b").agg(F.sum("n").alias("votes"), F.count("*").alias("offsets"), F.max("n").alias("most"))
 
 
 def best_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _best(_usable(spark, sf_dir), MatchOptions())
+    return _best(materialize(_usable(spark, sf_dir), "fps"), MatchOptions())
 
 
 def aligned_ber(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,9 +177,11 @@ def summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of the strictest and the most relaxed level, by the first file of each group."""
-    a = edges(spark, sf_dir, Level.PERFECT).groupBy("a").agg(F.count("*").alias("n"))
-    b = edges(spark, sf_dir, Level.VERY_RELAXED).groupBy("a").agg(F.count("*").alias("n"))
+    """Reports of the strictest and the most relaxed level, by the first file of each group; one alignment serves both."""
+    fps = materialize(_usable(spark, sf_dir), "fps")
+    checked = matcher.aligned(_best(fps, MatchOptions()), fps, MatchOptions())
+    checked = materialize(checked.drop("values_a", "values_b"), "aligned")
+    a, b = (matcher.temporal_edges(checked, MatchOptions.for_level(x)).groupBy("a").agg(F.count("*").alias("n")) for x in (Level.PERFECT, Level.VERY_RELAXED))
     return groups.compare_reports(a, b, "a", "n")
 
 
@@ -227,25 +234,106 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("user_id", F.col("s.value").alias("x"))
 
 
+def _with_kernel(df: DataFrame, kernel: Callable, schema: str) -> DataFrame:
+    """A kernel of the front end over each row's key and samples (x)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0].strip("`") for c in schema.split(", ")]
+        for batch in batches:
+            yield pd.DataFrame([r for key, x in zip(batch.iloc[:, 0], batch["x"], strict=True) for r in kernel(key, np.asarray(x))], columns=names)
+
+    return df.mapInPandas(run, schema)
+
+
 def silence_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half-open range between silences, for signals that are quiet below 0.9 of their peak."""
-    loud = F.transform("x", lambda v: F.abs(v))
-    signals = _signals(spark, sf_dir).select("user_id", F.size("x").alias("n"), loud.alias("x")).withColumn("peak", F.array_max("x"))
-    above = F.filter(F.transform("x", lambda v, i: F.when(v >= F.col("peak") * 0.9, i)), lambda i: i.isNotNull())
-    found = signals.withColumn("above", above)
-    silent = F.col("peak") <= 1e-5
-    start = F.when(silent, 0).otherwise(F.element_at("above", 1))
-    end = F.when(silent, F.col("n")).otherwise(F.element_at("above", -1) + 1)
-    return found.select("user_id", F.col("n").cast("bigint").alias("n"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"))
-
-
-def hop_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping frames of each signal with their peaks; signals of fewer than two frames have none."""
-    signals = _signals(spark, sf_dir).where(F.size("x") >= HOP_SIZE + HOP_STEP)
-    starts = F.sequence(F.lit(0), F.floor((F.size("x") - HOP_SIZE) / HOP_STEP).cast("int"))
-    framed = signals.select("user_id", "x", F.explode(starts).alias("frame"))
-    part = F.slice("x", F.col("frame") * HOP_STEP + 1, HOP_SIZE)
-    return framed.select("user_id", F.col("frame").cast("bigint").alias("frame"), F.array_max(part).alias("peak"), F.array_min(part).alias("low"))
+    """Half-open range between the silences of each signal."""
+    return _with_kernel(_signals(spark, sf_dir), lambda key, x: [(key, len(x), *signal.content_range(x))], "user_id bigint, n bigint, start bigint, `end` bigint")
+
+
+def _recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of RECORDING orders each as samples in -1..1; the first QUIET orders are all but silent."""
+    order = F.col("l_orderkey")
+    loud = (F.col("l_extendedprice") - 53000) / 52000 * F.when(order % RECORDING < QUIET, 0.001).otherwise(1.0)
+    lines = table(spark, sf_dir, "lineitem").select(F.floor(order / RECORDING).alias("rec"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", loud.alias("v")).alias("s"))
+    return lines.groupBy("rec").agg(F.array_sort(F.collect_list("s")).alias("s")).select("rec", F.col("s.v").alias("x"))  # lines of so many orders
+
+
+def recording_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silence, frames, spectral shape, change and bits of each recording, by the front end that scans use."""
+
+    def kernel(key: int, x: np.ndarray) -> list[tuple]:
+        found, _, _ = signal.analyze(x)
+        start, end = signal.content_range(x)
+        value = int(np.bitwise_xor.reduce(found.values)) if len(found.values) else 0
+        return [(key, len(x), start, end, signal.frame_count(end - start), ",".join(map(str, found.shape)), round(min(found.flux, 1e9), 3), value)]
+
+    return _with_kernel(_recordings(spark, sf_dir), kernel, "rec bigint, samples bigint, start bigint, `end` bigint, frames bigint, shape string, flux double, value_xor bigint")
+
+
+def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums over recordings taken as stereo at 44.1 kHz, mixed down and brought to the fingerprint's rate."""
+
+    def kernel(key: int, x: np.ndarray) -> list[tuple]:
+        mono = signal.downmix(x[: len(x) // 2 * 2].reshape(-1, 2).astype(np.float32))
+        out = signal.resample(mono, 44100, signal.RATE).astype(float)
+        return [(key, len(mono), len(out), round(out.sum(), 2), round(np.abs(out).sum(), 2))]
+
+    return _with_kernel(_recordings(spark, sf_dir), kernel, "rec bigint, frames bigint, samples bigint, total double, magnitude double")
+
+
+def fixed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the bands, and the energy of the window by blocks of 256 samples."""
+    edges, window = signal.band_edges(), signal.window().astype(float)
+    rows = [("edge", i, float(e)) for i, e in enumerate(edges)] + [("window", i, round(float((w**2).sum()), 2)) for i, w in enumerate(window.reshape(-1, 256))]
+    return spark.createDataFrame(rows, "kind string, place bigint, value double")
+
+
+def best_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best offset over all, between the first of equal documents and each other one without its first SHIFT frames."""
+    fps = _usable(spark, sf_dir).select("idx", "values")
+    pairs = exact_groups(spark, sf_dir).where("rep <> idx")
+    both = pairs.join(fps.select(F.col("idx").alias("rep"), F.col("values").alias("x")), "rep").join(fps, "idx")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [signal.best_alignment(np.asarray(x), np.asarray(y)[SHIFT:]) or (None, None, None) for x, y in zip(batch["x"], batch["values"], strict=True)]
+            yield pd.DataFrame([(a, b, *f) for a, b, f in zip(batch["rep"], batch["idx"], found, strict=True)], columns=["rep", "idx", "ber", "off", "overlap"])
+
+    return both.select("rep", "idx", "x", "values").mapInPandas(run, "rep bigint, idx bigint, ber double, off bigint, overlap bigint")
+
+
+def _sound_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as WAV files of 8-bit samples at 8 kHz; a data size beyond the end reads to the end."""
+    header = "52494646FFFFFFFF57415645666D742010000000" + "01000100401F0000401F000001000800" + "64617461FFFFFFFF"
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("idx"), F.concat(F.lit("/x/"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("path"), F.concat(F.unhex(F.lit(header)), F.encode("text", "UTF-8")).alias("content"))
+
+
+def probe_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.probe(_sound_files(spark, sf_dir))
+
+
+def analysed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duration, cut and skip reason of files, of which at most half a second is read and a tenth asked for."""
+    found = audio.analyze_content(_sound_files(spark, sf_dir), 0.1, 0.5)
+    return found.select("idx", "duration", "truncated", "sample_rate", "bit_depth", "channel_count", "codec", "codec_is_lossless", "error")
+
+
+def pcm_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of at most a tenth of a second at the files' own rate."""
+    found = audio.decode(_sound_files(spark, sf_dir), 8000.0, 0.1)
+    total = F.aggregate(F.transform("samples", lambda x: x.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
+    return found.select("idx", F.when(F.col("samples").isNotNull(), F.size("samples")).alias("n"), F.when(F.col("samples").isNotNull(), total).alias("total"), "error")
+
+
+def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of both kinds with the better score, where every other document counts as stationary."""
+    digit = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: (F.instr(F.lit("0123456789abcdef"), F.substr("h", i, F.lit(1))) * 17 - 17).cast("smallint"))
+    hashes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("idx"), F.md5("text").alias("h"), (F.col("n_chars") / 50.0).alias("seconds"))
+    made = fingerprints(spark, sf_dir).select("idx", "values").join(hashes, "idx")
+    flux = F.when(F.col("idx") % 2 == 0, 0.05).otherwise(1.0)
+    fps = materialize(made.select("idx", "values", digit.alias("shape"), flux.alias("flux"), F.col("seconds").alias("duration")), "fps")
+    return matcher.match_edges(fps, MatchOptions.for_level(Level.VERY_RELAXED)).select("a", "b", F.round("score", 9).alias("score"))
 
 
 # keep rules
@@ -289,6 +377,17 @@ def marked_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep.marks(_group_rows(spark, sf_dir), KeepRule.LARGEST).agg(F.count("*").alias("marked"), F.sum("byte_size").alias("bytes"))
 
 
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report over groups of copies, numbered in its order."""
+    rows = _group_rows(spark, sf_dir)
+    files = materialize(rows.drop("rep").withColumn("codec_is_lossless", F.col("lossless")).drop("lossless"), "files")
+    membership = materialize(rows.select(F.lit("exact").alias("kind"), "rep", "idx", F.lit(1.0).alias("confidence")), "groups")
+    made = reports.report_groups(ScanResult(files, groups.ranked(membership, files), membership, spark.createDataFrame([], "name string, reason string"), ScanOptions()))
+    joined = F.array_join("paths", "|")
+    flat = made.select("kind", joined.alias("paths"), F.col("reclaimableBytes").alias("reclaimable"), *(F.col("keepers")[r.value].alias(r.value.replace("-", "_")) for r in KeepRule))
+    return with_order(flat, [F.col("kind"), F.col("paths")], "place")
+
+
 def groups_after_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _group_rows(spark, sf_dir)
     made = rows.select(F.lit("exact").alias("kind"), "rep", "idx", F.lit(1.0).alias("confidence"))
@@ -323,6 +422,23 @@ def format_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", formats.format_bytes(F.col("n_chars") * 1000).alias("bytes"), formats.format_duration(F.col("n_chars") * 1.0).alias("duration"), formats.badge(kind, (F.col("doc_id") % 101) / 100, level).alias("badge"))
 
 
+CODEC_ROWS = [(c, e, d) for c in ("pcm_s16le", "pcm_u8", "pcm_f32be", "flac", "alac", "mp3", "aac", "vorbis", "pcm_alaw", "pcm_mulaw", "opus", "wmav2") for e, d in (("wav", 16), ("m4a", 0), ("ogg", None), ("opus", 24))]
+
+
+def codec_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What codecs, with and without a known flag, say about name, loss and depth, and why files are skipped."""
+    made = spark.createDataFrame(CODEC_ROWS, "codec string, ext string, depth int")
+    codec, ext, error = F.col("codec"), F.col("ext"), F.when(F.col("depth") == 24, F.lit("broken"))
+    flag = F.when(F.col("depth").isNotNull(), formats.is_lossless_codec(codec))
+    return made.select("codec", "ext", "depth", formats.codec_name(codec, ext).alias("name"), formats.is_lossless_codec(codec).alias("lossless_codec"), formats.meaningful_bit_depth(codec, F.col("depth")).alias("meaningful"), formats.is_lossless(flag, ext).alias("lossless"), formats.skip_reason(ext, error, F.col("depth") / 10.0, 2.0).alias("reason"))
+
+
+def content_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    found = formats.content_duration(F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100, F.col("l_returnflag") == "R")
+    return lines.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum(found), 3).alias("seconds"), F.sum((found == 0).cast("bigint")).alias("empty"))
+
+
 def format_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What extensions say, over all known ones and a few others."""
     names = [*formats.DECODED, *formats.BYTES_ONLY, "txt", "", "MP3"]
@@ -336,7 +452,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         size_candidates, exact_groups, exact_reclaimable, representatives, attribute_fill, frame_values, key_postings, bucket_filter, vote_counts, best_offset, aligned_ber,
         components, group_confidence, absorption, groups_ranked, summary_counts, report_diff, band_bits, flux_median, stationary_flag, shape_template, shape_pairs,
-        silence_trim, hop_frames, mark_plan, marked_totals, groups_after_removal, url_parts, bitrate, quality_summary, format_texts, format_facts,
+        silence_trim, recording_prints, resampled, fixed_tables, best_alignments, probe_files, analysed_files, pcm_dump, match_scores, mark_plan, report_rows, marked_totals, groups_after_removal, url_parts, bitrate, quality_summary, format_texts, format_facts, codec_facts, content_seconds,
     )
 }
 QUERIES |= {f"edges_{level.value.replace('-', '_')}": partial(edges, level=level) for level in Level}

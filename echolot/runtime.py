@@ -50,7 +50,7 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def _new_path(spark: SparkSession, tag: str) -> str:
+def new_path(spark: SparkSession, tag: str) -> str:
     """A folder for one table, below one for this application."""
     return f"{scratch_root(spark)}/echolot-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
@@ -61,7 +61,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     The files outlive executors, so that a lost one costs a re-read and no recomputation. `clean_up` removes them.
     """
     spark = df.sparkSession
-    path = _new_path(spark, tag)
+    path = new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

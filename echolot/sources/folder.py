@@ -16,7 +16,7 @@ from pyspark.sql.types import BooleanType
 from echolot.functions import formats
 from echolot.operators.order import with_order
 from echolot.options import ScanOptions
-from echolot.runtime import _new_path
+from echolot.runtime import new_path
 
 #: Paths that one read job is given.
 PATHS_AT_ONCE = 20_000
@@ -76,7 +76,7 @@ def map_listed(spark: SparkSession, files: DataFrame, function: Callable[[DataFr
     Paths go to the reader PATHS_AT_ONCE at a time, so the driver never holds the whole list. Only what the
     function makes of the content is written, to one table in the shared folder.
     """
-    path = _new_path(spark, tag)
+    path = new_path(spark, tag)
     empty = spark.createDataFrame([], "idx bigint, path string, content binary")
     listed = files.select("idx", "path").toLocalIterator()
     found = False
