@@ -1,4 +1,4 @@
-"""Decoding of recordings inside Arrow batches: PCM containers here, other codecs by registered decoders."""
+"""Decoding of recordings inside Arrow batches: PCM containers and FLAC here, other codecs by registered decoders."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from echolot.functions import signal
+from echolot.sources import flac
 from echolot.sources.folder import map_listed
 
 
@@ -148,13 +149,37 @@ def read_caf(data: bytes) -> Pcm:
     raise DecodeError("no audio data in the CAF file")
 
 
-#: Decoders by extension. Codecs without a library here (MP3, AAC, FLAC, Vorbis ...) can be registered.
-DECODERS: dict[str, Callable[[bytes], Pcm]] = {"wav": read_wav, "wave": read_wav, "aif": read_aiff, "aiff": read_aiff, "aifc": read_aiff, "caf": read_caf}
+def read_flac(data: bytes) -> Pcm:
+    """Native FLAC streams."""
+    try:
+        samples, rate, depth = flac.decode(data)
+    except flac.FlacError as e:
+        raise DecodeError(str(e)) from e
+    return Pcm((samples / float(1 << (depth - 1))).astype(np.float32), float(rate), depth, "flac")
 
 
-def register_decoder(extension: str, decoder: Callable[[bytes], Pcm]) -> None:
-    """Decode files of an extension with a function from bytes to Pcm; it travels to the executors with each job."""
-    DECODERS[extension.lower()] = decoder
+def without_priming(pcm: Pcm, frames: int) -> Pcm:
+    """A decoder's output without the frames that its encoder put before the sound.
+
+    AAC encoders put 1024 there; a decoder that is registered for AAC and doesn't drop them itself should.
+    """
+    return Pcm(pcm.frames[frames:], pcm.rate, pcm.bit_depth, pcm.codec)
+
+
+#: Decoders by extension. Codecs without a library here (MP3, AAC, Vorbis ...) can be registered.
+DECODERS: dict[str, Callable[[bytes], Pcm]] = {"flac": read_flac, "wav": read_wav, "wave": read_wav, "aif": read_aiff, "aiff": read_aiff, "aifc": read_aiff, "caf": read_caf}
+
+
+#: Frames before the sound that AAC encoders make (fixed value).
+AAC_PRIMING = 1024
+
+
+def register_decoder(extension: str, decoder: Callable[[bytes], Pcm], priming: int = 0) -> None:
+    """Decode files of an extension with a function from bytes to Pcm; it travels to the executors with each job.
+
+    The first `priming` frames are dropped (AAC_PRIMING for AAC decoders that leave them in).
+    """
+    DECODERS[extension.lower()] = (lambda data: without_priming(decoder(data), priming)) if priming else decoder
 
 
 def extension_of(path: str) -> str:
