@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from echolot.llm.joins import is_small
 from echolot.runtime import materialize
 
 #: Words of a window, words of a shingle.
 WINDOW, SHINGLE = 10, 3
-#: Rows up to which a table made of the benchmark is broadcast (about 60 MB); beyond that it is shuffled.
+#: Rows up to which a table made of the benchmark is broadcast, if its bytes allow it; beyond that it is shuffled.
 BROADCAST_ROWS = 200_000
 #: What lies between lower-case words, which are runs of letters, digits and whatever lies beyond ASCII.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -54,7 +55,7 @@ def _positions(docs: DataFrame, size: int, sentinel: bool) -> DataFrame:
 
 
 def _broadcastable(df: DataFrame) -> tuple[DataFrame, bool]:
-    small = df.count() <= BROADCAST_ROWS
+    small = is_small(df, BROADCAST_ROWS)
     return (F.broadcast(df) if small else df), small
 
 
@@ -63,8 +64,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     Null texts, documents or items, have no words and no hits. Repeated items count by their id, repeated
     windows once. Rows that repeat a key with the same text are one document; with different texts their
-    hits are joined and the larger word count stands. Null keys form one document of their own. Further
-    columns are ignored; without documents the result is empty, without items nothing is hit.
+    hits are joined and the larger word count stands. Null keys form one document of their own. Long texts are
+    read whole. Further columns are ignored; without documents the result is empty, without items nothing is hit.
 
     Returns doc_id, n_words, n_hit (words inside some occurrence), n_items, items (sorted ids as one
     string), spans (occurrences as start and length, by start).

@@ -28,6 +28,8 @@ _BITRATES = {
     (2, 2): [8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160],
 }
 _RATES = {1: [44100, 48000, 32000], 2: [22050, 24000, 16000], 2.5: [11025, 12000, 8000]}
+#: Bits of an allocation by subband in Layer II: high rates, 44.1 and 32 kHz from 96 kbit/s a channel, low rates, low rates at 32 kHz, low sampling rates.
+_ALLOCATION = {"a": [4] * 11 + [3] * 12 + [2] * 4, "b": [4] * 11 + [3] * 12 + [2] * 7, "c": [4] * 2 + [3] * 6, "d": [4] * 2 + [3] * 10, "low": [4] * 4 + [3] * 7 + [2] * 19}
 _ID3V1, _PAYLOAD_OWNER = 128, b"echolot.payload\0"
 
 
@@ -39,7 +41,27 @@ class Header:
     bitrate: int
     rate: int
     padding: int
-    mono: bool
+    mode: int
+    extension: int
+
+    @property
+    def mono(self) -> bool:
+        return self.mode == 3
+
+    @property
+    def bound(self) -> int:
+        """Subband from which both channels share their allocation (Layers I and II)."""
+        return 4 * (self.extension + 1) if self.mode == 1 else 32
+
+    @property
+    def allocation(self) -> list[int]:
+        """Bits of an allocation by subband (Layer II)."""
+        each = self.bitrate // (1000 if self.mono else 2000)
+        if self.version != 1:
+            return _ALLOCATION["low"]
+        if each >= 56 and (self.rate == 48000 or each <= 80):
+            return _ALLOCATION["a"]
+        return _ALLOCATION["b" if each >= 96 else "d" if self.rate == 32000 else "c"]
 
     @property
     def samples(self) -> int:
@@ -70,21 +92,42 @@ def parse_header(four: bytes) -> Header | None:
     if version is None or layer == 4 or index in (0, 15) or rate == 3 or four[3] & 3 == 2:
         return None
     rates = _BITRATES[(1, layer) if version == 1 else (2, min(layer, 2))]
-    return Header(version, layer, not four[1] & 1, rates[index - 1] * 1000, _RATES[version][rate], four[2] >> 1 & 1, four[3] >> 6 == 3)
+    return Header(version, layer, not four[1] & 1, rates[index - 1] * 1000, _RATES[version][rate], four[2] >> 1 & 1, four[3] >> 6, four[3] >> 4 & 3)
 
 
 @lru_cache(maxsize=4096)
-def crc16(data: bytes) -> int:
-    """The checksum of frames: polynomial 0x8005, start 0xFFFF, most significant bit first."""
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """The checksum of frames over the first bits of some bytes, or all: polynomial 0x8005, start 0xFFFF, most significant bit first."""
     value = 0xFFFF
-    for byte in data:
+    bits = 8 * len(data) if bits is None else bits
+    for byte in data[: bits // 8]:
         value ^= byte << 8
         for _ in range(8):
             value = value << 1 ^ 0x8005 if value & 0x8000 else value << 1
         value &= 0xFFFF
+    for k in range(bits % 8):
+        top = value >> 15 ^ data[bits // 8] >> (7 - k) & 1
+        value = (value << 1 ^ (0x8005 if top else 0)) & 0xFFFF
     return value
 
 
+def protected_bits(body: bytes, head: Header) -> int:
+    """Bits behind the checksum that it covers besides the header's last two bytes: side information in Layer III,
+    allocations in Layer I, allocations and scale factor selections (two bits for each that isn't zero) in Layer II."""
+    if head.layer == 3:
+        return 8 * head.side
+    channels = 1 if head.mono else 2
+    if head.layer == 1:
+        return 4 * (head.bound * channels + 32 - head.bound)
+    number, size, at, chosen = int.from_bytes(body, "big"), 8 * len(body), 0, 0
+    for band, width in enumerate(head.allocation):
+        for _ in range(channels if band < head.bound else 1):
+            at += width
+            if at <= size and number >> (size - at) & ((1 << width) - 1):
+                chosen += channels if band >= head.bound else 1
+    return min(size, at + 2 * chosen)
+
+
 def _syncsafe(n: int) -> bytes:
     return bytes(n >> shift & 0x7F for shift in (21, 14, 7, 0))
 
@@ -107,11 +150,14 @@ class Stream:
     tags: dict[str, bytes] = field(default_factory=dict)
     table: dict[str, object] = field(default_factory=dict)
 
+    @property
+    def duration(self) -> int:
+        """Exact duration in samples: the coded ones without encoder delay and padding, if a table states them."""
+        return max(0, self.samples - int(self.table.get("delay", 0)) - int(self.table.get("padding", 0)))
+
     @property
     def seconds(self) -> float:
-        """Exact duration: coded samples without encoder delay and padding, if a table states them."""
-        trimmed = self.samples - int(self.table.get("delay", 0)) - int(self.table.get("padding", 0))
-        return max(0, trimmed) / self.rate if self.rate else 0.0
+        return self.duration / self.rate if self.rate else 0.0
 
 
 def _id3v2(data: bytes, at: int, tags: dict[str, bytes]) -> int:
@@ -191,10 +237,11 @@ def parse_stream(data: bytes) -> Stream:
             after = at + head.size
             following = parse_header(data[after : after + 4]) if after + 4 <= end else None
             if synced or after == end or following and (following.version, following.layer, following.rate) == (head.version, head.layer, head.rate):
-                if head.protected and head.layer == 3:
+                if head.protected:
                     found.crc_checked += 1
-                    covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + head.side]
-                    found.crc_bad += crc16(covered) != int.from_bytes(data[at + 4 : at + 6], "big")
+                    body = data[at + 6 : min(after, at + 6 + 64)]  # no layer covers more
+                    bits = protected_bits(body, head)
+                    found.crc_bad += crc16(data[at + 2 : at + 4] + body[: -(-bits // 8)], 16 + bits) != int.from_bytes(data[at + 4 : at + 6], "big")
                 table = _vbr_table(data, at, head) if not found.headers and not found.table and head.layer == 3 else None
                 if table:
                     found.table = table
@@ -266,8 +313,9 @@ def audio_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """Store every text as an MPEG stream, read the stored bytes back and describe them.
 
     Null text counts as empty (its payload is one block of zeros); rows are independent, so repeated rows,
-    null keys and further columns are fine. Returns doc_id, n_bytes, payload (read back), media, seconds,
-    frames, crc_checked, crc_bad, skipped, table_frames and seek_offsets (byte position of each frame).
+    null keys, long texts and further columns are fine; equal texts give equal values. Returns doc_id, n_bytes,
+    payload (read back), media, samples and rate (the exact duration as a fraction), seconds, frames, crc_checked,
+    crc_bad, skipped, table_frames and seek_offsets (byte position of each frame).
     """
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -283,7 +331,8 @@ def audio_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                     medias.append(media)
                     streams.append(stream)
                 columns = [
-                    keys.slice(low, 256), pa.array(sizes, pa.int64()), pa.array(payloads, pa.binary()), pa.array(medias, pa.binary()), pa.array([s.seconds for s in streams]),
+                    keys.slice(low, 256), pa.array(sizes, pa.int64()), pa.array(payloads, pa.binary()), pa.array(medias, pa.binary()),
+                    pa.array([s.duration for s in streams], pa.int64()), pa.array([s.rate for s in streams], pa.int64()), pa.array([s.seconds for s in streams]),
                     pa.array([len(s.headers) for s in streams], pa.int64()), pa.array([s.crc_checked for s in streams], pa.int64()), pa.array([s.crc_bad for s in streams], pa.int64()),
                     pa.array([s.skipped for s in streams], pa.int64()), pa.array([int(s.table.get("frames", -1)) for s in streams], pa.int64()), pa.array([s.offsets for s in streams], pa.list_(pa.int64())),
                 ]
@@ -291,11 +340,11 @@ def audio_columns(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     pairs = keyed_texts(docs, key, text)
     kind = pairs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(pairs, run, f"doc_id {kind}, n_bytes bigint, payload binary, media binary, seconds double, frames bigint, crc_checked bigint, crc_bad bigint, skipped bigint, table_frames bigint, seek_offsets array<bigint>")
+    return map_arrow(pairs, run, f"doc_id {kind}, n_bytes bigint, payload binary, media binary, samples bigint, rate bigint, seconds double, frames bigint, crc_checked bigint, crc_bad bigint, skipped bigint, table_frames bigint, seek_offsets array<bigint>")
 
 
 def parse_media(media: DataFrame, key: str, content: str) -> DataFrame:
-    """Describe streams of a binary column: key, seconds, rate, frames, crc_checked, crc_bad, skipped, table kind, seek_offsets.
+    """Describe streams of a binary column: key, samples, rate, seconds, frames, crc_checked, crc_bad, skipped, table kind, seek_offsets.
 
     A null or empty value has no frames and a duration of 0.
     """
@@ -304,11 +353,11 @@ def parse_media(media: DataFrame, key: str, content: str) -> DataFrame:
         for batch in batches:
             streams = [parse_stream(x or b"") for x in batch.column(1).to_pylist()]
             columns = [
-                batch.column(0), pa.array([s.seconds for s in streams]), pa.array([s.rate for s in streams]), pa.array([len(s.headers) for s in streams]), pa.array([s.crc_checked for s in streams]),
+                batch.column(0), pa.array([s.duration for s in streams], pa.int64()), pa.array([s.rate for s in streams], pa.int64()), pa.array([s.seconds for s in streams]), pa.array([len(s.headers) for s in streams]), pa.array([s.crc_checked for s in streams]),
                 pa.array([s.crc_bad for s in streams]), pa.array([s.skipped for s in streams]), pa.array([s.table.get("kind") for s in streams], pa.string()), pa.array([s.offsets for s in streams], pa.list_(pa.int64())),
             ]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     picked = media.select(key, content)
     kind = picked.schema[key].dataType.simpleString()
-    return map_arrow(picked, run, f"`{key}` {kind}, seconds double, rate bigint, frames bigint, crc_checked bigint, crc_bad bigint, skipped bigint, table string, seek_offsets array<bigint>")
+    return map_arrow(picked, run, f"`{key}` {kind}, samples bigint, rate bigint, seconds double, frames bigint, crc_checked bigint, crc_bad bigint, skipped bigint, table string, seek_offsets array<bigint>")

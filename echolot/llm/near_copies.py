@@ -37,6 +37,12 @@ WIDE_BITS, WIDE_ROWS = 8192, 20_000
 PARITY_ROWS = 200_000
 #: Rows that are hashed at a time.
 SLICE = 100
+#: Entries of prefixes that a task sends at a time, and that one merges at a time (about, 21 bytes each).
+PACK_KEYS, SLICE_KEYS = 1_000_000, 500_000
+#: Shared shingles, 20 bytes each, that go to every task; larger tables are joined.
+HUB_ROWS = 1_500_000
+
+_ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("n", "<i4"), ("many", "?")])
 
 
 def _shingles(column: pa.Array, shingle: int) -> Iterator[np.ndarray]:
@@ -114,17 +120,104 @@ def _described(source: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return map_arrow(source.select("doc_id", "id", "text"), run, f"doc_id {kind}, id bigint, n int, fp bigint, bits binary, prefix binary")
 
 
-def _prefixes(described: DataFrame) -> DataFrame:
-    """(key, id, n): one row for each shingle of a prefix."""
+def _spread(batch: pa.RecordBatch) -> np.ndarray:
+    """Entries (key, id, n) for each shingle of the prefixes of a batch (id, n, prefix)."""
+    prefixes = batch.column(2).to_pylist()
+    sizes = [len(x) // 8 for x in prefixes]
+    out = np.zeros(sum(sizes), _ENTRY)
+    out["key"] = np.frombuffer(b"".join(prefixes), np.uint64)
+    for name, k in (("id", 0), ("n", 1)):
+        out[name] = np.repeat(batch.column(k).to_numpy(), sizes)
+    return out
+
+
+def _first_by_key(entries: np.ndarray) -> np.ndarray:
+    """One entry for each key, the one with the least id; `many` says whether it stands for several ids."""
+    entries = entries[np.lexsort((entries["id"], entries["key"]))]
+    first = np.flatnonzero(np.concatenate([[True], entries["key"][1:] != entries["key"][:-1]])) if len(entries) else np.zeros(0, np.int64)
+    if not len(first):
+        return entries
+    out = entries[first]
+    last = np.append(first[1:], len(entries)) - 1
+    out["many"] = np.logical_or.reduceat(entries["many"], first) | (entries["id"][last] != out["id"])
+    return out
+
+
+def _shared_keys(described: DataFrame) -> DataFrame:
+    """(key, hub, m): shingles in the prefixes of several texts, with the least of their ids and the size of its set.
+
+    Tasks reduce their entries to one for each key, so a shingle of many texts costs an entry a task, and send them in
+    packs by slices of the keys; the number of slices grows with the table.
+    """
+    total = described.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
+    slices = max(1, int(np.ceil(total / SLICE_KEYS)))
+
+    def pack(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            entries = _first_by_key(np.concatenate(held))
+            own = entries["key"] % np.uint64(slices)
+            entries = entries[np.argsort(own, kind="stable")]
+            found, starts = np.unique(np.sort(own), return_index=True)
+            packs = [entries[x:y].tobytes() for x, y in zip(starts, np.append(starts[1:], len(entries)))]
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(packs, pa.binary())], schema=out)
+
+        for batch in batches:
+            held.append(_spread(batch))
+            if sum(map(len, held)) > PACK_KEYS:
+                yield from flush()
+                held.clear()
+        if held:
+            yield from flush()
+
+    def merge(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            entries = _first_by_key(np.concatenate(held)) if held else np.zeros(0, _ENTRY)
+            entries = entries[entries["many"]]
+            yield pa.RecordBatch.from_arrays([pa.array(entries["key"].astype(np.uint64).view(np.int64)), pa.array(entries["id"].copy()), pa.array(entries["n"].copy())], schema=out)
+
+        for batch in batches:
+            for own, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if own != at:
+                    yield from close()
+                    at, held = own, []
+                held.append(np.frombuffer(packed.as_py(), _ENTRY))
+                if sum(map(len, held)) > 4 * SLICE_KEYS:
+                    held = [_first_by_key(np.concatenate(held))]
+        yield from close()
+
+    packs = map_arrow(described.where("n > 0").select("id", "n", "prefix"), pack, "slice bigint, pack binary")
+    return map_arrow(packs.repartition("slice").sortWithinPartitions("slice"), merge, "key bigint, hub bigint, m int")
+
+
+def _shared_entries(described: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(key, id, n, hub, m): the entries of prefixes whose key is shared."""
+    prefixes = described.where("n > 0").select("id", "n", "prefix")
+    few = hubs.count() <= HUB_ROWS
+    shared = None
+    if few:
+        rows = hubs.toArrow()  # size checked above
+        keys = rows["key"].to_numpy().view(np.uint64)
+        by = np.argsort(keys)
+        shared = prefixes.sparkSession.sparkContext.broadcast((keys[by], rows["hub"].to_numpy()[by], rows["m"].to_numpy()[by]))
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prefixes = batch.column(2).to_pylist()
-            sizes = [len(x) // 8 for x in prefixes]
-            columns = [np.frombuffer(b"".join(prefixes), np.int64), *(np.repeat(batch.column(k).to_numpy(), sizes) for k in (0, 1))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+            entries = _spread(batch)
+            columns = [entries["key"].view(np.int64), entries["id"], entries["n"]]
+            if shared is not None:
+                keys, hub, m = shared.value
+                at = np.minimum(np.searchsorted(keys, entries["key"]), max(0, len(keys) - 1))
+                hit = keys[at] == entries["key"] if len(keys) else np.zeros(len(entries), bool)
+                columns = [c[hit] for c in columns] + [hub[at[hit]], m[at[hit]]] if len(keys) else [c[:0] for c in columns] + [hub, m]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
-    return map_arrow(described.where("n > 0").select("id", "n", "prefix"), run, "key bigint, id bigint, n int")
+    if few:
+        return map_arrow(prefixes, run, "key bigint, id bigint, n int, hub bigint, m int")
+    return map_arrow(prefixes, run, "key bigint, id bigint, n int").join(hubs, "key").select("key", "id", "n", "hub", "m")
 
 
 def _sets(source: DataFrame, firsts: DataFrame, shingle: int) -> DataFrame:
@@ -257,12 +350,11 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     described = materialize(_described(source, shingle, similarity), "described")
     sketches = materialize(described.where("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits")), "sketches")
     texts = materialize(described.groupBy("id").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")), "texts")
-    spread = _prefixes(described).repartition("key")  # dealt once for what follows
-    hubs = spread.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("far")).where("hub.id <> far").select("key", "hub")
-    shared = materialize(spread.join(hubs.hint("shuffle_hash"), "key").dropDuplicates(["key", "id"]).select("key", "id", "n", "hub"), "shared")
+    hubs = materialize(_shared_keys(described), "hubs")
+    shared = materialize(_shared_entries(described, hubs), "shared")
     asked = narrow_side(shared.select("id").distinct(), "shared-texts")
     parity = narrow_side(sketches.join(asked, "id", "left_semi").select("id", "bits"), "parity", PARITY_ROWS)
-    over_hubs = shared.where("id <> hub.id").select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("n"), F.col("n").alias("m"))
+    over_hubs = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("m").alias("n"), F.col("n").alias("m"))
     tried = materialize(_may_be_similar(over_hubs.distinct(), parity, similarity), "tried")
     proposed = _proposed(sketches.select("id", "n", "fp"), radius)
     first = materialize(tried.union(proposed).distinct(), "first")

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echolot.llm.arrow import keyed_texts, map_arrow
 from echolot.llm.tokens import CACHE_ENTRIES, WordEncoder
@@ -196,16 +197,18 @@ def pack_best_fit(pieces: DataFrame, capacity: int = CAPACITY, length: str = "le
     Lengths must lie in 1..capacity (an error otherwise; null lengths too). The input is written once with
     its partition number, so ranks inside a length are offsets of partitions plus places inside them: a
     length that a third of all pieces share stays spread over all tasks. The driver sees the histogram only.
-    Columns of the input stay as they are; an empty table gives an empty result.
+    Columns of the input stay as they are, whatever their names, but those named sequence_id or offset, which are
+    replaced; equal pieces are all packed; an empty table gives an empty result.
     """
-    tag, rank = "__part", "__rank"
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    wrapped = pieces.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(f"`{length}`").alias("size"))
 
     def number(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(length))
+            column = batch.column(1)
             sizes = column.to_numpy(zero_copy_only=False)
             if column.null_count or len(sizes) and (sizes.min() < 1 or sizes.max() > capacity):
                 raise ValueError(f"lengths must lie in 1..{capacity}")
@@ -218,16 +221,17 @@ def pack_best_fit(pieces: DataFrame, capacity: int = CAPACITY, length: str = "le
             seen += np.bincount(sizes, minlength=capacity + 1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(sizes), part, np.int32)), pa.array(ranks)], schema=out)
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    stored = materialize(map_arrow(pieces, number, f"{ddl}, {tag} int, {rank} bigint"), "pieces")
-    counts = stored.groupBy(tag, length).agg(F.count("*").alias("n"))
-    total = counts.groupBy(length).agg(F.sum("n").alias("n")).collect()  # at most `capacity` rows
+    own = wrapped.schema.fields
+    numbered = T.StructType([*own, T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType())])
+    stored = materialize(map_arrow(wrapped, number, numbered), "pieces")
+    counts = stored.groupBy("part", "size").agg(F.count("*").alias("n"))
+    total = counts.groupBy("size").agg(F.sum("n").alias("n")).collect()  # at most `capacity` rows
     histogram = np.zeros(capacity + 1, np.int64)
     for row in total:
         histogram[row[0]] = row[1]
     places = _places(plan(histogram, capacity), capacity)
-    before = counts.select(tag, length, (F.sum("n").over(Window.partitionBy(length).orderBy(tag)) - F.col("n")).alias("__before"))
-    ranked = stored.join(before, [tag, length]).withColumn(rank, F.col(rank) + F.col("__before")).select(*pieces.columns, rank)
+    before = counts.select("part", "size", (F.sum("n").over(Window.partitionBy("size").orderBy("part")) - F.col("n")).alias("before"))
+    ranked = stored.join(before, ["part", "size"]).select("row", "size", (F.col("rank") + F.col("before")).alias("rank"))
 
     def place(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         first, base, offset, starts = (places[k] for k in ("first", "base", "offset", "starts"))
@@ -235,9 +239,10 @@ def pack_best_fit(pieces: DataFrame, capacity: int = CAPACITY, length: str = "le
         low = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
         joint = low * span + first  # ascending, as slots are sorted by length and rank
         for batch in batches:
-            sizes = batch.column(batch.schema.get_field_index(length)).to_numpy().astype(np.int64)
-            ranks = batch.column(batch.num_columns - 1).to_numpy()
+            sizes = batch.column(1).to_numpy().astype(np.int64)
+            ranks = batch.column(2).to_numpy()
             slot = np.searchsorted(joint, sizes * span + ranks, side="right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(base[slot] + ranks - first[slot]), pa.array(offset[slot])], schema=out)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base[slot] + ranks - first[slot]), pa.array(offset[slot])], schema=out)
 
-    return map_arrow(ranked, place, f"{ddl}, sequence_id bigint, offset bigint")
+    placed = map_arrow(ranked, place, T.StructType([own[0], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    return placed.select(*(F.col("row").getField(c).alias(c) for c in kept), "sequence_id", "offset")

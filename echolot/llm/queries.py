@@ -40,7 +40,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = mpeg.audio_columns(table(spark, sf_dir, "documents"))
-    feature = F.format_string("frames=%d table=%d crc=%d/%d skipped=%d ms=%d seek=%d", "frames", "table_frames", "crc_bad", "crc_checked", "skipped", F.round(F.col("seconds") * 1000).cast("bigint"), F.element_at("seek_offsets", -1))
+    feature = F.format_string("frames=%d table=%d crc=%d/%d skipped=%d samples=%d/%d seek=%d", "frames", "table_frames", "crc_bad", "crc_checked", "skipped", "samples", "rate", F.element_at("seek_offsets", -1))
     return stored.select(
         "doc_id",
         "n_bytes",

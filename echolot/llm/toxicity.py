@@ -38,6 +38,8 @@ SUBSTITUTE, SHORTEN, DROP, WIDE = -2.0, -1.0, -1.0, -2.0
 SETTLE = 256
 #: Hashed features, their prior weight, and labelled rows (at most) that fit the final regression.
 BUCKETS, PRIOR, SAMPLE_ROWS = 1 << 20, 20.0, 20_000
+#: Folds of the labelled rows: the regression sees each one under weights from all others.
+FOLDS = 5
 #: Lengths of word beginnings that are features beside the whole word.
 PREFIXES = (4, 5, 6)
 #: Strongest pieces of evidence that the regression sees one by one; all others are summed.
@@ -262,7 +264,7 @@ def corpus_model(docs: DataFrame, text: str = "text", order: int = ORDER, discou
 
 
 def _feature_counts(labelled: DataFrame, model: HashedModel) -> np.ndarray:
-    """(2, 2, BUCKETS + 1) different texts with each feature by half and label; the last column counts texts."""
+    """(FOLDS, 2, BUCKETS + 1) different texts with each feature by fold and label; the last column counts texts."""
     shared = labelled.sparkSession.sparkContext.broadcast(model)  # of bounded size
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -274,7 +276,7 @@ def _feature_counts(labelled: DataFrame, model: HashedModel) -> np.ndarray:
             return len(words) // width - 1
 
         reader = WordReader(shared.value, number, -1, 120_000)
-        counts = np.zeros((4, BUCKETS + 1), np.int32)
+        counts = np.zeros((2 * FOLDS, BUCKETS + 1), np.int32)
         for batch in batches:
             for low in range(0, batch.num_rows, SLICE):
                 part = batch.slice(low, SLICE)
@@ -290,15 +292,15 @@ def _feature_counts(labelled: DataFrame, model: HashedModel) -> np.ndarray:
                 np.add.at(counts, (cell[keys // BUCKETS], keys % BUCKETS), 1)
                 np.add.at(counts, (cell, BUCKETS), 1)
         at = np.flatnonzero(counts.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(counts[k, at], pa.int64()) for k in range(4))], schema=out)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(counts[k, at], pa.int64()) for k in range(2 * FOLDS))], schema=out)
 
-    names = ["clean0", "toxic0", "clean1", "toxic1"]
-    rows = map_arrow(labelled.select("half", "label", "text"), run, "bucket int, " + ", ".join(f"{n} bigint" for n in names))
-    frame = rows.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).where("toxic0 + toxic1 > 0").toArrow()  # at most BUCKETS + 1 rows
-    counts = np.zeros((4, BUCKETS + 1))
+    names = [f"n{k}" for k in range(2 * FOLDS)]  # clean and toxic by turns
+    rows = map_arrow(labelled.select("fold", "label", "text"), run, "bucket int, " + ", ".join(f"{n} bigint" for n in names))
+    frame = rows.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).where(" + ".join(names[1::2]) + " > 0").toArrow()  # at most BUCKETS + 1 rows
+    counts = np.zeros((2 * FOLDS, BUCKETS + 1))
     for k, name in enumerate(names):
         counts[k, frame["bucket"].to_numpy()] = frame[name].to_numpy()
-    return counts.reshape(2, 2, -1)
+    return counts.reshape(FOLDS, 2, -1)
 
 
 def _weights(counts: np.ndarray) -> np.ndarray | None:
@@ -360,25 +362,25 @@ def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "
 
     Feature weights are smoothed log odds over all labelled rows. Equal texts count once for each label that they
     bear; null labels, texts and keys teach nothing. The regression on the evidence is fitted on about `sample_rows`
-    rows, drawn by a hash of their keys, each under weights from the other half of the rows, so that no row is
+    rows, drawn by a hash of their keys, each under weights from the other folds of the rows, so that no row is
     evidence for itself. Without rows of both labels every text gets the score 0.
     """
     characters = corpus_model(docs, text)
-    half = F.pmod(F.xxhash64(F.col(key)), F.lit(2)).cast("int")
-    rows = labelled.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.col(text).alias("text"), half.alias("half")).where("label IN (0, 1) AND text IS NOT NULL AND key IS NOT NULL")
+    part = F.pmod(F.xxhash64(F.col(key)), F.lit(FOLDS)).cast("int")
+    rows = labelled.select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"), F.col(text).alias("text"), part.alias("fold")).where("label IN (0, 1) AND text IS NOT NULL AND key IS NOT NULL")
     counts = _feature_counts(_first_of_equal(rows), characters)
     weights = _weights(counts.sum(0))  # None without texts of both labels
     if weights is None:
         return ToxicityModel(characters, np.zeros(BUCKETS), _UNFIT)
-    halves = [_weights(counts[1 - k]) for k in (0, 1)]
-    models = [ToxicityModel(characters, weights if w is None else w, _UNFIT) for w in halves]
+    others = [_weights(counts.sum(0) - counts[k]) for k in range(FOLDS)]
+    models = [ToxicityModel(characters, weights if w is None else w, _UNFIT) for w in others]
 
     def pick(part: pa.RecordBatch, found: list[np.ndarray], own: ToxicityModel, out: pa.Schema) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([part.column(1), pa.array([list(x) for x in found], pa.list_(pa.float64()))], schema=out)
 
     share = min(1.0, sample_rows / max(1, rows.count()))
     sample = rows.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    drawn = _summaries(sample.select("half", "label", "text"), models, "label int, x array<double>", pick).toArrow()
+    drawn = _summaries(sample.select("fold", "label", "text"), models, "label int, x array<double>", pick).toArrow()
     model = ToxicityModel(characters, weights, _UNFIT)
     if drawn.num_rows:
         x, y = np.array(drawn["x"].to_pylist()), drawn["label"].to_numpy().astype(float)

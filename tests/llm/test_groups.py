@@ -222,6 +222,8 @@ def test_decontamination_edges(spark):
     assert got == [(0, 2, 0, ""), (1, 3, 2, "7"), (2, 0, 0, "")]
     assert [r.spans for r in decontam.decontaminate(docs, bench).where("doc_id = 1").collect()] == [[(1, 2)]]
     assert {r.n_hit for r in decontam.decontaminate(docs, bench.limit(0)).collect()} == {0}
+    long = "x y " * 40_000 + "b c " + "z " * 40_000
+    assert [(r.n_words, r.n_hit) for r in decontam.decontaminate(frame(spark, [(1, long)]), bench).collect()] == [(120_002, 2)]
     assert decontam.decontaminate(docs.limit(0), bench).count() == 0
 
 

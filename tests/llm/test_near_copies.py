@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from echolot.llm import near_copies, simhash
 
@@ -41,7 +43,12 @@ def rows_with_near_copies(seed=3):
     return rows + [(1000, None), (1001, ""), (1002, "One"), (1003, "one"), (1004, "one two")] + [(1005 + i, rows[7][1]) for i in range(3)]
 
 
-def test_near_copies_equal_brute_force(spark):
+@pytest.mark.parametrize("bound", [1_500_000, 0])
+def test_near_copies_equal_brute_force(spark, bound, monkeypatch):
+    monkeypatch.setattr(near_copies, "HUB_ROWS", bound)
+    if not bound:  # many packs, many slices, merges on the way
+        monkeypatch.setattr(near_copies, "PACK_KEYS", 50)
+        monkeypatch.setattr(near_copies, "SLICE_KEYS", 100)
     rows = rows_with_near_copies()
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # keys run across batches

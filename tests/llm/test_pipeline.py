@@ -3,6 +3,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -45,6 +46,34 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[4]
 
 
+def test_odd_tables(spark, tmp_path):
+    """Clashing names, repeated ids, nulls, long texts and an empty table."""
+    corpus(spark, tmp_path)
+    names = ["lang_pred", "kept", "n_lines", "n_removed", "rows", "key", "hash", "row", "carried", "place", "id", "text_id", "keeper", "size", "part", "sequence_id", "with.dot"]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    first, second = (docs.where(f"doc_id = {k}").collect()[0].text for k in (7, 11))
+    more = [(7, second + " once more", "en", "s", 1), (7, first, "en", "s", 2), (None, first, "en", "s", 3), (300, (first + "\n") * 500, "en", "s", 4), (301, None, None, None, None), (302, "", "en", "s", 0)]
+    wide = docs.union(spark.createDataFrame(more, docs.schema))
+    for k, name in enumerate(names):
+        wide = wide.withColumn(name, F.lit(k))
+    kept = wide
+    for name, stage in corpus_pipeline.STAGES:
+        empty = materialize(stage(spark, kept.limit(0), str(tmp_path)), name)
+        assert empty.count() == 0
+        kept = materialize(stage(spark, kept, str(tmp_path)), name)
+        if name == "packing":
+            assert empty.columns == kept.columns
+        else:
+            assert kept.columns == empty.columns == wide.columns
+            assert all(r[n] == k for r in kept.collect() for k, n in enumerate(names))
+        if name == "near_duplicates":
+            found = [(r.doc_id, r.n_chars) for r in kept.collect()]
+            again = materialize(stage(spark, previous.repartition(7), str(tmp_path)), name)
+            assert sorted((r.doc_id, r.text) for r in again.collect()) == sorted((r.doc_id, r.text) for r in kept.collect())
+            assert sum(d == 7 for d, _ in found) <= 2 and None not in [d for d, _ in found]
+        previous = kept
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="tables not here")
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_oracles(spark, name):

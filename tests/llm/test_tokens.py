@@ -1,4 +1,5 @@
 import zlib
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
@@ -69,6 +70,9 @@ def test_packing(spark, docs):
     total = sum(r.length for r in packed)
     assert len(places) <= -(-total // 64) + 1
     assert packing.pack_best_fit(pieces.limit(0), capacity=64).count() == 0
+    odd = spark.createDataFrame([(5, 1, 2, 3, 4, 5), (60, 1, 2, 3, 4, 5)], "length int, offset int, sequence_id string, row int, size int, `a.b` int")
+    got = packing.pack_best_fit(odd, capacity=64)
+    assert got.columns == ["length", "row", "size", "a.b", "sequence_id", "offset"] and sorted((r.length, r.row, r.offset) for r in got.collect()) == [(5, 3, 0), (60, 3, 0)]
 
 
 @settings(max_examples=60, deadline=None)
@@ -189,6 +193,31 @@ def test_resync_checksums_and_tags():
     assert mpeg.parse_header(b"\xff\xfb\xf0\x00") is None and mpeg.parse_header(b"\xff\xe9\x90\x00") is None
 
 
+def test_checksums_of_other_layers():
+    """Frames of Layers I and II whose covered bits are counted out by hand."""
+    rng = np.random.default_rng(3)
+    slow = lambda bits: reduce(lambda v, b: (v << 1 & 0xFFFF) ^ (0x8005 if v >> 15 ^ int(b) else 0), bits, 0xFFFF)
+    cases = [("fffe90c4", [4] * 32, 32, 1), ("fffe9004", [4] * 32, 32, 2), ("fffe9054", [4] * 32, 8, 2), ("fffc9004", [4] * 11 + [3] * 12 + [2] * 4, 32, 2), ("fffc9044", [4] * 11 + [3] * 12 + [2] * 4, 4, 2),
+             ("fffce004", [4] * 11 + [3] * 12 + [2] * 7, 32, 2), ("fffc10c4", [4] * 2 + [3] * 6, 32, 1), ("fffc18c4", [4] * 2 + [3] * 10, 32, 1), ("fff490c4", [4] * 4 + [3] * 7 + [2] * 19, 32, 1)]
+    for text, widths, bound, channels in cases:
+        head = mpeg.parse_header(bytes.fromhex(text))
+        assert head.protected and head.layer in (1, 2), text
+        allocation, selections = "", 0
+        for band, width in enumerate(widths):
+            for _ in range(channels if band < bound else 1):
+                value = int(rng.integers(0, 1 << width)) * int(rng.random() < 0.5)
+                allocation += f"{value:0{width}b}"
+                selections += bool(value) * (channels if band >= bound else 1)
+        covered = allocation + "".join(rng.choice(["0", "1"], 2 * selections)) if head.layer == 2 else allocation
+        rest = covered + "10" * 4 * (head.size - 6)
+        body = int(rest[: 8 * (head.size - 6)], 2).to_bytes(head.size - 6, "big")
+        check = slow(f"{int(text[4:], 16):016b}" + covered)
+        for off, bad in ((0, 0), (1, 2)):
+            frame = bytes.fromhex(text) + (check ^ off).to_bytes(2, "big") + body
+            stream = mpeg.parse_stream(frame * 2)
+            assert (len(stream.headers), stream.crc_checked, stream.crc_bad) == (2, 2, bad), text
+
+
 def test_audio_columns(spark, docs):
     got = mpeg.audio_columns(docs).collect()
     assert len(got) == docs.count()
