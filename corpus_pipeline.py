@@ -56,7 +56,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     hit = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("doc_id")
-    return docs.join(narrow_side(hit, "hit"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(narrow_side(hit, "hit"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
