@@ -38,6 +38,13 @@ class KeepRule(str, Enum):
     def parse(cls, text: str) -> KeepRule:
         return cls(text.strip().lower().replace("_", "-"))
 
+    @property
+    def label(self) -> str:
+        """The rule's name in reports."""
+        # fixed output
+        names = {"best-quality": "Best quality", "largest": "Largest file", "smallest": "Smallest file", "oldest": "Oldest file", "newest": "Newest file", "shallowest": "Shallowest folder"}
+        return names[self.value]
+
 
 @dataclass(frozen=True)
 class MatchOptions:

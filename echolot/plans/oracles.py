@@ -64,7 +64,7 @@ gr AS (
 """
 
 _SHAPES = """
-WITH f AS (SELECT vec_id, CAST(label AS BIGINT) AS idx, CAST(embedding[1:33] AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL),
+WITH f AS (SELECT vec_id, coalesce(CAST(label AS BIGINT), -1) AS idx, CAST(embedding[1:33] AS DOUBLE[]) AS e FROM embeddings),
 g AS (SELECT *, lag(e) OVER (PARTITION BY idx ORDER BY vec_id) AS p FROM f),
 ch AS (SELECT idx, list_sum(list_transform(range(1, 34), lambda m: abs(e[m] - p[m]))) / 33 AS change FROM g WHERE p IS NOT NULL),
 fx AS (SELECT idx, n, coalesce(s[n // 2 + 1], 3.4028234663852886e38) AS flux FROM (

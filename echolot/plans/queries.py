@@ -191,7 +191,7 @@ def report_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _band_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     bands = F.slice("embedding", 1, 33).cast("array<double>")
-    frames = vectors.where("label IS NOT NULL").select("vec_id", F.col("label").cast("bigint").alias("idx"), bands.alias("bands"))
+    frames = vectors.select("vec_id", F.coalesce(F.col("label").cast("bigint"), F.lit(-1)).alias("idx"), bands.alias("bands"))
     return frames.withColumn("previous", F.lag("bands").over(Window.partitionBy("idx").orderBy("vec_id")))
 
 
@@ -384,7 +384,7 @@ def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     membership = materialize(rows.select(F.lit("exact").alias("kind"), "rep", "idx", F.lit(1.0).alias("confidence")), "groups")
     made = reports.report_groups(ScanResult(files, groups.ranked(membership, files), membership, spark.createDataFrame([], "name string, reason string"), ScanOptions()))
     joined = F.array_join("paths", "|")
-    flat = made.select("kind", joined.alias("paths"), F.col("reclaimableBytes").alias("reclaimable"), *(F.col("keepers")[r.value].alias(r.value.replace("-", "_")) for r in KeepRule))
+    flat = made.select("kind", joined.alias("paths"), F.col("reclaimableBytes").alias("reclaimable"), *(F.col("keepers")[r.label].alias(r.value.replace("-", "_")) for r in KeepRule))
     return with_order(flat, [F.col("kind"), F.col("paths")], "place")
 
 

@@ -42,9 +42,24 @@ class ScanResult:
 _ATTRIBUTES = ["duration", "content_duration", "sample_rate", "bit_depth", "channel_count", "codec", "codec_is_lossless", "values", "shape", "flux"]
 
 
-def scan(spark: SparkSession, roots: list[str], options: ScanOptions | None = None) -> ScanResult:
-    """Find groups of equal and of like recordings below the roots."""
+def scan(spark: SparkSession, roots: list[str], options: ScanOptions | None = None, tag: str | None = None) -> ScanResult:
+    """Find groups of equal and of like recordings below the roots. Another thread may `cancel` the jobs under the tag."""
     options = options or ScanOptions()
+    if tag:
+        spark.addTag(tag)
+    try:
+        return _scan(spark, roots, options)
+    finally:
+        if tag:
+            spark.removeTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Stop the scans that run under a tag."""
+    spark.interruptTag(tag)
+
+
+def _scan(spark: SparkSession, roots: list[str], options: ScanOptions) -> ScanResult:
     files = materialize(folder.collect(spark, roots, options), "files")
     hashes = folder.with_content_hash(spark, exact.size_candidates(files)) if options.find_exact else None
     files = files.join(hashes, "idx", "left") if hashes is not None else files.withColumn("content_hash", F.lit(None).cast("string"))

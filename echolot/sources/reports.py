@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ def report_groups(result: ScanResult) -> DataFrame:
     base = members.groupBy("kind", "rep", "confidence").agg(
         F.array_sort(F.collect_list(formats.display_name("path"))).alias("paths"), (F.sum("byte_size") - F.max("byte_size")).cast("bigint").alias("reclaimableBytes")
     )
-    kept = [result.keepers(rule).join(result.files.select("idx", formats.display_name("path").alias("name")), "idx").select("rep", F.lit(rule.value).alias("rule"), "name") for rule in result.options.keep_rules]
+    kept = [result.keepers(rule).join(result.files.select("idx", formats.display_name("path").alias("name")), "idx").select("rep", F.lit(rule.label).alias("rule"), "name") for rule in result.options.keep_rules]
     keepers = reduce(DataFrame.unionByName, kept).groupBy("rep").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule", "name")))).alias("keepers"))
     full = base.join(keepers, "rep", "left").withColumn("confidence", F.round("confidence", 3))
     return full.select("kind", "paths", "confidence", "reclaimableBytes", "keepers").orderBy("kind", F.array_join("paths", "|"))
@@ -34,6 +35,16 @@ def write_json(result: ScanResult, path: str) -> None:
     report_groups(result).write.mode("overwrite").json(path)
 
 
+def write_report(result: ScanResult, path: str) -> None:
+    """The whole report as one JSON document in a local file, group by group, so the driver holds one at a time."""
+    head = json.loads(report_json(result).first()["value"])
+    with open(path, "w", encoding="utf-8") as out:
+        out.write('{"filesScanned": %d, "groups": [' % head["filesScanned"])
+        for place, row in enumerate(report_groups(result).select(F.to_json(F.struct("*")).alias("value")).toLocalIterator()):
+            out.write((", " if place else "") + row["value"])
+        out.write('], "skipped": %s}' % json.dumps(head["skipped"], ensure_ascii=False))
+
+
 def report_text(result: ScanResult) -> str:
     """A listing for people; it is as long as the report, so meant for single scans."""
     out = []
