@@ -17,6 +17,13 @@ def key_halves(value: Column) -> Column:
     return F.array(value.bitwiseAND(F.lit(65535)), F.shiftright(value, 16).bitwiseOR(F.lit(65536)))
 
 
+def joint_halves(value: Column, following: Column) -> Column:
+    """Lower halves of two values, and their upper halves marked by bit 32."""
+    low = F.shiftleft(value.bitwiseAND(F.lit(65535)), 16).bitwiseOR(following.bitwiseAND(F.lit(65535)))
+    high = F.shiftleft(F.shiftright(value, 16), 16).bitwiseOR(F.shiftright(following, 16))
+    return F.array(low, high.bitwiseOR(F.lit(1 << 32)))
+
+
 def band_bits(bands: Column, previous: Column) -> Column:
     """32 bits, lowest first: does the step between neighbouring bands grow from one frame to the next?"""
     step = lambda x, i: F.element_at(x, i + 1) - F.element_at(x, i + 2)

@@ -31,7 +31,11 @@ def file_lengths(fps: DataFrame, options: MatchOptions) -> DataFrame:
 
 
 def postings(fps: DataFrame, options: MatchOptions) -> DataFrame:
-    """(key, idx, pos): two halves of every indexed value."""
+    """(key, idx, pos): two halves of every indexed value, or of it and the next indexed one with `joint_keys`."""
+    if options.joint_keys:
+        following = F.transform("values", lambda v, i: F.struct(v.alias("v"), F.get("values", i + options.index_stride).alias("w")))
+        placed = fps.select("idx", F.posexplode(following).alias("pos", "p")).where((F.col("pos") % options.index_stride == 0) & F.col("p.w").isNotNull())
+        return placed.select("idx", "pos", F.explode(arrays.joint_halves(F.col("p.v"), F.col("p.w"))).alias("key"))
     placed = fps.select("idx", F.posexplode("values").alias("pos", "value")).where(F.col("pos") % options.index_stride == 0)
     return placed.select("idx", "pos", F.explode(arrays.key_halves(F.col("value"))).alias("key"))
 

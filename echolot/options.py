@@ -64,6 +64,8 @@ class MatchOptions:
     min_length_difference: float = 0.5
     stationary_flux: float = 0.10
     seconds_per_frame: float = 512 / 11025
+    #: Index two values at a time: keys of 33 bits instead of 17, for collections whose short keys all have too many entries.
+    joint_keys: bool = False
 
     @classmethod
     def for_level(cls, level: Level | str, **changes: object) -> MatchOptions:

@@ -279,9 +279,12 @@ def probe(files: DataFrame) -> DataFrame:
 
 
 def best_alignment(a: DataFrame, b: DataFrame, reach: int = 600, least: int = 64) -> DataFrame:
-    """Pairs of fingerprint rows (values) with the offset of least bit error, over all offsets."""
+    """Two fingerprints (one row with values each) at the offset of least bit error, over all offsets."""
+    for side in (a, b):
+        if side.limit(2).count() != 1:
+            raise ValueError("one fingerprint on each side")
     left = a.select("values").withColumnRenamed("values", "va")
-    pairs = left.crossJoin(b.select("values").withColumnRenamed("values", "vb"))  # meant for two single files
+    pairs = left.crossJoin(b.select("values").withColumnRenamed("values", "vb"))  # one row each
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
