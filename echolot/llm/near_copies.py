@@ -33,14 +33,12 @@ ORDER_ROWS, FREQUENT, FREQUENT_ROWS = 5_000, 5, 200_000
 BITS, SEEN_TEXTS = 512, 300_000
 #: Parity bits of the sets of candidates, compared before whole sets; rows of them sent to all executors (about 20 MB).
 WIDE_BITS, WIDE_ROWS = 8192, 20_000
-#: Rows of parity bits that are sent to all executors (about 20 MB).
-PARITY_ROWS = 200_000
 #: Rows that are hashed at a time.
 SLICE = 100
 #: Entries of prefixes that a task sends at a time, and that one merges at a time (about, 21 bytes each).
-PACK_KEYS, SLICE_KEYS = 1_000_000, 500_000
-#: Shared shingles, 20 bytes each, that go to every task; larger tables are joined.
-HUB_ROWS = 1_500_000
+PACK_KEYS, SLICE_KEYS = 400_000, 400_000
+#: Binary logarithm of the most bits of the filter by which tasks recognise shared shingles (8 MB).
+FILTER_BITS = 26
 
 _ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("n", "<i4"), ("many", "?")])
 
@@ -161,7 +159,8 @@ def _shared_keys(described: DataFrame) -> DataFrame:
             entries = entries[np.argsort(own, kind="stable")]
             found, starts = np.unique(np.sort(own), return_index=True)
             packs = [entries[x:y].tobytes() for x, y in zip(starts, np.append(starts[1:], len(entries)))]
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(packs, pa.binary())], schema=out)
+            for low in range(0, len(packs), 16):
+                yield pa.RecordBatch.from_arrays([pa.array(found[low : low + 16].astype(np.int64)), pa.array(packs[low : low + 16], pa.binary())], schema=out)
 
         for batch in batches:
             held.append(_spread(batch))
@@ -193,30 +192,31 @@ def _shared_keys(described: DataFrame) -> DataFrame:
     return map_arrow(packs.repartition("slice").sortWithinPartitions("slice"), merge, "key bigint, hub bigint, m int")
 
 
+def _key_filter(hubs: DataFrame) -> np.ndarray:
+    """A bitmap of keys by their lowest bits; its size follows the number of keys up to a fixed bound, beyond which it only lets more of the other keys pass."""
+    size = min(FILTER_BITS, max(16, (8 * hubs.count()).bit_length()))
+    slot = F.col("key").bitwiseAND(F.lit((1 << size) - 1))
+    bit = F.expr("shiftleft(1L, cast(slot & 63 AS int))")
+    words = hubs.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # at most 2 ** FILTER_BITS / 64 rows
+    out = np.zeros(1 << (size - 6), np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
 def _shared_entries(described: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(key, id, n, hub, m): the entries of prefixes whose key is shared."""
+    """(key, id, n, hub, m): the entries of prefixes whose key is shared. Most others don't leave their task."""
     prefixes = described.where("n > 0").select("id", "n", "prefix")
-    few = hubs.count() <= HUB_ROWS
-    shared = None
-    if few:
-        rows = hubs.toArrow()  # size checked above
-        keys = rows["key"].to_numpy().view(np.uint64)
-        by = np.argsort(keys)
-        shared = prefixes.sparkSession.sparkContext.broadcast((keys[by], rows["hub"].to_numpy()[by], rows["m"].to_numpy()[by]))
+    shared = prefixes.sparkSession.sparkContext.broadcast(_key_filter(hubs))
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
+        words = shared.value
         for batch in batches:
             entries = _spread(batch)
-            columns = [entries["key"].view(np.int64), entries["id"], entries["n"]]
-            if shared is not None:
-                keys, hub, m = shared.value
-                at = np.minimum(np.searchsorted(keys, entries["key"]), max(0, len(keys) - 1))
-                hit = keys[at] == entries["key"] if len(keys) else np.zeros(len(entries), bool)
-                columns = [c[hit] for c in columns] + [hub[at[hit]], m[at[hit]]] if len(keys) else [c[:0] for c in columns] + [hub, m]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c), f.type) for c, f in zip(columns, out, strict=True)], schema=out)
-
-    if few:
-        return map_arrow(prefixes, run, "key bigint, id bigint, n int, hub bigint, m int")
+            slot = entries["key"] & np.uint64(64 * len(words) - 1)
+            entries = entries[words[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) == 1]
+            columns = [np.ascontiguousarray(entries[c]) for c in ("key", "id", "n")]
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], schema=out)
+
     return map_arrow(prefixes, run, "key bigint, id bigint, n int").join(hubs, "key").select("key", "id", "n", "hub", "m")
 
 
@@ -232,10 +232,14 @@ def _sets(source: DataFrame, firsts: DataFrame, shingle: int) -> DataFrame:
     return map_arrow(wanted, run, "id bigint, hashes binary")
 
 
+def _sizes_allow(similarity: float) -> F.Column:
+    return F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9
+
+
 def _may_be_similar(pairs: DataFrame, parity: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b, n, m) that sizes and parity bits (id, bits) don't exclude."""
     share = (1 - similarity) / (1 + similarity)
-    near = pairs.where(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
+    near = pairs.where(_sizes_allow(similarity)).distinct()
     both = near.join(parity.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").join(parity.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b")
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -352,16 +356,16 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     texts = materialize(described.groupBy("id").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")), "texts")
     hubs = materialize(_shared_keys(described), "hubs")
     shared = materialize(_shared_entries(described, hubs), "shared")
-    asked = narrow_side(shared.select("id").distinct(), "shared-texts")
-    parity = narrow_side(sketches.join(asked, "id", "left_semi").select("id", "bits"), "parity", PARITY_ROWS)
+    parity = sketches.select("id", "bits")
     over_hubs = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("m").alias("n"), F.col("n").alias("m"))
-    tried = materialize(_may_be_similar(over_hubs.distinct(), parity, similarity), "tried")
-    proposed = _proposed(sketches.select("id", "n", "fp"), radius)
+    tried = materialize(_may_be_similar(over_hubs, parity, similarity), "tried")
+    proposed = _proposed(sketches.select("id", "n", "fp"), radius).where(_sizes_allow(similarity))
     first = materialize(tried.union(proposed).distinct(), "first")
     links = materialize(_similar(first, source, texts, shingle, similarity), "similar")
     component = connected_components(links)
 
     labelled = shared.select("key", "id", "n").join(component.withColumnRenamed("vertex", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = materialize(labelled, "labelled")
     several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     mixed = labelled.join(narrow_side(several, "several"), "key", "left_semi")
     apart = _apart(mixed.select("key", "n", "id", "component").join(parity, "id"), similarity)

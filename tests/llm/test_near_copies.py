@@ -43,10 +43,10 @@ def rows_with_near_copies(seed=3):
     return rows + [(1000, None), (1001, ""), (1002, "One"), (1003, "one"), (1004, "one two")] + [(1005 + i, rows[7][1]) for i in range(3)]
 
 
-@pytest.mark.parametrize("bound", [1_500_000, 0])
-def test_near_copies_equal_brute_force(spark, bound, monkeypatch):
-    monkeypatch.setattr(near_copies, "HUB_ROWS", bound)
-    if not bound:  # many packs, many slices, merges on the way
+@pytest.mark.parametrize("small", [False, True])
+def test_near_copies_equal_brute_force(spark, small, monkeypatch):
+    if small:  # many packs, many slices, merges on the way, a filter that lets much pass
+        monkeypatch.setattr(near_copies, "FILTER_BITS", 7)
         monkeypatch.setattr(near_copies, "PACK_KEYS", 50)
         monkeypatch.setattr(near_copies, "SLICE_KEYS", 100)
     rows = rows_with_near_copies()
