@@ -194,14 +194,14 @@ def _places(chosen: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[st
 def pack_best_fit(pieces: DataFrame, capacity: int = CAPACITY, length: str = "length") -> DataFrame:
     """Add sequence_id and offset to pieces so that each sequence holds at most `capacity` tokens.
 
-    Lengths must lie in 1..capacity (an error otherwise; null lengths too). The input is written once with
+    Lengths must lie in 1..capacity (an error otherwise; null lengths too). The input is written once, and again with
     its partition number, so ranks inside a length are offsets of partitions plus places inside them: a
     length that a third of all pieces share stays spread over all tasks. The driver sees the histogram only.
     Columns of the input stay as they are, whatever their names, but those named sequence_id or offset, which are
     replaced; equal pieces are all packed; an empty table gives an empty result.
     """
     kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    wrapped = pieces.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(f"`{length}`").alias("size"))
+    wrapped = materialize(pieces.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(f"`{length}`").alias("size")), "lengths")  # so that no task runs two Python workers
 
     def number(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
