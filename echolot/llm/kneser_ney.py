@@ -8,8 +8,10 @@ private area.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from array import array
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import xxhash
@@ -184,28 +186,35 @@ def train(tables: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER,
 class WordScores:
     """Scores of words in all models, remembered for a bounded number of words."""
 
-    def __init__(self, models: CharacterModels, entries: int = 150_000) -> None:
+    def __init__(self, models: CharacterModels, entries: int = 250_000) -> None:
         self.models, self.entries = models, min(entries, 3_000_000 // max(1, len(models.names)))
         self.places: dict[str, int] = {}
         self.table = np.zeros((0, len(models.names)), np.float32)
 
-    def prepare(self, texts: Iterable[list[str]]) -> None:
-        """Score the words of a batch that aren't known yet."""
-        fresh: set[str] = set()
-        for words in texts:
-            fresh.update(words)
-        if len(self.places) + len(fresh) > self.entries:
+    def totals(self, texts: list[list[str]]) -> np.ndarray:
+        """log2 probability of each text's words in each model."""
+        words = list(chain.from_iterable(texts))
+        at = np.fromiter(map(self.places.get, words, repeat(-1)), np.int64, len(words))
+        new = self._unknown(words, at)
+        if len(self.places) + len(new) > self.entries and self.places:
             self.places, self.table = {}, self.table[:0]
-        new = list(fresh.difference(self.places))
+            at[:] = -1
+            new = self._unknown(words, at)
         if new:
+            missing = np.flatnonzero(at < 0)
             base = len(self.table)
             self.places.update(zip(new, range(base, base + len(new)), strict=True))
             scored = [self.models.score_words(new[low : low + BLOCK]) for low in range(0, len(new), BLOCK)]
             self.table = np.concatenate([self.table, *scored])
+            at[missing] = np.fromiter(map(self.places.__getitem__, map(words.__getitem__, missing.tolist())), np.int64, len(missing))
+        sums = np.concatenate([np.zeros((1, self.table.shape[1])), np.cumsum(self.table[at], axis=0, dtype=np.float64)])
+        ends = np.cumsum([0, *map(len, texts)])
+        return sums[ends[1:]] - sums[ends[:-1]]
 
-    def total(self, words: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-        return self.table[at].sum(0, dtype=np.float64)
+    @staticmethod
+    def _unknown(words: list[str], at: np.ndarray) -> list[str]:
+        """The different words without a place, in order of appearance."""
+        return list(dict.fromkeys([words[k] for k in np.flatnonzero(at < 0).tolist()]))
 
 
 @dataclass
@@ -230,20 +239,27 @@ class HashedModel:
         value = xxhash.xxh64_intdigest(key.to_bytes(8, "little"), 42)
         return (value - (1 << 64) if value >> 63 else value) % HashedModel.BUCKETS
 
+    def __post_init__(self) -> None:
+        self._seek()
+
+    def _seek(self) -> None:
+        """Sorted buckets as plain arrays, in which a single look-up is cheapest."""
+        self.places = [(array("q", g[0].astype(np.int64).tobytes()), array("q", c[0].astype(np.int64).tobytes())) for g, c in zip(self.grams, self.contexts, strict=True)]
+
     def probability(self, key: int) -> float:
         """Probability of the last character of an n-gram of the highest order."""
         p = 1.0 / ALPHABET
         for k in range(1, self.order + 1):
             gram = key & suffix_mask(k)
-            buckets, totals, followers = self.contexts[k - 1]
+            own, around = self.places[k - 1]
             slot = self.bucket(gram >> _BITS)
-            at = int(np.searchsorted(buckets, slot))
-            if at == len(buckets) or buckets[at] != slot:
+            at = bisect_left(around, slot)
+            if at == len(around) or around[at] != slot:
                 continue
+            _, totals, followers = self.contexts[k - 1]
             total, mass = float(totals[at]), self.discount * float(followers[at])
-            buckets, counts = self.grams[k - 1]
             slot = self.bucket(gram)
-            at = int(np.searchsorted(buckets, slot))
-            n = float(counts[at]) if at < len(buckets) and buckets[at] == slot else 0.0
+            at = bisect_left(own, slot)
+            n = float(self.grams[k - 1][1][at]) if at < len(own) and own[at] == slot else 0.0
             p = (max(n - self.discount, 0.0) + mass * p) / total
         return max(p, 1e-30)

@@ -207,8 +207,7 @@ def _judged(docs: DataFrame, identifier: LanguageIdentifier, schema: str | T.Str
                 if joined:
                     totals = [np.zeros(len(names)) if x is None else np.array(x) for x in part.column(part.num_columns - 1).to_pylist()]
                 else:
-                    scores.prepare(words)
-                    totals = list(map(scores.total, words))
+                    totals = list(scores.totals(words))
                 yield pick(part, [_judge(names, limits, x, w, t) for x, w, t in zip(texts, words, totals, strict=True)], out)
 
     return map_arrow(docs, run, schema)
