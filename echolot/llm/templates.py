@@ -168,8 +168,8 @@ def recurring_lines(pairs: DataFrame, texts: DataFrame, splits: int, min_docs: i
     few = leaves.count() <= BROADCAST_ROWS
     asked = materialize(rest.join(F.broadcast(leaves) if few else leaves, "leaf"), "asked")
     tokens = _masked_lines(texts, asked.select("own"))
-    grown = _grow(asked.join(tokens, "own").select("own", F.col("leaf").alias("node"), "n", F.split("masked", " ").alias("tokens")), splits, constant, solid, pattern_docs)
-    grown = materialize(grown, "grown")
+    spelled = materialize(asked.join(tokens, "own").select("own", F.col("leaf").alias("node"), "n", F.split("masked", " ").alias("tokens")), "spelled")
+    grown = materialize(_grow(spelled, splits, constant, solid, pattern_docs), "grown")
     seen = pairs.join(grown, "own").groupBy("template", "text").agg(F.min("doc").alias("doc"))
     templates = seen.groupBy("template").agg(F.count("*").alias("texts"), holder).where(F.col("texts") >= pattern_docs)
     return materialize(exact.unionByName(grown.join(templates, "template").select("own", F.col("holder.text").alias("first"))), "recurring")
