@@ -51,7 +51,7 @@ _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»
 _STUDDED = re.compile(r"[^\W_]+(?:[.\-_*·]+[^\W_]+)+")
 _LETTER, _LEET = re.compile(r"[^\W\d_]"), re.compile(r"[0-9@$!|+(€£]")
 #: Three of a letter, or two pairs side by side: beyond ordinary spelling.
-_RUN = re.compile(r"([^\W\d_])\1\1|([^\W\d_])\2([^\W\d_])\3")
+_RUN = re.compile(r"([^\W\d_])\1(?:\1|([^\W\d_])\2)")
 _SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 
 
@@ -147,7 +147,10 @@ class Restorer:
     def restore_token(self, token: str) -> str:
         """A lower-case token without edge punctuation, decoded if anything about it is ambiguous."""
         core = token if token.isalpha() else token.strip(_EDGE)
-        if len(core) < 3 or core is token and core.isalpha() and not _RUN.search(core):
+        if len(core) < 3:
+            return core
+        signs = core is not token and (token[0] in EDGE_LETTERS + FIRST_LETTERS or token[-1] in EDGE_LETTERS)
+        if not signs and core.isalpha() and not _RUN.search(core):
             return core
         at = token.index(core)
         lead, tail = token[:at], token[at + len(core) :]
@@ -171,21 +174,43 @@ def _bucket(feature: str) -> int:
     return xxhash.xxh3_64_intdigest(feature.encode()) % BUCKETS
 
 
-def word_features(word: str) -> list[int]:
-    """Buckets of a restored word: itself and its beginnings."""
-    return [_bucket("w" + word), *(_bucket(f"p{word[:n]}") for n in PREFIXES if len(word) > n)]
+class Features:
+    """Values of the features of a word, itself and its beginnings, with those of beginnings remembered."""
+
+    def __init__(self, value: Callable[[int], float] = int) -> None:
+        self.value = value
+        self.starts: list[dict[str, float]] = [{} for _ in PREFIXES]
+
+    def __call__(self, word: str) -> list:
+        found = [self.value(_bucket("w" + word))]
+        for n, known in zip(PREFIXES, self.starts):
+            if len(word) > n:
+                start = word[:n]
+                value = known.get(start)
+                if value is None:
+                    if len(known) > 200_000:
+                        known.clear()
+                    value = known[start] = self.value(_bucket("p" + start))
+                found.append(value)
+        return found
 
 
 class WordReader(dict):
     """Values of restored words by token, remembered for a bounded number of tokens."""
 
-    def __init__(self, model: HashedModel, evaluate: Callable[[str], float], none: float, entries: int = 400_000) -> None:
+    def __init__(self, model: HashedModel, evaluate: Callable[[str], float], none: float, entries: int = 600_000) -> None:
         super().__init__()
         self.restorer, self.evaluate, self.none, self.entries = Restorer(model), evaluate, none, entries
 
     def __missing__(self, token: str):
         word = self.restorer.restore_token(token)
-        value = self[token] = self.evaluate(word) if word else self.none
+        if not word:
+            value = self.none
+        else:
+            value = self.get(word) if word != token else None  # a word is restored to itself
+            if value is None:
+                value = self[word] = self.evaluate(word)
+        self[token] = value
         return value
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -195,14 +220,42 @@ class WordReader(dict):
         found, sizes = [], []
         for text in texts:
             lower = (text or "").lower()
-            values = list(map(self.__getitem__, lower.split()))
-            for row in _SPACED.finditer(lower):
-                values += [self.evaluate(w) for w in self.restorer.restore_row(row.group())]
+            tokens = lower.split()
+            values = list(map(self.__getitem__, tokens))
+            single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
+            if (single[:-2] & single[1:-1] & single[2:]).any():
+                for row in _SPACED.finditer(lower):
+                    values += [self.evaluate(w) for w in self.restorer.restore_row(row.group())]
             found.append(values)
             sizes.append(len(values))
         return np.fromiter(chain.from_iterable(found), np.float64, sum(sizes)), np.cumsum([0, *sizes])
 
 
+class NumberedReader:
+    """Features of the words of texts as rows of buckets, -1 for tokens without a word; the word itself stands in for missing beginnings."""
+
+    def __init__(self, model: HashedModel, entries: int = 300_000) -> None:
+        self.table, self.width, values = array("i"), 1 + len(PREFIXES), Features()
+
+        def number(word: str) -> int:
+            own = values(word)
+            self.table.extend(own + own[:1] * (self.width - len(own)))
+            return len(self.table) // self.width - 1
+
+        self.reader = WordReader(model, number, -1, entries)
+
+    def features(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(features, bounds): the different words' rows of buckets, text by text."""
+        if len(self.reader) > self.reader.entries:
+            self.reader.clear()
+            del self.table[:]
+        numbers, bounds = self.reader.read(texts)
+        rows = np.frombuffer(self.table, np.int32).reshape(-1, self.width) if len(self.table) else np.zeros((1, self.width), np.int32)
+        found = rows[numbers.astype(np.int64)]  # a copy, as the table grows
+        found[numbers < 0] = -1
+        return found.astype(np.int64), bounds
+
+
 @dataclass
 class ToxicityModel:
     characters: HashedModel
@@ -210,20 +263,10 @@ class ToxicityModel:
     coefficients: np.ndarray
 
     def evidence(self) -> Callable[[str], float]:
-        """The strongest weight among a word's features, with the weights of beginnings remembered."""
-        beginnings: dict[str, float] = {}
+        """The strongest weight among a word's features."""
         weights = self.weights
-
-        def of(word: str) -> float:
-            start = word[: PREFIXES[-1] + 1]
-            best = beginnings.get(start)
-            if best is None:
-                if len(beginnings) > 200_000:
-                    beginnings.clear()
-                best = beginnings[start] = max((float(weights[b]) for b in word_features(start)[1:]), default=-np.inf)
-            return max(best, float(weights[_bucket("w" + word)]))
-
-        return of
+        values = Features(lambda bucket: float(weights[bucket]))
+        return lambda word: max(values(word))
 
     def score(self, summary: np.ndarray) -> float:
         z = self.coefficients[0] + float(summary @ self.coefficients[1:])
@@ -268,27 +311,16 @@ def _feature_counts(labelled: DataFrame, model: HashedModel) -> np.ndarray:
     shared = labelled.sparkSession.sparkContext.broadcast(model)  # of bounded size
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
-        words, width = array("i"), 1 + len(PREFIXES)
-
-        def number(word: str) -> int:
-            own = word_features(word)
-            words.extend(own + own[:1] * (width - len(own)))
-            return len(words) // width - 1
-
-        reader = WordReader(shared.value, number, -1, 120_000)
+        reader = NumberedReader(shared.value)
         counts = np.zeros((2 * FOLDS, BUCKETS + 1), np.int32)
         for batch in batches:
             for low in range(0, batch.num_rows, SLICE):
                 part = batch.slice(low, SLICE)
-                if len(reader) > reader.entries:
-                    reader.clear()
-                    del words[:]
-                values, bounds = reader.read(part.column(2).to_pylist())
+                features, bounds = reader.features(part.column(2).to_pylist())
                 cell = part.column(0).to_numpy() * 2 + part.column(1).to_numpy()
                 place = np.repeat(np.arange(len(cell)), np.diff(bounds))
-                seen = np.unique(np.stack([place, values.astype(np.int64)])[:, values >= 0], axis=1) if len(values) else np.zeros((2, 0), np.int64)
-                features = np.frombuffer(words, np.int32).reshape(-1, width)[seen[1]]  # a copy, as `words` grows
-                keys = np.unique(np.repeat(seen[0], width) * BUCKETS + features.ravel())
+                known = features[:, 0] >= 0
+                keys = np.unique((place[known, None] * BUCKETS + features[known]).ravel())
                 np.add.at(counts, (cell[keys // BUCKETS], keys % BUCKETS), 1)
                 np.add.at(counts, (cell, BUCKETS), 1)
         at = np.flatnonzero(counts.any(0))
@@ -314,10 +346,10 @@ def _weights(counts: np.ndarray) -> np.ndarray | None:
 
 
 def _first_of_equal(labelled: DataFrame) -> DataFrame:
-    """Equal texts teach once for each label that they bear. Texts themselves stay in place."""
-    hashed = labelled.withColumn("h", F.xxhash64("text")).withColumn("m", F.md5("text"))
-    firsts = hashed.groupBy("h", "m", "label").agg(F.min("key").alias("key")).select("key", "h", "label")
-    return hashed.join(narrow_side(firsts, "firsts"), ["key", "h", "label"], "left_semi").dropDuplicates(["key", "h", "label"]).drop("h", "m")
+    """Equal texts teach once for each label that they bear, in the row with the least key. Texts themselves stay in place."""
+    hashed = labelled.withColumn("h", F.xxhash64("text"))
+    firsts = hashed.groupBy("h", F.md5("text").alias("m"), "label").agg(F.min("key").alias("key")).select("key", "h", "label")
+    return hashed.join(narrow_side(firsts, "firsts"), ["key", "h", "label"], "left_semi").drop("h")
 
 
 def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
@@ -335,33 +367,46 @@ def _regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
     return beta
 
 
-def _summaries(docs: DataFrame, models: list[ToxicityModel], schema: str, pick) -> DataFrame:
-    """Summaries of texts (the last column) under the model that the first column numbers, or the only one."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def _summaries(docs: DataFrame, model: ToxicityModel, schema: str, pick) -> DataFrame:
+    """What `pick(batch, summaries, model, schema)` makes of the evidence of texts (the last column)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
-        readers = [WordReader(m.characters, m.evidence(), 0.0) for m in shared.value]
+        own = shared.value
+        reader = WordReader(own.characters, own.evidence(), 0.0)
         for batch in batches:
             for low in range(0, batch.num_rows, SLICE):
                 part = batch.slice(low, SLICE)
-                texts = part.column(part.num_columns - 1).to_pylist()
-                found: list[np.ndarray] = [np.zeros(TOP + 2)] * len(texts)
-                which = part.column(0).to_pylist() if len(readers) > 1 else [0] * len(texts)
-                for k, reader in enumerate(readers):
-                    own = [at for at, w in enumerate(which) if w == k]
-                    values, bounds = reader.read([texts[at] for at in own])
-                    for at, a, b in zip(own, bounds, bounds[1:]):
-                        found[at] = summarise(values[a:b])
-                yield pick(part, found, shared.value[0], out)
+                values, bounds = reader.read(part.column(part.num_columns - 1).to_pylist())
+                yield pick(part, [summarise(values[a:b]) for a, b in zip(bounds, bounds[1:])], own, out)
 
     return map_arrow(docs, run, schema)
 
 
+def _out_of_fold(sample: DataFrame, characters: HashedModel, weights: list[np.ndarray]) -> DataFrame:
+    """(label, x): summaries of labelled texts (fold, label, text) under the weights of their fold."""
+    shared = sample.sparkSession.sparkContext.broadcast((characters, np.stack(weights)))  # of bounded size
+
+    def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
+        model, by_fold = shared.value
+        reader = NumberedReader(model)
+        for batch in batches:
+            for low in range(0, batch.num_rows, SLICE):
+                part = batch.slice(low, SLICE)
+                features, bounds = reader.features(part.column(2).to_pylist())
+                fold = np.repeat(part.column(0).to_numpy(), np.diff(bounds))
+                values = np.where(features[:, 0] >= 0, by_fold[fold[:, None], features].max(1, initial=-np.inf), 0.0)
+                found = [list(summarise(values[a:b])) for a, b in zip(bounds, bounds[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(found, pa.list_(pa.float64()))], schema=out)
+
+    return map_arrow(sample, run, "label int, x array<double>")
+
+
 def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "label", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Train on labelled texts; `docs` is the whole corpus, for the character model.
 
-    Feature weights are smoothed log odds over all labelled rows. Equal texts count once for each label that they
-    bear; null labels, texts and keys teach nothing. The regression on the evidence is fitted on about `sample_rows`
+    Feature weights are smoothed log odds over all labelled rows. Equal texts of different keys count once for each
+    label that they bear; null labels, texts and keys teach nothing. The regression on the evidence is fitted on about `sample_rows`
     rows, drawn by a hash of their keys, each under weights from the other folds of the rows, so that no row is
     evidence for itself. Without rows of both labels every text gets the score 0.
     """
@@ -373,14 +418,9 @@ def fit(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "
     if weights is None:
         return ToxicityModel(characters, np.zeros(BUCKETS), _UNFIT)
     others = [_weights(counts.sum(0) - counts[k]) for k in range(FOLDS)]
-    models = [ToxicityModel(characters, weights if w is None else w, _UNFIT) for w in others]
-
-    def pick(part: pa.RecordBatch, found: list[np.ndarray], own: ToxicityModel, out: pa.Schema) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([part.column(1), pa.array([list(x) for x in found], pa.list_(pa.float64()))], schema=out)
-
     share = min(1.0, sample_rows / max(1, rows.count()))
     sample = rows.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    drawn = _summaries(sample.select("fold", "label", "text"), models, "label int, x array<double>", pick).toArrow()
+    drawn = _out_of_fold(sample.select("fold", "label", "text"), characters, [weights if w is None else w for w in others]).toArrow()
     model = ToxicityModel(characters, weights, _UNFIT)
     if drawn.num_rows:
         x, y = np.array(drawn["x"].to_pylist()), drawn["label"].to_numpy().astype(float)
@@ -402,7 +442,7 @@ def score(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str
 
     pairs = keyed_texts(docs, key, text)
     kind = pairs.schema["doc_id"].dataType.simpleString()
-    return _summaries(pairs, [model], f"doc_id {kind}, score double, predicted int", pick)
+    return _summaries(pairs, model, f"doc_id {kind}, score double, predicted int", pick)
 
 
 def restored_text(text: str | None, model: HashedModel) -> str:
