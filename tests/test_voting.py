@@ -63,3 +63,17 @@ def test_shapes_of_other_sizes_and_unknown_ones(spark):
 
 def test_empty_table(spark):
     assert matcher.match_edges(spark.createDataFrame([], SCHEMA), MatchOptions()).count() == 0
+
+
+def test_both_kinds_of_links_meet(spark, monkeypatch):
+    """A pair that is linked both ways comes once, with the better score, also if a file has two rows."""
+    values = np.random.default_rng(6).integers(0, 2**32, 80)
+    other = values.copy()
+    other[::9] ^= 0xFFFF
+    made = [(i, [int(x) for x in v], s, 0.01, 4.0) for i, v, s in ((0, values, [90] * 33), (1, other, [10] * 33), (2, values, [90] * 33), (2, values, [90] * 33), (7, other[::-1], [90] * 33))]
+    for size in (10_000_000, 8):
+        monkeypatch.setattr(matcher, "BLOCK_ENTRIES", size)
+        monkeypatch.setattr(matcher, "BLOCK_SHAPES", size)
+        got = [tuple(r) for r in matcher.match_edges(spark.createDataFrame(made, SCHEMA), MatchOptions.for_level("strict")).collect()]
+        assert {(a, b) for a, b, _ in got} == {(0, 1), (0, 2), (0, 7), (1, 2), (2, 7)} and len(got) == 5
+        assert all((s == 1.0) == ((a, b) in {(0, 2), (0, 7), (2, 7)}) for a, b, s in got)
