@@ -23,7 +23,7 @@ from echolot.llm.arrow import keyed_texts, map_arrow
 from echolot.llm.joins import narrow_side
 from echolot.llm.words import hash_words, sliding
 from echolot.operators.graph import connected_components
-from echolot.runtime import materialize
+from echolot.runtime import materialize, release
 
 #: Words of a shingle, least similarity of a link.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -355,21 +355,28 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     sketches = materialize(described.where("n > 0").groupBy("id").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bits").alias("bits")), "sketches")
     texts = materialize(described.groupBy("id").agg(F.min("doc_id").alias("first"), F.max("n").alias("n")), "texts")
     hubs = materialize(_shared_keys(described), "hubs")
+    release(docs.sparkSession)
     shared = materialize(_shared_entries(described, hubs), "shared")
+    release(docs.sparkSession)
     parity = sketches.select("id", "bits")
     over_hubs = shared.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.col("m").alias("n"), F.col("n").alias("m"))
     tried = materialize(_may_be_similar(over_hubs, parity, similarity), "tried")
+    release(docs.sparkSession)
     proposed = _proposed(sketches.select("id", "n", "fp"), radius).where(_sizes_allow(similarity))
     first = materialize(tried.union(proposed).distinct(), "first")
+    release(docs.sparkSession)
     links = materialize(_similar(first, source, texts, shingle, similarity), "similar")
+    release(docs.sparkSession)
     component = connected_components(links)
 
     labelled = shared.select("key", "id", "n").join(component.withColumnRenamed("vertex", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     labelled = materialize(labelled, "labelled")
+    release(docs.sparkSession)
     several = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     mixed = labelled.join(narrow_side(several, "several"), "key", "left_semi")
     apart = _apart(mixed.select("key", "n", "id", "component").join(parity, "id"), similarity)
     rest = materialize(apart.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "apart")
+    release(docs.sparkSession)
     if not rest.isEmpty():
         more = materialize(_similar(rest, source, texts, shingle, similarity), "similar")
         if not more.isEmpty():
