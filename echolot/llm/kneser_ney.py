@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from array import array
 from bisect import bisect_left
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain, repeat
 
 import numpy as np
@@ -246,20 +248,36 @@ class HashedModel:
         """Sorted buckets as plain arrays, in which a single look-up is cheapest."""
         self.places = [(array("q", g[0].astype(np.int64).tobytes()), array("q", c[0].astype(np.int64).tobytes())) for g, c in zip(self.grams, self.contexts, strict=True)]
 
+    def _sums(self, k: int, context: int) -> tuple[float, float] | None:
+        """Sum of counts after a context of k - 1 characters and the mass that it leaves to the shorter one."""
+        slot, around = self.bucket(context), self.places[k - 1][1]
+        at = bisect_left(around, slot)
+        if at == len(around) or around[at] != slot:
+            return None
+        _, totals, followers = self.contexts[k - 1]
+        return float(totals[at]), self.discount * float(followers[at])
+
+    def _count(self, k: int, gram: int) -> float:
+        slot, own = self.bucket(gram), self.places[k - 1][0]
+        at = bisect_left(own, slot)
+        return float(self.grams[k - 1][1][at]) if at < len(own) and own[at] == slot else 0.0
+
+    def reader(self, entries: int = 100_000) -> Callable[[int], float]:
+        """Probability of the last character of an n-gram of the highest order, with a bounded number of contexts and of
+        shorter n-grams remembered."""
+        sums = lru_cache(maxsize=entries)(self._sums)
+
+        def interpolated(k: int, gram: int) -> float:
+            p = shorter(k - 1, gram & suffix_mask(k - 1)) if k > 1 else 1.0 / ALPHABET
+            found = sums(k, gram >> _BITS)
+            if found is None:
+                return p
+            total, mass = found
+            return (max(self._count(k, gram) - self.discount, 0.0) + mass * p) / total
+
+        shorter = lru_cache(maxsize=entries)(interpolated)
+        return lambda key: max(interpolated(self.order, key & suffix_mask(self.order)), 1e-30)
+
     def probability(self, key: int) -> float:
         """Probability of the last character of an n-gram of the highest order."""
-        p = 1.0 / ALPHABET
-        for k in range(1, self.order + 1):
-            gram = key & suffix_mask(k)
-            own, around = self.places[k - 1]
-            slot = self.bucket(gram >> _BITS)
-            at = bisect_left(around, slot)
-            if at == len(around) or around[at] != slot:
-                continue
-            _, totals, followers = self.contexts[k - 1]
-            total, mass = float(totals[at]), self.discount * float(followers[at])
-            slot = self.bucket(gram)
-            at = bisect_left(own, slot)
-            n = float(self.grams[k - 1][1][at]) if at < len(own) and own[at] == slot else 0.0
-            p = (max(n - self.discount, 0.0) + mass * p) / total
-        return max(p, 1e-30)
+        return self.reader()(key)

@@ -10,11 +10,11 @@ model are kept, so it is the best of all readings. Any other token has one readi
 from __future__ import annotations
 
 import re
-from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,8 @@ FOLDS = 5
 PREFIXES = (4, 5, 6)
 #: Strongest pieces of evidence that the regression sees one by one; all others are summed.
 TOP = 4
-#: Documents that are read at a time.
-SLICE = 100
+#: Documents that are read at a time, and tokens that a task remembers with a value each, and with a row of buckets each.
+SLICE, VALUES, ROWS = 100, 600_000, 300_000
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…¡¿"
 _STUDDED = re.compile(r"[^\W_]+(?:[.\-_*·]+[^\W_]+)+")
@@ -61,13 +61,14 @@ class Restorer:
     def __init__(self, model: HashedModel) -> None:
         self.model = model
         self.start = " " * (model.order - 1)
+        self.probability = model.reader()
         self.step = lru_cache(maxsize=50_000)(self._step)
 
     def _step(self, context: str, character: str) -> float:
         key = 0
         for c in context + character:
             key = key << 16 | code_of(c)
-        return float(np.log2(self.model.probability(key)))
+        return float(np.log2(self.probability(key)))
 
     def decode(self, token: str, gaps: list[float] | None = None) -> tuple[str, float]:
         """The best reading of a token and its log2 probability with the channel's costs; of equal ones the first.
@@ -170,90 +171,71 @@ class Restorer:
         return [w for w in words if len(w) > 1]
 
 
-def _bucket(feature: str) -> int:
-    return xxhash.xxh3_64_intdigest(feature.encode()) % BUCKETS
+def _buckets(words: list[str]) -> np.ndarray:
+    """A row of buckets for each word, of itself and of its beginnings; the word itself stands in for missing beginnings."""
 
+    def hashed(features: Iterable[str], n: int) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, features), np.uint64, n) % np.uint64(BUCKETS)
 
-class Features:
-    """Values of the features of a word, itself and its beginnings, with those of beginnings remembered."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    found = np.empty((len(words), 1 + len(PREFIXES)), np.int32)
+    found[:] = hashed(map("w".__add__, words), len(words))[:, None]
+    for k, n in enumerate(PREFIXES, 1):
+        longer = sizes > n
+        found[longer, k] = hashed(["p" + w[:n] for w in words if len(w) > n], int(longer.sum()))
+    return found
 
-    def __init__(self, value: Callable[[int], float] = int) -> None:
-        self.value = value
-        self.starts: list[dict[str, float]] = [{} for _ in PREFIXES]
 
-    def __call__(self, word: str) -> list:
-        found = [self.value(_bucket("w" + word))]
-        for n, known in zip(PREFIXES, self.starts):
-            if len(word) > n:
-                start = word[:n]
-                value = known.get(start)
-                if value is None:
-                    if len(known) > 200_000:
-                        known.clear()
-                    value = known[start] = self.value(_bucket("p" + start))
-                found.append(value)
-        return found
+class WordReader:
+    """Values of restored words by token, remembered for a bounded number of tokens.
 
+    Tokens are numbered as they come; those that are new in a slice of texts are restored and their words given to
+    `evaluate` at once, which returns a value, or a row of values, for each word. Tokens without a word have the
+    value `none`.
+    """
 
-class WordReader(dict):
-    """Values of restored words by token, remembered for a bounded number of tokens."""
+    def __init__(self, model: HashedModel, evaluate: Callable[[list[str]], np.ndarray], none: float | np.ndarray, entries: int = VALUES) -> None:
+        self.restorer, self.evaluate, self.none, self.entries = Restorer(model), evaluate, np.asarray(none), entries
+        self._forget()
 
-    def __init__(self, model: HashedModel, evaluate: Callable[[str], float], none: float, entries: int = 600_000) -> None:
-        super().__init__()
-        self.restorer, self.evaluate, self.none, self.entries = Restorer(model), evaluate, none, entries
+    def _forget(self) -> None:
+        self.numbers: dict[str, int] = defaultdict(count().__next__)
+        self.values, self.single = self.none[None][:0], np.zeros(0, bool)  # by number: the value, whether it is one character
 
-    def __missing__(self, token: str):
-        word = self.restorer.restore_token(token)
-        if not word:
-            value = self.none
-        else:
-            value = self.get(word) if word != token else None  # a word is restored to itself
-            if value is None:
-                value = self[word] = self.evaluate(word)
-        self[token] = value
-        return value
+    def _learn(self, tokens: list[str]) -> None:
+        restore, run = self.restorer.restore_token, _RUN.search
+        words = [t if t.isalpha() and not run(t) else restore(t) for t in tokens]
+        values = self.evaluate(words)
+        values[np.fromiter(map(len, words), np.int64, len(words)) == 0] = self.none
+        self.values = np.concatenate([self.values, values])
+        self.single = np.concatenate([self.single, np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1])
 
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(values, bounds): a value for each token, and for each word that a row of characters spells, text by text."""
-        if len(self) > self.entries:
-            self.clear()
-        found, sizes = [], []
-        for text in texts:
-            lower = (text or "").lower()
-            tokens = lower.split()
-            values = list(map(self.__getitem__, tokens))
-            single = np.fromiter(map(len, tokens), np.int64, len(tokens)) == 1
-            if (single[:-2] & single[1:-1] & single[2:]).any():
-                for row in _SPACED.finditer(lower):
-                    values += [self.evaluate(w) for w in self.restorer.restore_row(row.group())]
-            found.append(values)
-            sizes.append(len(values))
-        return np.fromiter(chain.from_iterable(found), np.float64, sum(sizes)), np.cumsum([0, *sizes])
-
-
-class NumberedReader:
-    """Features of the words of texts as rows of buckets, -1 for tokens without a word; the word itself stands in for missing beginnings."""
-
-    def __init__(self, model: HashedModel, entries: int = 300_000) -> None:
-        self.table, self.width, values = array("i"), 1 + len(PREFIXES), Features()
-
-        def number(word: str) -> int:
-            own = values(word)
-            self.table.extend(own + own[:1] * (self.width - len(own)))
-            return len(self.table) // self.width - 1
-
-        self.reader = WordReader(model, number, -1, entries)
-
-    def features(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(features, bounds): the different words' rows of buckets, text by text."""
-        if len(self.reader) > self.reader.entries:
-            self.reader.clear()
-            del self.table[:]
-        numbers, bounds = self.reader.read(texts)
-        rows = np.frombuffer(self.table, np.int32).reshape(-1, self.width) if len(self.table) else np.zeros((1, self.width), np.int32)
-        found = rows[numbers.astype(np.int64)]  # a copy, as the table grows
-        found[numbers < 0] = -1
-        return found.astype(np.int64), bounds
+        if len(self.numbers) > self.entries:
+            self._forget()
+        sizes: list[int] = []
+
+        def split() -> Iterator[list[str]]:
+            for text in texts:
+                tokens = (text or "").lower().split()
+                sizes.append(len(tokens))
+                yield tokens
+
+        numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(split())), np.int32)
+        if len(self.numbers) > len(self.values):
+            self._learn(list(islice(reversed(self.numbers), len(self.numbers) - len(self.values)))[::-1])  # the latest, in their order
+        bounds, values, single = np.cumsum([0, *sizes]), self.values[numbers], self.single[numbers]
+        at = np.flatnonzero(single[:-2] & single[1:-1] & single[2:])
+        ends, spelled = [], []
+        for k in np.unique(np.searchsorted(bounds, at, "right") - 1).tolist():  # three that reach into the next text are no row
+            words = [w for row in _SPACED.finditer(texts[k].lower()) for w in self.restorer.restore_row(row.group())]
+            ends += [bounds[k + 1]] * len(words)
+            sizes[k] += len(words)
+            spelled += words
+        if spelled:
+            bounds, values = np.cumsum([0, *sizes]), np.insert(values, ends, self.evaluate(spelled), axis=0)
+        return values, bounds
 
 
 @dataclass
@@ -262,11 +244,9 @@ class ToxicityModel:
     weights: np.ndarray
     coefficients: np.ndarray
 
-    def evidence(self) -> Callable[[str], float]:
-        """The strongest weight among a word's features."""
-        weights = self.weights
-        values = Features(lambda bucket: float(weights[bucket]))
-        return lambda word: max(values(word))
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """The strongest weight among each word's features."""
+        return self.weights[_buckets(words)].max(1).astype(np.float64)
 
     def score(self, summary: np.ndarray) -> float:
         z = self.coefficients[0] + float(summary @ self.coefficients[1:])
@@ -311,18 +291,18 @@ def _feature_counts(labelled: DataFrame, model: HashedModel) -> np.ndarray:
     shared = labelled.sparkSession.sparkContext.broadcast(model)  # of bounded size
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
-        reader = NumberedReader(shared.value)
+        reader = WordReader(shared.value, _buckets, np.full(1 + len(PREFIXES), BUCKETS, np.int32), ROWS)
         counts = np.zeros((2 * FOLDS, BUCKETS + 1), np.int32)
+        texts = np.zeros(2 * FOLDS, np.int32)
         for batch in batches:
             for low in range(0, batch.num_rows, SLICE):
                 part = batch.slice(low, SLICE)
-                features, bounds = reader.features(part.column(2).to_pylist())
-                cell = part.column(0).to_numpy() * 2 + part.column(1).to_numpy()
-                place = np.repeat(np.arange(len(cell)), np.diff(bounds))
-                known = features[:, 0] >= 0
-                keys = np.unique((place[known, None] * BUCKETS + features[known]).ravel())
-                np.add.at(counts, (cell[keys // BUCKETS], keys % BUCKETS), 1)
-                np.add.at(counts, (cell, BUCKETS), 1)
+                features, bounds = reader.read(part.column(2).to_pylist())
+                cells = part.column(0).to_numpy() * 2 + part.column(1).to_numpy()
+                for cell, a, b in zip(cells.tolist(), bounds.tolist(), bounds[1:].tolist()):
+                    counts[cell][features[a:b]] += 1  # once, however often a feature occurs
+                texts += np.bincount(cells, minlength=len(texts)).astype(np.int32)
+        counts[:, BUCKETS] = texts
         at = np.flatnonzero(counts.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(counts[k, at], pa.int64()) for k in range(2 * FOLDS))], schema=out)
 
@@ -373,7 +353,7 @@ def _summaries(docs: DataFrame, model: ToxicityModel, schema: str, pick) -> Data
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        reader = WordReader(own.characters, own.evidence(), 0.0)
+        reader = WordReader(own.characters, own.evidence, 0.0)
         for batch in batches:
             for low in range(0, batch.num_rows, SLICE):
                 part = batch.slice(low, SLICE)
@@ -389,11 +369,11 @@ def _out_of_fold(sample: DataFrame, characters: HashedModel, weights: list[np.nd
 
     def run(batches: Iterable[pa.RecordBatch], out: pa.Schema) -> Iterator[pa.RecordBatch]:
         model, by_fold = shared.value
-        reader = NumberedReader(model)
+        reader = WordReader(model, _buckets, np.full(1 + len(PREFIXES), -1, np.int32), ROWS)
         for batch in batches:
             for low in range(0, batch.num_rows, SLICE):
                 part = batch.slice(low, SLICE)
-                features, bounds = reader.features(part.column(2).to_pylist())
+                features, bounds = reader.read(part.column(2).to_pylist())
                 fold = np.repeat(part.column(0).to_numpy(), np.diff(bounds))
                 values = np.where(features[:, 0] >= 0, by_fold[fold[:, None], features].max(1, initial=-np.inf), 0.0)
                 found = [list(summarise(values[a:b])) for a, b in zip(bounds, bounds[1:])]

@@ -205,6 +205,40 @@ def test_disguises(spark):
     assert toxicity.restored_text("kato 1d10t r1 m.o.r.o.n", model) == "kato idiot r1 moron"
 
 
+def test_readers_give_each_token_its_own_reading(spark, monkeypatch):
+    rng = random.Random(3)
+    words = INSULTS + ["letter", "kato", "rimun", "book", "élan", "日本"]
+    model = toxicity.corpus_model(spark.createDataFrame([(" ".join(rng.choice(words) for _ in range(20)),) for _ in range(50)], "text string"))
+    tokens = ["".join(rng.choice("idot1!0ol|3m.-ns@") * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randint(1, 7))) for _ in range(400)]
+    restorer = toxicity.Restorer(model)
+    restored = [restorer.restore_token(t) for t in tokens]
+    assert any(restorer.restore_token(w) != w for w in restored)  # so a word's reading is not that of the token spelled alike
+    texts = [" ".join(restored), None, "", "a b", "c d", "x i d i o t x", "... --", *(" ".join(tokens[k : k + 7]) for k in range(0, 400, 7)), " ".join(tokens)]
+    want = []
+    for text in texts:
+        lower = (text or "").lower()
+        want.append([restorer.restore_token(t) for t in lower.split()] + [w for row in toxicity._SPACED.finditer(lower) for w in restorer.restore_row(row.group())])
+
+    evaluated, seen, looked_up = [], {"": 0.0}, []
+
+    def evaluate(found):
+        evaluated.extend(found)
+        return np.array([float(seen.setdefault(w, len(seen))) for w in found])
+
+    plain = toxicity.HashedModel.bucket
+    monkeypatch.setattr(toxicity.HashedModel, "bucket", staticmethod(lambda key: looked_up.append(key) or plain(key)))
+    for entries in (600_000, 50):
+        reader, size = toxicity.WordReader(model, evaluate, 0.0, entries), 5
+        got = []
+        for low in range(0, len(texts), size):
+            values, bounds = reader.read(texts[low : low + size])
+            got += [values[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+        assert got == [[seen[w] for w in found] for found in want]
+        if entries > len(tokens):
+            assert len(evaluated) <= len(reader.numbers) + sum(map(len, want)) - sum(len((t or "").split()) for t in texts)  # once for each token
+            assert len(looked_up) < 4 * reader.restorer.step.cache_info().misses  # two for each order without memory of shorter ones
+
+
 def test_bounded_model_agrees_with_the_plain_one(spark, texts):
     docs = spark.createDataFrame([(t,) for _, t, _ in texts[:100]] + [("日本 語",)], "text string")
     model = toxicity.corpus_model(docs)
