@@ -9,6 +9,7 @@ An empty table passes through every stage. Further columns travel along up to th
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from echolot.llm import decontam, langid, near_copies, packing, templates
 from echolot.llm.joins import narrow_side
 from echolot.llm.queries import WORD_BPE
-from echolot.runtime import materialize, table
+from echolot.runtime import materialize, release_executors, table
 
 
 def _others(docs: DataFrame) -> list[str]:
@@ -65,12 +66,26 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_best_fit(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language", identified),
-    ("lines", without_recurring_lines),
-    ("near_duplicates", without_near_duplicates),
-    ("decontamination", decontaminated),
-    ("packing", packed),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _with_room(stage: Stage) -> Stage:
+    """The stage, begun with heaps as small as they can be: its Python workers share an executor's memory with them."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_executors(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language", _with_room(identified)),
+    ("lines", _with_room(without_recurring_lines)),
+    ("near_duplicates", _with_room(without_near_duplicates)),
+    ("decontamination", _with_room(decontaminated)),
+    ("packing", _with_room(packed)),
 ]
 
 #: SQL can't express the language models and the tokenizer.
